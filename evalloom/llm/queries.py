@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontamination
+from .decontamination import op9_decontamination
 from .html_extraction import op2_html_extraction
 from .language_id import op3_language_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_extraction": op2_html_extraction,
     "op3_language_id": op3_language_id,
+    "op9_decontamination": op9_decontamination,
+}
+ORACLE: dict[str, str] = {
+    "op9_decontamination": decontamination.ORACLE,
 }
-ORACLE: dict[str, str] = {}
