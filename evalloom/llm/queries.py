@@ -10,11 +10,13 @@ from . import decontamination
 from .decontamination import op9_decontamination
 from .html_extraction import op2_html_extraction
 from .language_id import op3_language_id
+from .source_mixing import op4_source_mixing
 from .substring_dedup import op10_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_extraction": op2_html_extraction,
     "op3_language_id": op3_language_id,
+    "op4_source_mixing": op4_source_mixing,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
 }
