@@ -10,6 +10,7 @@ from . import decontamination
 from .decontamination import op9_decontamination
 from .html_extraction import op2_html_extraction
 from .language_id import op3_language_id
+from .line_dedup import op5_line_dedup
 from .minhash_dedup import op8_minhash_dedup
 from .source_mixing import op4_source_mixing
 from .substring_dedup import op10_substring_dedup
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_extraction": op2_html_extraction,
     "op3_language_id": op3_language_id,
     "op4_source_mixing": op4_source_mixing,
+    "op5_line_dedup": op5_line_dedup,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
