@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination
+from .ann_search import op7_ann_search
 from .decontamination import op9_decontamination
 from .html_extraction import op2_html_extraction
 from .language_id import op3_language_id
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_source_mixing": op4_source_mixing,
     "op5_line_dedup": op5_line_dedup,
+    "op7_ann_search": op7_ann_search,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
