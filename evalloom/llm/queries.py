@@ -12,11 +12,13 @@ from .decontamination import op9_decontamination
 from .html_extraction import op2_html_extraction
 from .language_id import op3_language_id
 from .line_dedup import op5_line_dedup
+from .lm_scoring import op1_lm_scoring
 from .minhash_dedup import op8_minhash_dedup
 from .source_mixing import op4_source_mixing
 from .substring_dedup import op10_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_html_extraction": op2_html_extraction,
     "op3_language_id": op3_language_id,
     "op4_source_mixing": op4_source_mixing,
