@@ -8,7 +8,7 @@ two equal runs of 20 words, at any alignment, share an anchor that starts within
 2. Anchors that occur in two places come back to their batches. A 20-word window without such an anchor
    in it is unique.
 3. The other windows are extended to all 20 words: a batch sends each distinct window (96-bit hash) once,
-   with its first place (doc_id, start). Windows whose first place is elsewhere come back.
+   with the first doc_id that holds it. Windows whose first place is elsewhere come back.
 4. Each batch marks the words that a repeated window covers.
 
 A batch sends a hash once however often it occurs, so no hash, passage or document is hot.
@@ -111,7 +111,7 @@ def _windows(b: _Batch, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def _send_windows(pdf: pd.DataFrame, repeated: pd.DataFrame) -> pd.DataFrame:
     if not len(pdf) or not len(repeated):
-        return pd.DataFrame({"batch": [], "h": [], "c": [], "doc_id": [], "start": []})
+        return pd.DataFrame({"batch": [], "h": [], "c": [], "doc_id": []})
     b = _Batch(pdf)
     at = b.candidates(repeated["h"].to_numpy().view(np.uint64))
     h, c, order = _windows(b, at)
@@ -119,7 +119,7 @@ def _send_windows(pdf: pd.DataFrame, repeated: pd.DataFrame) -> pd.DataFrame:
     first = np.ones(len(order), dtype=bool)
     first[1:] = (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])
     i = order[first]
-    return pd.DataFrame({"batch": np.full(len(i), pdf["batch"].iloc[0], dtype=np.int32), "h": h[i], "c": c[i], "doc_id": b.rows["doc_id"].to_numpy()[b.doc[at[i]]], "start": b.pos[at[i]]})
+    return pd.DataFrame({"batch": np.full(len(i), pdf["batch"].iloc[0], dtype=np.int32), "h": h[i], "c": c[i], "doc_id": b.rows["doc_id"].to_numpy()[b.doc[at[i]]]})
 
 
 def _remove(pdf: pd.DataFrame, later: pd.DataFrame) -> pd.DataFrame:
@@ -132,14 +132,7 @@ def _remove(pdf: pd.DataFrame, later: pd.DataFrame) -> pd.DataFrame:
     again = np.zeros(len(at), dtype=bool)  # not the batch's first of its kind
     again[order[1:]] = (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1])
     if len(later):
-        known = np.sort(np.rec.fromarrays([later["h"].to_numpy(), later["c"].to_numpy()], names="h,c"), order=("h", "c"))
-        i = np.flatnonzero(np.isin(h, known.h))
-        j = np.searchsorted(known.h, h[i], side="left")
-        end = np.searchsorted(known.h, h[i], side="right")
-        found = known.c[j] == c[i]
-        for k in np.flatnonzero(~found & (end - j > 1)):  # equal 64 bits of different windows
-            found[k] = c[i[k]] in known.c[j[k] : end[k]]
-        again[i[found]] = True
+        again |= np.isin(h, later["h"].to_numpy())  # 64 bits tell the windows of one batch apart
     mark = np.zeros(len(b.doc) + 1, dtype=np.int64)
     np.add.at(mark, at[again], 1)
     np.add.at(mark, at[again] + SPAN, -1)
@@ -158,9 +151,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batch_rows:
     anchors = rows.groupBy("batch").applyInPandas(_send_anchors, "batch int, h long, twice boolean")
     w = Window.partitionBy("h")
     repeated = anchors.withColumn("n", F.count("batch").over(w)).where("n > 1 or twice").select("batch", "h")
-    windows = rows.groupBy("batch").cogroup(repeated.groupBy("batch")).applyInPandas(_send_windows, "batch int, h long, c int, doc_id long, start int")
+    windows = rows.groupBy("batch").cogroup(repeated.groupBy("batch")).applyInPandas(_send_windows, "batch int, h long, c int, doc_id long")
     w = Window.partitionBy("h", "c").orderBy("doc_id", "batch")
-    later = windows.withColumn("r", F.row_number().over(w)).where("r > 1").select("batch", "h", "c")
+    later = windows.withColumn("r", F.row_number().over(w)).where("r > 1").select("batch", "h")
     out = rows.groupBy("batch").cogroup(later.groupBy("batch")).applyInPandas(_remove, "doc_id long, n_words long, n_removed long, kept string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != _NULL, F.col("doc_id")))
 
