@@ -30,6 +30,8 @@ MAX_EDITS = 1
 MIN_CHARS = 24
 #: Segments of more than this many (index lines x probing lines) are not expanded into pairs.
 HOT_PAIRS = 2500
+#: Up to this many places of lines (some 10 MB) are sent to all tasks.
+BROADCAST_LINES = 200_000
 _NULL = -(1 << 63)
 
 
@@ -95,7 +97,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", max
 
     # The texts of those lines alone.
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(hot.select("h")).distinct()
-    wanted = wanted.join(places, "h").select("h", "place.*")
+    wanted = cut(wanted.join(places, "h").select("h", "place.*"))
+    if wanted.count() <= BROADCAST_LINES:  # else both sides are shuffled
+        wanted = F.broadcast(wanted)
     texts = _lines(docs, key, text).where(long & ~blank).join(wanted, ["doc", "th", "no"])
     texts = cut(texts.select("h", F.struct("doc", "th", "no").alias("place"), "line").dropDuplicates(["h"]))
     a = texts.select(F.col("h").alias("a"), F.col("line").alias("line_a"), F.col("place").alias("place_a"))
