@@ -40,11 +40,11 @@ PART = 1 << 14
 TABLE_BYTES = sum(CELLS)
 #: Bytes between two updates of a text's weights.
 BLOCK = 64
-START_WEIGHTS = np.array([0.15, 0.2, 0.45, 0.5], dtype=np.float32)
-RATE = 0.003
+START_WEIGHTS = np.array([0.2, 0.2, 0.5, 0.4], dtype=np.float32)
+RATE = 0.004
 SCALE_RATE = 0.002
 #: Added to the counts of both bits; a node of n counts keeps n / (n + TRUST) of its logit.
-DELTA, TRUST = 0.02, 1.0
+DELTA, TRUST = 0.05, 1.0
 LEVELS = 15.0  # of the 8-bit logits, a unit
 END = 0xFF
 BATCH_ROWS = 400
