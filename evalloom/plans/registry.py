@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
-from ..operators import chunking, ranking, reports, stats, tasks
+from ..operators import chunking, judging, ranking, reports, stats, tasks
 from . import frames as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -384,3 +384,49 @@ def patch_merge(spark, d):
 def corpus_fingerprint(spark, d):
     t = F.coalesce("text", F.lit(""))
     return R.table(spark, d, "documents").select("doc_id", F.sha2(t, 256).alias("sha256"), F.octet_length(t).cast("long").alias("size"))
+
+
+def _usage(spark, d):
+    return R.evaluated(spark, d).withColumns({"judge_input_tokens": F.col("event_id") % 500, "judge_output_tokens": F.col("event_id") % 90, "judge_cost_usd": (F.col("event_id") % 500) * 1e-6})
+
+
+@query(f"""WITH {R.SQL_EVAL} SELECT count(*) AS rows, CAST(sum(event_id % 500) AS BIGINT) AS judge_input_tokens_total, CAST(sum(event_id % 90) AS BIGINT) AS judge_output_tokens_total, round(sum((event_id % 500) * 1e-6), 6) AS judge_cost_usd_total, round(avg(event_id % 500), 3) AS judge_input_tokens_avg, round(avg(event_id % 90), 3) AS judge_output_tokens_avg,
+ round(avg(Support_Rate), 6) AS support_rate_avg, round(avg(Atomic_Precision), 6) AS atomic_precision_avg, round(avg(Hallucination_Rate), 6) AS hallucination_rate_avg, CAST(sum(Is_Trap_Question) AS BIGINT) AS trap_questions FROM ev""")
+def judge_usage(spark, d):
+    return judging.usage(_usage(spark, d))
+
+
+@query(f"WITH {R.SQL_EVAL} SELECT CAST(event_id AS VARCHAR) AS event_id, Model, error FROM ev WHERE error <> '' ORDER BY ev.event_id LIMIT 8")
+def error_samples(spark, d):
+    return judging.error_samples(R.evaluated(spark, d), "event_id", ["event_id", "Model", "error"])
+
+
+@query(f"WITH {R.SQL_TASKS}, {_META} SELECT category, Method, round(avg(Atomic_Coverage_Score), 6) AS Atomic_Coverage_Score FROM me WHERE category IN (SELECT DISTINCT category FROM me ORDER BY category LIMIT 6) GROUP BY ALL")
+def top_categories(spark, d):
+    return rounded(reports.means_by(judging.top_groups(reports.with_meta(R.evaluated(spark, d), R.meta(spark, d)), "category"), ["category", "Method"], ["Atomic_Coverage_Score"]))
+
+
+@query(f"WITH {R.SQL_TASKS} SELECT comparison, CAST(row_number() OVER (PARTITION BY comparison ORDER BY diff) AS INTEGER) AS i, round((row_number() OVER (PARTITION BY comparison ORDER BY diff) - 0.5) / count(*) OVER (PARTITION BY comparison), 6) AS position, round(diff, 6) AS value FROM df")
+def qq_points(spark, d):
+    return rounded(judging.qq_points(stats.pairs(stats.non_trap(_tasks(spark, d))), ["comparison"], "diff"))
+
+
+@query("SELECT a.label, round(avg(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS consistency FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 GROUP BY a.label")
+def embedding_consistency(spark, d):
+    a = R.table(spark, d, "embeddings")
+    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return rounded(a.join(b, "vec_id").groupBy("label").agg(F.avg(judging.cosine(F.col("embedding"), F.col("other"))).alias("consistency")))
+
+
+@query("SELECT l.quality, l.toxic, count(*) AS n, count(*) FILTER (d.doc_id IS NULL) AS unknown FROM labels l LEFT JOIN documents d USING (doc_id) GROUP BY ALL")
+def label_counts(spark, d):
+    labels, docs = R.table(spark, d, "labels"), R.table(spark, d, "documents").select("doc_id", F.lit(1).alias("there"))
+    return labels.join(docs, "doc_id", "left").groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.count_if(F.col("there").isNull()).alias("unknown"))
+
+
+@query("SELECT conv_id, round(avg(j), 6) AS consistency FROM (SELECT a.conv_id, len(list_intersect(a.w, b.w)) * 1.0::DOUBLE / greatest(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)), 1) AS j FROM (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS w FROM conversations WHERE role = 'assistant' AND trim(text) <> '' AND text NOT LIKE '%API ERROR%') a JOIN (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS w FROM conversations WHERE role = 'assistant' AND trim(text) <> '' AND text NOT LIKE '%API ERROR%') b ON a.conv_id = b.conv_id AND a.turn < b.turn) GROUP BY conv_id")
+def answer_consistency(spark, d):
+    own = R.table(spark, d, "conversations").where("role = 'assistant' and trim(text) <> '' and not text like '%API ERROR%'")
+    many = own.groupBy("conv_id").agg(F.count("*").alias("n")).where("n > 1").select("conv_id")
+    out = stats.jaccard_consistency(own.join(many, "conv_id", "left_semi"), ["conv_id"], "text")
+    return rounded(out.withColumnRenamed("Semantic_Consistency", "consistency"))
