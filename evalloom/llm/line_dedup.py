@@ -4,7 +4,7 @@ Lines within ``max_edits`` edits are repeats. A line is cut into ``max_edits + 1
 that are so close agree in at least one segment, at nearly the same place. The index holds the segments of
 every different line by (line length, segment number, content); a line probes, for each length that can
 match, the substrings of its own that can align with each segment (the multi-match-aware windows). Pairs
-are verified by banded edit distance with the threshold.
+are verified by a banded bit-parallel edit distance.
 
 A segment that very many different lines share is not expanded into pairs: for one edit, its lines go by
 their one-character deletions instead (lines that agree after deleting the character at one place are one
@@ -35,6 +35,60 @@ BROADCAST_LINES = 200_000
 _NULL = -(1 << 63)
 
 
+def within_edits(a: Column, b: Column, t: int) -> Column:
+    """Whether the edit distance of two strings is at most ``t`` (1 to 30).
+
+    A band of 2t + 1 rows slides along the diagonal; its vertical steps up and down are bits of two integers, so a
+    column costs a few integer operations (banded bit-parallel dynamic programming). The distance is followed
+    down the band's lower edge until that meets the last row, then along the last row.
+    """
+    mask = (1 << (2 * t + 1)) - 1
+    top = 1 << (2 * t)
+    let = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731 - evaluates x once
+    bit = lambda x: F.lit(x).cast("long")
+    inv = lambda x: x.bitwiseXOR(bit(mask))  # noqa: E731 - of values within the mask
+
+    def run(s: Column) -> Column:
+        m, n = F.size(s["a"]), F.size(s["b"])
+
+        def column(acc: Column, j: Column) -> Column:
+            char = F.get(s["b"], j - 1)
+            same = bit(0)
+            for k in range(2 * t + 1):  # row j - t + k, none above the first or below the last
+                row = j - t + k
+                same = same + F.when((row >= 1) & (F.get(s["a"], row - 1) == char), bit(1 << k)).otherwise(bit(0))
+
+            def steps(x: Column) -> Column:
+                carried = x["eq"].bitwiseAND(x["vp"]) + x["vp"]
+                d = carried.bitwiseAND(bit(mask)).bitwiseXOR(x["vp"]).bitwiseOR(x["eq"]).bitwiseOR(x["vn"])
+                return F.struct(d.alias("d"), x["vp"].alias("vp"), x["vn"].alias("vn"))
+
+            def flat(x: Column) -> Column:
+                hp = x["vn"].bitwiseOR(inv(x["d"].bitwiseOR(x["vp"])))
+                return F.struct(hp.alias("hp"), x["d"].bitwiseAND(x["vp"]).alias("hn"), x["d"].alias("d"))
+
+            def close(x: Column) -> Column:
+                half = F.shiftright(x["d"], 1)
+                edge = F.when(x["d"].bitwiseAND(bit(top)) == 0, 1).otherwise(0)
+                at = F.pow(F.lit(2.0), (m - j + t).cast("double")).cast("long")  # the last row's bit
+                last = F.when(x["hp"].bitwiseAND(at) != 0, 1).when(x["hn"].bitwiseAND(at) != 0, -1).otherwise(0)
+                return F.struct(
+                    x["hn"].bitwiseOR(inv(half.bitwiseOR(x["hp"]))).alias("vp"),
+                    x["hp"].bitwiseAND(half).alias("vn"),
+                    (acc["dist"] + F.when(j + t <= m, edge).otherwise(last)).cast("int").alias("dist"),
+                )
+
+            start = F.struct(same.alias("eq"), acc["vp"].alias("vp"), acc["vn"].alias("vn"))
+            return let(let(let(start, steps), flat), close)
+
+        begin = F.struct(bit(((1 << (t + 1)) - 1) << t).alias("vp"), bit(0).alias("vn"), F.least(m, F.lit(t)).cast("int").alias("dist"))
+        total = F.aggregate(F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), begin, column, lambda acc: acc["dist"])
+        return (F.abs(m - n) <= t) & (total <= t)
+
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    return let(F.struct(chars(a).alias("a"), chars(b).alias("b")), run)
+
+
 def _segments(t: int, size: Column) -> list[tuple[Column, Column]]:
     """(0-based start, length) of the t + 1 segments of a line of ``size`` characters: even, the longer ones last."""
     n = t + 1
@@ -104,7 +158,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", max
     texts = cut(texts.select("h", F.struct("doc", "th", "no").alias("place"), "line").dropDuplicates(["h"]))
     a = texts.select(F.col("h").alias("a"), F.col("line").alias("line_a"), F.col("place").alias("place_a"))
     b = texts.select(F.col("h").alias("b"), F.col("line").alias("line_b"), F.col("place").alias("place_b"))
-    near = pairs.join(a, "a").join(b, "b").where(F.levenshtein("line_a", "line_b", t) >= 0)
+    near = pairs.join(a, "a").join(b, "b").where(within_edits(F.col("line_a"), F.col("line_b"), t))
     later = near.select(F.when(F.col("place_a") < F.col("place_b"), F.col("b")).otherwise(F.col("a")).alias("h"))
     if t == 1:
         crowd = texts.join(hot.select("h").distinct(), "h", "left_semi").withColumn("size", size)

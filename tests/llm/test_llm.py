@@ -189,6 +189,22 @@ def test_line_dedup(spark, hot):
     assert {(r.doc, r.no) for r in got} == gone
 
 
+def test_bit_parallel_distance(spark):
+    rnd = random.Random(12)
+    rows = []
+    for _ in range(300):
+        a = "".join(rnd.choice("abä") for _ in range(rnd.randint(0, 12)))
+        b = list(a)
+        for _ in range(rnd.randint(0, 4)):
+            j = rnd.randint(0, len(b))
+            b[j : j + rnd.randint(0, 1)] = rnd.choice(["", "a", "c"])
+        rows.append((a, "".join(b)))
+    df = spark.createDataFrame(rows, "a string, b string")
+    for t in (1, 2, 3):
+        assert df.where(line_dedup.within_edits(F.col("a"), F.col("b"), t) != (F.levenshtein("a", "b") <= t)).count() == 0
+        assert df.where(line_dedup.within_edits(F.col("a"), F.col("b"), t).isNull()).count() == 0
+
+
 def test_line_dedup_hostile(spark):
     out = line_dedup.dedup_lines(hostile(spark)).collect()
     assert len(out) == 9 and out[0].size == "clash"
