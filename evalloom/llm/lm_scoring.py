@@ -63,10 +63,11 @@ def _slots(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     code = data.astype(np.uint64) + np.uint64(1)
     hashes = []
     h = np.zeros(n, dtype=np.uint64)
+    begins = np.flatnonzero(first == at)
+    before = code
     for back in range(1, max(ORDERS) + 1):
-        before = np.zeros(n, dtype=np.uint64)
-        ok = at - back >= first
-        before[ok] = code[np.flatnonzero(ok) - back]
+        before = np.concatenate([np.zeros(1, dtype=np.uint64), before[:-1]])
+        before[begins] = 0  # nothing is before a text
         h = h * np.uint64(0x100000001B3) + before
         if back in ORDERS:
             hashes.append(h + np.uint64(back << 56))
@@ -79,7 +80,7 @@ def _slots(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     term = code * power[np.minimum(at - start, 4095)]
     total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(term, dtype=np.uint64)])
     hashes.append((total[at] - total[start]) * np.uint64(0xC2B2AE3D27D4EB4F) + age + np.uint64(9 << 56))
-    high, low = np.empty((CONTEXTS, n), dtype=np.int32), np.empty((CONTEXTS, n), dtype=np.int32)
+    high, low = np.empty((CONTEXTS, n), dtype=np.intp), np.empty((CONTEXTS, n), dtype=np.intp)
     half = ((data >> 4).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     for c, h in enumerate(hashes):
         shift = np.uint64(64 - SLOT_BITS[c])
@@ -174,22 +175,23 @@ def _bits(model: list[np.ndarray], texts: list[bytes]) -> np.ndarray:
     cost = np.zeros(lanes)
     unit = np.float32(1 / LEVELS)
     half = float(np.log(np.float32(2)))
+    signs = np.array([-1, 1], dtype=np.float32)
     for at, size in _spans(int(n[0])):
         on = int(np.searchsorted(-n, -at, side="left"))
         place = np.minimum((start[:on] + at)[:, None] + np.arange(size), len(data) - 1)
-        live = np.arange(at, at + size) < n[:on, None]
+        live = (np.arange(at, at + size) < n[:on, None]).astype(np.float32)
         byte = data[place]
-        slots = high[:, place]
-        node = np.ones(place.shape, dtype=np.int32)
+        slots = [h.take(place) for h in high]
+        node = np.ones(place.shape, dtype=np.intp)
         rate = np.float32(RATE * (BLOCK / size) ** 0.5)
         for j in range(8):
             if j == 4:
-                slots = low[:, place]
-                node = np.ones(place.shape, dtype=np.int32)
-            bit = ((byte >> (7 - j)) & 1).astype(np.int32)
-            sign = (2 * bit - 1).astype(np.float32)
+                slots = [h.take(place) for h in low]
+                node.fill(1)
+            bit = (byte >> (7 - j)) & 1
+            sign = signs.take(bit)
             sign *= live
-            xs = [model[c].take(slots[c] + node).astype(np.float32) for c in range(CONTEXTS)]
+            xs = [model[c].take(slots[c] + node, mode="clip").astype(np.float32) for c in range(CONTEXTS)]
             y = xs[0] * (w[j, 0, :on, None] * unit)
             for c in range(1, CONTEXTS):
                 y += xs[c] * (w[j, c, :on, None] * unit)
@@ -208,7 +210,7 @@ def _bits(model: list[np.ndarray], texts: list[bytes]) -> np.ndarray:
             shift[j, :on] += np.float32(SCALE_RATE) * error.sum(axis=1)
             node *= 2
             node += bit
-        cost[:on] -= 8 * half * (~live).sum(axis=1)
+        cost[:on] -= 8 * half * (size - live.sum(axis=1, dtype=np.float64))
         np.clip(scale, 0.3, 3.0, out=scale)
     return cost / np.log(2.0)
 
