@@ -13,7 +13,7 @@ from evalloom.llm import decontamination, language_id, line_dedup, minhash_dedup
 from evalloom.llm.common import cut, table
 
 #: A text whose language is less sure than this is rejected; so is one without letters.
-MIN_LANGUAGE_SCORE = 0.5
+MIN_LANGUAGE_SCORE = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
