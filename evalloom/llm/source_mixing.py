@@ -6,7 +6,8 @@ more than ``max_repeat`` times its own, the excess being reshared by weight unti
 Schedule: slot i of the mix falls on the golden-ratio point frac((i + 1) * phi), which the cumulative
 targets map to a source; the slots of a source are ranked. The words of a source, its documents shuffled
 by hash, form a ring that is cut into blocks of equal size; slot r of the source takes block r of the ring,
-so the ring is read again after its end. The last slot ends where the target is met.
+so the ring is read again after its end. The last slot ends where the target is met. A source that the
+schedule gives fewer slots than its target needs gets the missing ones after it, so each meets its target.
 
 Ranks and word offsets are prefix sums in two levels (within a chunk, and over chunks), so no source is
 sorted in one task.
@@ -84,20 +85,25 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     full = _chunked_offsets(full, "sid", "chunk", ["h", "id", "size"], "size", "start")
 
     block = max(1, total // (slots * max(1, len(names))))
-    # Cumulative targets; the schedule runs a few slots longer than its words, so that rounding starves no source.
+    # Cumulative targets.
     cum, x = [], 0.0
     for s in names:
         x += aim[s]
         cum.append(x)
     share = [c / x for c in cum] if x else []
-    n_slots = -(-total // block) + 8 * len(names)
+    n_slots = -(-total // block)
 
     point = F.expr(f"({PHI}D * (id + 1)) - floor({PHI}D * (id + 1))")
     find = F.udf(lambda p: min(bisect_left(share, p), len(share) - 1), T.IntegerType()) if len(share) > 2000 else None
     pick = F.coalesce(*[F.when(F.col("point") < b, F.lit(i)) for i, b in enumerate(share[:-1])], F.lit(max(0, len(names) - 1))) if find is None else find("point")
     plan = spark.range(n_slots if share else 0).withColumn("point", point).withColumn("sid", pick).withColumn("chunk", F.floor(F.col("id") / (1 << 16))).withColumn("one", F.lit(1))
     plan = _chunked_offsets(plan, "sid", "chunk", ["id"], "one", "rank").select("sid", F.col("rank").cast("long").alias("slot"))
-    plan = plan.join(F.broadcast(dim.select("sid", "quota")), "sid").where(F.col("slot") * block < F.col("quota")).select("sid", "slot")
+    # The schedule gives a source about its share of slots, a small one perhaps none: the slots up to its quota that it lacks follow by rank.
+    due = dim.where("quota > 0").select("sid", F.ceil(F.col("quota") / block).cast("long").alias("due"))
+    plan = plan.join(F.broadcast(due), "sid").where("slot < due").select("sid", "slot")
+    given = plan.groupBy("sid").agg(F.count("*").alias("given"))  # ranks run from 0 without gaps
+    lacking = due.join(F.broadcast(given), "sid", "left").withColumn("given", F.coalesce("given", F.lit(0))).where("given < due")
+    plan = plan.unionByName(lacking.select("sid", F.explode(F.sequence(F.col("given"), F.col("due") - 1)).alias("slot")))
 
     # A document's places on the ring, once for each round that the target reaches, and the slots that they meet.
     rounds = F.explode(F.sequence(F.lit(0), F.floor((F.col("quota") - 1) / F.col("source_size")).cast("long")))

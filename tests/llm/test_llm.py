@@ -146,6 +146,17 @@ def test_mix(spark):
         assert taken[n, round(aim[s], 6)] == pytest.approx(aim[s], rel=0.01, abs=2)
 
 
+@pytest.mark.parametrize("slots", [16, 256])
+def test_mix_small_sources_meet_their_targets(spark, slots):
+    rows = [(i, "w " * 5000, "en", "a", 0) for i in range(200)] + [(1000 + i, "w " * n, "en", f"s{i:02}", 0) for i, n in enumerate([1, 7, 40, 3, 900, 25, 2, 5000] * 5)]
+    out = source_mixing.mix(spark.createDataFrame(rows, DOCS), slots=slots).collect()
+    sizes = {s: sum(len(t) // 2 for _, t, _, x, _ in rows if x == s) for s in {r[3] for r in rows}}
+    aim, taken = source_mixing.targets(sizes), collections.Counter()
+    for r in out:
+        taken["a" if r.doc_id < 1000 else f"s{r.doc_id - 1000:02}"] += r.taken
+    assert {s: taken[s] for s in sizes} == {s: round(aim[s]) for s in sizes}
+
+
 def test_mix_hostile(spark):
     assert source_mixing.mix(hostile(spark)).count() == 9
     assert source_mixing.mix(empty(spark)).count() == 0
