@@ -8,9 +8,10 @@ The least time of each slot is the signature: two bags agree in a slot with the
 weighted Jaccard similarity. Processes run in step and end once they are later than the bag's largest slot.
 
 Signatures are cut into bands; documents that agree in a band are candidates, and candidate pairs are
-verified on the exact bags. A bucket of many is not expanded into pairs: all its members are compared with
-its first one, then (where members stay outside the first one's class) with the next first, and small
-buckets are compared in full across classes. Classes are the connected components of verified pairs.
+verified on the exact bags. First all members of a bucket are compared with its first one, then with the
+first one outside the classes of those before. What is in different classes after that is compared in
+full: all pairs of small buckets, in larger ones those that share a rare run (a prefix filter, which loses no
+similar pair). Classes are the connected components of verified pairs.
 
 Defined results: null and empty texts have no runs and are classes of their own; documents of equal words
 are one node however many there are; class_id is the smallest doc_id of the class (null ids last); repeated
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -35,9 +36,9 @@ THRESHOLD = 0.8
 SLOTS = 128
 #: 25 bands of 5 slots: a pair of similarity 0.8 meets in some band with probability 0.99995.
 BANDS, ROWS = 25, 5
-#: Buckets of at most this many different texts are compared in full across classes.
+#: Buckets of at most this many different texts are compared across classes without the prefix filter.
 SMALL_BUCKET = 40
-#: First members that a larger bucket is compared with, one after another.
+#: First members that a bucket is compared with, one after another, before the rest is compared across classes.
 ROUNDS = 3
 _NULL = (1 << 63) - 1
 _CHUNK = 1000
@@ -152,6 +153,45 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label.node").alias("label"))
 
 
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _across(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of keys with several classes, and whether they are outside their key's largest class (``minor``)."""
+    sizes = rows.groupBy(*key, "label").agg(F.count("*").alias("n"))
+    top = sizes.groupBy(*key).agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
+    return rows.join(top.select(*key, F.col("top.label").alias("top")), key).withColumn("minor", F.col("label") != F.col("top")).drop("top")
+
+
+def _pairs_across(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(x, y): the pairs of one key and different classes; one of the two is always outside the key's largest class."""
+    x = rows.where("minor").select(*key, F.col("node").alias("x"), F.col("label").alias("other"))
+    return x.join(rows.select(*key, F.col("node").alias("y"), "label"), key).where("label <> other").select("x", "y")
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for part in range(0, len(pdf), _CHUNK):
+            own = pdf.iloc[part : part + _CHUNK]
+            doc, element, weight, _ = bag(list(own["text"]))
+            yield pd.DataFrame({"node": own["node"].to_numpy()[doc], "run": element.view(np.int64), "weight": weight})
+
+
+def _rare_runs(texts: DataFrame) -> DataFrame:
+    """(node, run): the rarest runs of each text, so many that two texts similar by THRESHOLD have one of them in common.
+
+    With all texts' runs in one order, the rarest first, texts whose overlap is at least THRESHOLD of either's weight
+    meet in the runs before which either has left THRESHOLD of its weight (prefix filter of the weighted bags).
+    """
+    runs = cut(texts.select("node", "text").mapInPandas(_runs, "node long, run long, weight long"))
+    seen = runs.groupBy("run").agg(F.count("*").alias("seen"))
+    w = Window.partitionBy("node").orderBy("seen", "run")
+    before = F.coalesce(F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = runs.join(seen, "run").withColumn("before", before).withColumn("all", F.sum("weight").over(Window.partitionBy("node")))
+    return left.where(F.col("all") - F.col("before") >= F.col("all") * THRESHOLD - 1e-6).select("node", "run")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, small: int = SMALL_BUCKET) -> DataFrame:
     """Per row: doc_id, ``th`` (hash of its text), ``node`` (hash of its words) and ``class_id``."""
     rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_NULL)).alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("th", F.xxhash64("text"))
@@ -168,25 +208,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ro
     pairs = cut(members.where("node <> hub").select(F.col("hub").alias("x"), F.col("node").alias("y")).select(*pair).distinct())
     tested, edges = pairs, cut(verified(pairs, texts))
     labels = components(edges)
+    hubs = members.select("bucket", "hub").distinct()
     for _ in range(rounds - 1):
-        # Members that are still outside their first hub's class.
-        known = labels.select("node", "label")
-        now = members.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        hubs = known.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-        now = now.join(hubs, "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub"))
-        open_buckets = now.where("label <> hub_label").groupBy("bucket").agg(F.min(F.struct("first", "node", "label")).alias("next"))
-        now = cut(now.join(open_buckets, "bucket").select("bucket", "size", "node", "first", "label", F.col("next.node").alias("next"), F.col("next.label").alias("next_label")))
-        star = now.where("label <> next_label").select(F.col("next").alias("x"), F.col("node").alias("y"))
-        little = now.where(F.col("size") <= small)
-        other = little.select("bucket", F.col("node").alias("y"), F.col("label").alias("other"))
-        across = little.join(other, "bucket").where("node < y and label <> other").select(F.col("node").alias("x"), "y")
-        pairs = cut(star.unionByName(across).select(*pair).distinct().join(tested, ["a", "b"], "left_anti"))
-        more = cut(verified(pairs, texts))
-        if not more.limit(1).count():
+        # The first member of each bucket that is outside the classes of its hubs so far.
+        now = _labelled(members, labels).select("bucket", "node", "first", "label")
+        taken = hubs.join(labels.select(F.col("node").alias("hub"), "label"), "hub", "left").select("bucket", F.coalesce("label", "hub").alias("label")).distinct()
+        nexts = now.join(taken, ["bucket", "label"], "left_anti").groupBy("bucket").agg(F.min(F.struct("first", "node", "label")).alias("next"))
+        nexts = cut(nexts.select("bucket", F.col("next.node").alias("next"), F.col("next.label").alias("next_label")))
+        star = now.join(nexts, "bucket").where("label <> next_label").select(F.col("next").alias("x"), F.col("node").alias("y"))
+        pairs = cut(star.select(*pair).distinct().join(tested, ["a", "b"], "left_anti"))
+        if not pairs.limit(1).count():
             break
-        tested, edges = tested.unionByName(pairs), edges.unionByName(more)
+        tested, edges = tested.unionByName(pairs), edges.unionByName(cut(verified(pairs, texts)))
         labels = components(edges)
-        members = now.select("bucket", "size", "node", "first", F.col("next").alias("hub"))
+        hubs = hubs.unionByName(nexts.select("bucket", F.col("next").alias("hub")))
+    # The rest: whatever is still in different classes of one bucket, so that no pair of a bucket is left out.
+    now = cut(_across(_labelled(members, labels).select("bucket", "size", "node", "label"), ["bucket"]))
+    little = now.where(F.col("size") <= small)
+    large = now.where(F.col("size") > small).select("bucket", "node", "label")
+    rare = _rare_runs(texts.join(large.select("node").distinct(), "node", "left_semi"))
+    large = _across(large.join(rare, "node"), ["bucket", "run"])
+    pairs = _pairs_across(little, ["bucket"]).unionByName(_pairs_across(large, ["bucket", "run"])).select(*pair).distinct()
+    pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+    more = cut(verified(pairs, texts))
+    if more.limit(1).count():
+        labels = components(edges.unionByName(more))
     named = made.where("not empty").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     out = named.join(classes, "label").select("doc_id", "th", "node", "class_id").unionByName(made.where("empty").select("doc_id", "th", "node", F.col("doc_id").alias("class_id")))

@@ -289,6 +289,40 @@ def test_near_duplicates(spark):
     assert got == group
 
 
+def test_near_duplicates_in_a_large_bucket_of_many_classes(spark, monkeypatch):
+    """Every text meets every other in all buckets; of 25 texts of common boilerplate each has one partner."""
+    features = minhash_dedup._features
+
+    def one_bucket(batches):
+        for pdf in features(batches):
+            yield pdf.assign(bands=[[1, 2] if len(b) else [] for b in pdf["bands"]])
+
+    monkeypatch.setattr(minhash_dedup, "_features", one_bucket)
+    rnd = random.Random(18)
+    common = rnd_text(rnd, 60, 5000).split()
+    rows = []
+    for g in range(25):
+        own = rnd_text(rnd, 60, 5000).split()
+        for k in range(2):
+            other = list(own)
+            other[k * 7] = f"x{k}"
+            rows.append((g * 2 + k, " ".join(common + other)))
+    rows += [(100 + k, "again again " * (40 + k)) for k in range(5)]  # heavy runs
+    bags = {}
+    for i, t in rows:
+        w = t.split()
+        bags[i] = collections.Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+    label = {i: i for i in bags}
+    for a in bags:
+        for b in bags:
+            if a < b and (bags[a] & bags[b]).total() >= 0.8 * (bags[a] | bags[b]).total():
+                la, lb = sorted((label[a], label[b]))
+                label = {i: la if x == lb else x for i, x in label.items()}
+    assert 25 <= len(set(label.values())) < 32
+    got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == label
+
+
 def test_near_duplicates_hostile(spark):
     out = minhash_dedup.near_duplicates(hostile(spark)).collect()
     by = collections.defaultdict(set)
