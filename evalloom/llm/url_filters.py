@@ -22,8 +22,6 @@ from .common import table
 
 #: Days of a slice of time.
 SLICE_DAYS = 64
-#: Path segments of a rule at most, and labels of a domain.
-DEPTH, LABELS = 3, 6
 
 
 def host(url: Column) -> Column:
@@ -36,14 +34,17 @@ def path(url: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"/+$", "")
 
 
-def url_rules(url: Column) -> Column:
-    """The rules that match a URL: domain or domain/path, for the host and its parents, for the leading paths."""
+def url_rules(url: Column, labels_most: int, depth: int) -> Column:
+    """The rules that match a URL: domain or domain/path, for the host and its parents, for the leading paths.
+
+    Rules of more labels or path segments than the longest rules of the lists are left out.
+    """
     labels = F.split(host(url), r"\.")
     n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(LABELS))), lambda i: F.array_join(F.slice(labels, n - i + 1, i), "."))
+    domains = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(labels_most))), lambda i: F.array_join(F.slice(labels, n - i + 1, i), "."))
     domains = F.filter(domains, lambda d: F.instr(d, ".") > 0)
     parts = F.filter(F.split(path(url), "/"), lambda p: p != "")
-    paths = F.transform(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(DEPTH))), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i), "/"))))
+    paths = F.transform(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(depth))), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i), "/"))))
     rules = F.flatten(F.transform(domains, lambda d: F.transform(paths, lambda p: F.concat(d, p))))
     return F.when(F.length(host(url)) > 0, rules).otherwise(F.array().cast("array<string>"))
 
@@ -69,8 +70,10 @@ def evaluate(captures: DataFrame, changes: DataFrame, url: str = "url", time: st
     rows = rows.withColumn("__at", F.col(f"`{time}`").cast("date"))
     # Different (url, day) only: repeated captures are evaluated once.
     asked = rows.select(F.col(f"`{url}`").alias("__url"), "__at").where("__url is not null and __at is not null").distinct()
-    asked = asked.withColumn("__rule", F.explode(F.array_distinct(url_rules(F.col("__url"))))).withColumn("__slice", slice_of("__at"))
     spans = validity(changes)
+    # The longest host and path of any rule: one row.
+    longest = spans.agg(F.max(F.size(F.split(F.substring_index("rule", "/", 1), r"\."))).alias("labels"), F.max(F.size(F.split("rule", "/")) - 1).alias("depth")).first()
+    asked = asked.withColumn("__rule", F.explode(F.array_distinct(url_rules(F.col("__url"), longest.labels or 1, longest.depth or 0)))).withColumn("__slice", slice_of("__at"))
     end = asked.agg(F.max("__slice")).first()[0] or 0
     start = asked.agg(F.min("__slice")).first()[0] or 0
     lo, hi = F.greatest(slice_of("since"), F.lit(start)), F.least(F.coalesce(slice_of("until"), F.lit(end)), F.lit(end))

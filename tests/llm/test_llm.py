@@ -235,6 +235,14 @@ def test_url_filters(spark):
     assert url_filters.evaluate(df, changes.limit(0)).where("blocked").count() == 0
 
 
+def test_url_filters_long_hosts_and_deep_paths(spark):
+    changes = spark.createDataFrame([("ads", "a.b.c.d.e.f.g.com", "2020-01-10"), ("spam", "x.com/1/2/3/4/5", "2020-01-10")], "list string, rule string, date string").select("list", "rule", F.lit("add").alias("action"), F.to_date("date").alias("date"))
+    rows = [(1, "http://a.b.c.d.e.f.g.com/q"), (2, "http://z.a.b.c.d.e.f.g.com"), (3, "http://b.c.d.e.f.g.com"), (4, "http://w.x.com/1/2/3/4/5/6?q"), (5, "http://x.com/1/2/3/4")]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("fetched", F.to_date(F.lit("2020-02-01")))
+    got = {r.page_id: ",".join(r.lists) for r in url_filters.evaluate(df, changes).collect()}
+    assert got == {1: "ads", 2: "ads", 3: "", 4: "spam", 5: ""}
+
+
 # 7 ----------------------------------------------------------------------------------------------
 
 
