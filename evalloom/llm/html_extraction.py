@@ -60,22 +60,23 @@ def html_lines(source: str) -> list[tuple[str, int, bool]]:
     """
     lines: list[tuple[str, int, bool]] = []
     buf: list[str] = []
+    link_buf: list[str] = []  # of it, the text inside links
     stack: list[str] = []  # open elements
     skip_at: int | None = None  # depth of the furniture subtree that is being skipped
     link = 0
-    linked = 0
     inside = 0
     at = 0
     raw_end = None
 
+    def plain(parts: list[str]) -> str:
+        return SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
+
     def flush() -> None:
-        nonlocal linked
-        if buf:
-            text = SPACE.sub(" ", html_lib.unescape("".join(buf))).strip()
-            if text:
-                lines.append((text, linked, inside > 0))
-            buf.clear()
-        linked = 0
+        text = plain(buf)
+        if text:
+            lines.append((text, len(plain(link_buf)), inside > 0))
+        buf.clear()
+        link_buf.clear()
 
     n = len(source)
     while at < n:
@@ -93,7 +94,7 @@ def html_lines(source: str) -> list[tuple[str, int, bool]]:
         if text and skip_at is None:
             buf.append(text)
             if link:
-                linked += len(text)
+                link_buf.append(text)
         if not m:
             break
         at = m.end()
@@ -147,14 +148,17 @@ def main_lines(lines: list[tuple[str, int, bool]], window: int = 3, surge: int =
     """The lines between surge and dive points of the windowed text lengths.
 
     A line counts with its text outside links, and not at all if it is mostly links. If the page marks its
-    article (article or main element), lines outside it count as empty and any text is a surge. A region
+    article (article or main element), the mark takes the place of the distribution: lines outside it count as
+    empty, those in it with all their text, links too, and any text is a surge, so all of them stay. A region
     opens where the window's sum reaches ``surge`` characters and closes where it falls to zero; of pages
     without a surge, all lines stay that are not links.
     """
     marked = any(x[2] for x in lines)
-    own = [0 if linked > link_share * len(t) or marked and not within else len(t) - linked for t, linked, within in lines]
     if marked:
+        own = [len(t) if within else 0 for t, _, within in lines]
         surge = 1
+    else:
+        own = [0 if linked > link_share * len(t) else len(t) - linked for t, linked, _ in lines]
     sums = [sum(own[i : i + window]) for i in range(len(own))]
     keep: list[str] = []
     is_open = False

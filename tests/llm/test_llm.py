@@ -94,6 +94,15 @@ def test_html(html, text):
     assert html_extraction.extract_main_text(html) == text
 
 
+def test_html_keeps_links_of_a_marked_article():
+    page = "<nav><a>Home</a></nav><main><h2><a href=x>Linked heading</a></h2><p>Text.</p><ul><li><a>Ref&nbsp;&amp; one</a><li><a>Ref two</a>, p. 3</ul></main><p>outside</p>"
+    assert html_extraction.extract_main_text(page) == "Linked heading\n\nText.\n\nRef & one\n\nRef two, p. 3"
+
+
+def test_html_counts_link_text_decoded():
+    assert html_extraction.html_lines("<p><a>&eacute;&eacute;\n  &amp;</a> plain words</p>") == [("éé & plain words", 4, False)]
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é</p></article>", "clash"), (1, "u", None, None)], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html_extraction.extract(df).collect()) == [("", 0), ("é", 1)]
