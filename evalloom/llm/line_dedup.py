@@ -6,10 +6,10 @@ every different line by (line length, segment number, content); a line probes, f
 match, the substrings of its own that can align with each segment (the multi-match-aware windows). Pairs
 are verified by a banded bit-parallel edit distance.
 
-A segment that very many different lines share is not expanded into pairs: for one edit, its lines go by
+For one edit, a segment that very many different lines share is not expanded into pairs: its lines go by
 their one-character deletions instead (lines that agree after deleting the character at one place are one
 substitution apart, a line that equals another's deletion is one insertion apart), which is exact and
-linear; for more edits, its lines are compared with the earliest of them.
+linear. For more edits all its pairs are verified: exact too, but quadratic in the lines of the segment.
 
 A line is a repeat if an earlier line (smaller document, then smaller line number) equals it or is within
 ``max_edits``; lines under ``min_chars`` are repeats only of equal lines, and blank lines never.
@@ -28,7 +28,7 @@ from .common import cut, table
 
 MAX_EDITS = 1
 MIN_CHARS = 24
-#: Segments of more than this many (index lines x probing lines) are not expanded into pairs.
+#: Segments of more than this many (index lines x probing lines) are not expanded into pairs for one edit.
 HOT_PAIRS = 2500
 #: Up to this many places of lines (some 10 MB) are sent to all tasks.
 BROADCAST_LINES = 200_000
@@ -144,9 +144,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", max
     hot = active.where("hot")
     places = own.select("h", "place")
     if t > 1:
-        hub = hot.join(places, "h").groupBy("key").agg(F.min(F.struct("place", "h")).alias("hub"))
-        star = hot.join(hub, "key").select(F.least("h", "hub.h").alias("a"), F.greatest("h", "hub.h").alias("b")).where("a <> b")
-        pairs = pairs.unionByName(star)
+        every = hot.where("i = 1").select("key", F.col("h").alias("a")).join(hot.select("key", F.col("h").alias("b")), "key").where("a <> b")
+        pairs = pairs.unionByName(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     pairs = cut(pairs.distinct())
 
     # The texts of those lines alone.

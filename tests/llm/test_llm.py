@@ -209,6 +209,28 @@ def test_line_dedup(spark, hot):
     assert {(r.doc, r.no) for r in got} == gone
 
 
+@pytest.mark.parametrize("t", [2, 3])
+def test_line_dedup_hot_segments_of_more_edits(spark, t):
+    """Later lines of a shared segment are near each other, but not near its earliest line."""
+    rnd = random.Random(15 + t)
+    lines = []
+    for _ in range(15):
+        base = "licence of the package with the name " + "".join(rnd.choice("abcdefgh") for _ in range(12))
+        lines += [base, base[:-2] + "xy", base[:-1]]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    late = {d for d, x in enumerate(lines) if any(distance(x, y) <= t for y in lines[:d])}
+    got = line_dedup.repeated_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), max_edits=t, hot_pairs=20)
+    assert {r.doc for r in got.collect()} == late
+
+
 def test_bit_parallel_distance(spark):
     rnd = random.Random(12)
     rows = []
