@@ -110,9 +110,9 @@ def vector_topk(spark, d):
     return rounded(_vector(spark, d, 10))
 
 
-def _hybrid_lists(spark, d):
-    """Both lists of the queries vec_id % 50 = 0: BM25 with the document's first 60 characters, vectors with the embedding."""
-    asked = R.table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+def _hybrid_lists(spark, d, text="text"):
+    """Both lists of the queries vec_id % 50 = 0: BM25 with the document's text, vectors with the embedding."""
+    asked = R.table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.expr(text).alias("query"))
     lex = ranking.Bm25Index(R.whole_documents(spark, d)).search(asked, ranking.CANDIDATES, fallback=False)
     vec = _vector(spark, d, ranking.CANDIDATES).withColumn("chunk_id", F.col("vec_id").cast("string"))
     return lex, vec
@@ -125,8 +125,19 @@ fs AS (SELECT *, round(coalesce(1.0::DOUBLE / (60 + lex), 0) + coalesce(1.0::DOU
 fr AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY fusion DESC, coalesce(lex, 1073741824), vec NULLS FIRST, chunk_id) AS rank, chunk_id, fusion FROM fs)"""
 
 
-@query(f"WITH {_FUSE} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(fusion, 6) AS fusion FROM fr WHERE rank <= 10")
+#: The query text of the two queries whose SQL holds this cut; the queries named _whole have none.
+_PREFIX = "substr(text, 1, 60)"
+_RRF = f"WITH {_FUSE} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(fusion, 6) AS fusion FROM fr WHERE rank <= 10"
+
+
+@query(_RRF)
 def rrf_hybrid(spark, d):
+    lex, vec = _hybrid_lists(spark, d, _PREFIX)
+    return rounded(ranking.fuse(lex, vec).where("rank <= 10"))
+
+
+@query(_RRF.replace(_PREFIX, "text"))
+def rrf_hybrid_whole(spark, d):
     lex, vec = _hybrid_lists(spark, d)
     return rounded(ranking.fuse(lex, vec).where("rank <= 10"))
 
@@ -138,12 +149,24 @@ def rerank_topk(spark, d):
     return ranking.rerank(ranking.fuse(lex, vec).join(docs, "chunk_id").withColumnRenamed("fusion", "score"))
 
 
-@query(f"""WITH {_FUSE}, rel AS (SELECT q.vec_id AS query_id, CAST(v.vec_id AS VARCHAR) AS chunk_id FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+_HIT = f"""WITH {_FUSE}, rel AS (SELECT q.vec_id AS query_id, CAST(v.vec_id AS VARCHAR) AS chunk_id FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
 m AS (SELECT 'lexical_only' AS mode, query_id, chunk_id, rank FROM lr WHERE rank <= 50 UNION ALL SELECT 'vector_only', query_id, CAST(vec_id AS VARCHAR), rank FROM vr WHERE rank <= 50 UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM fr),
 f AS (SELECT mode, query_id, min(rank) AS first FROM m JOIN rel USING (query_id, chunk_id) WHERE rank <= 10 GROUP BY ALL), a AS (SELECT mode, query_id FROM (SELECT DISTINCT mode FROM m), (SELECT DISTINCT query_id FROM rel))
-SELECT mode, count(*) AS n_queries, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_5, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr_at_10 FROM a LEFT JOIN f USING (mode, query_id) GROUP BY mode""")
+SELECT mode, count(*) AS n_queries, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_5, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr_at_10 FROM a LEFT JOIN f USING (mode, query_id) GROUP BY mode"""
+
+
+@query(_HIT)
 def retrieval_hit_mrr(spark, d):
-    lex, vec = _hybrid_lists(spark, d)
+    return _hit_mrr(spark, d, _PREFIX)
+
+
+@query(_HIT.replace(_PREFIX, "text"))
+def retrieval_hit_mrr_whole(spark, d):
+    return _hit_mrr(spark, d, "text")
+
+
+def _hit_mrr(spark, d, text):
+    lex, vec = _hybrid_lists(spark, d, text)
     v = R.table(spark, d, "embeddings").select("vec_id", "label")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
     relevant = v.join(q, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").cast("string").alias("item"))

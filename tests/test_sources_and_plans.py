@@ -81,3 +81,26 @@ def test_stream_upsert(spark, tmp_path):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["rrf_hybrid_whole", "retrieval_hit_mrr_whole"])
+def test_whole_text_searches_agree_with_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(entry.oracle_sql()[name]).fetchall()
+    got = [tuple(r) for r in entry.queries()[name](spark, SF).collect()]
+    near = lambda rows: sorted(tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in rows)
+    assert near(got) == near([tuple(float(x) if type(x).__name__ == "Decimal" else x for x in r) for r in want])
+    assert "substr" not in entry.oracle_sql()[name]
+
+
+def test_lexical_lists_use_terms_beyond_a_prefix(spark, tmp_path):
+    """Document 0 shares only its last word with document 2: that counts for lexical ranks and the rerank."""
+    docs = [(0, "alpha " * 12 + "omega", "s"), (1, "alpha beta", "s"), (2, "omega gamma", "s"), (3, "delta", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, [1.0, 0.0], 0)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    queries = entry.queries()
+    assert {"0", "1", "2"} == {r.chunk_id for r in queries["rrf_hybrid_whole"](spark, str(tmp_path)).collect()}
+    assert {"0", "1", "2"} == {r.chunk_id for r in queries["rerank_topk"](spark, str(tmp_path)).collect()}
