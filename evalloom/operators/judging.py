@@ -101,3 +101,15 @@ def qq_points(values: DataFrame, by: list[str], value: str) -> DataFrame:
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def group_consistency(rows: DataFrame, group: str, vector: str) -> DataFrame:
+    """(group, consistency): mean cosine of all pairs of a group's vectors, (|sum of unit vectors|^2 - n) / (n (n - 1)).
+
+    Null groups, null vectors and vectors of length 0 do not count; groups of fewer than two vectors are left out.
+    """
+    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    own = rows.where(F.col(group).isNotNull()).select(group, v.alias("v"), size.alias("size")).where("size > 0")
+    sums = own.select(group, "size", F.posexplode("v").alias("at", "x")).groupBy(group, "at").agg(F.sum(F.col("x") / F.col("size")).alias("s"), F.count("*").alias("n"))
+    return sums.groupBy(group).agg(F.sum(F.col("s") * F.col("s")).alias("sq"), F.max("n").alias("n")).where("n > 1").select(group, ((F.col("sq") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("consistency"))

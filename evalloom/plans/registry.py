@@ -441,6 +441,11 @@ def embedding_consistency(spark, d):
     return rounded(a.join(b, "vec_id").groupBy("label").agg(F.avg(judging.cosine(F.col("embedding"), F.col("other"))).alias("consistency")))
 
 
+@query("SELECT a.label, round(avg(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS consistency FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label")
+def embedding_group_consistency(spark, d):
+    return rounded(judging.group_consistency(R.table(spark, d, "embeddings"), "label", "embedding"))
+
+
 @query("SELECT l.quality, l.toxic, count(*) AS n, count(*) FILTER (d.doc_id IS NULL) AS unknown FROM labels l LEFT JOIN documents d USING (doc_id) GROUP BY ALL")
 def label_counts(spark, d):
     labels, docs = R.table(spark, d, "labels"), R.table(spark, d, "documents").select("doc_id", F.lit(1).alias("there"))

@@ -185,3 +185,17 @@ def test_missing_columns_and_nan(spark):
 def test_constant_correlation_is_null(spark):
     df = prepared(spark, [row("RAG", f"q{i}", i, confidence=1.0) for i in range(3)])
     assert stats.overconfidence(df).first()["corr"] is None
+
+
+def test_group_consistency_is_the_mean_of_all_pairs(spark):
+    from evalloom.operators import judging
+
+    rnd = random.Random(21)
+    rows = [(i, g, [rnd.uniform(-1, 1) for _ in range(5)]) for i, g in enumerate("aabbbabbaac")] + [(90, "a", [0.0] * 5), (91, "a", None), (92, None, [1.0] * 5)]
+    got = {r.g: r.consistency for r in judging.group_consistency(spark.createDataFrame(rows, "i int, g string, v array<double>"), "g", "v").collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+    for g in "ab":
+        own = [v for _, k, v in rows if k == g and v and any(v)]
+        every = [cos(x, y) for i, x in enumerate(own) for y in own[:i]]
+        assert got.pop(g) == pytest.approx(sum(every) / len(every))
+    assert not got

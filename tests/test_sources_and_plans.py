@@ -83,8 +83,8 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["rrf_hybrid_whole", "retrieval_hit_mrr_whole"])
-def test_whole_text_searches_agree_with_sql(spark, name):
+@pytest.mark.parametrize("name", ["rrf_hybrid_whole", "retrieval_hit_mrr_whole", "embedding_group_consistency"])
+def test_whole_queries_agree_with_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     for t in ("documents", "embeddings", "benchmark"):
