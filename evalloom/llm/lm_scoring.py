@@ -1,17 +1,16 @@
 """Language-model scoring by online logistic context mixing.
 
-Bytes (A-Z lower-cased, UTF-8, then one end byte) are predicted bit by bit. Bit predictors sit in hashed
-tables: for each context (the last 2, 3 and 5 bytes, and the word so far) a slot of 15 nodes holds how
+Bytes (A-Z lower-cased, UTF-8, then one end byte) are predicted bit by bit. Bit predictors are held by
+context: for each one (the last 2, 3 and 5 bytes, and the word so far) a slot of 15 nodes holds how
 often each bit followed in the training texts. Their logits are mixed with weights that the bit's place in
 the byte gates; a second step rescales the mix. Weights and scales start alike for every text and are
 refined on it as its bytes become known, block by block, so a score depends on the text and the training
 counts alone. The sum of -log2 of the bits' probabilities gives the bits of the text.
 
-Training counts are gathered from all training texts: each task counts into its own tables, sends them in
-compressed parts, and the parts are added up by a sort and a merge that holds one part at a time. The sums
-become tables of 8-bit logits of a fixed size (``TABLE_BYTES``), which are broadcast. The word counts of the
-base score grow with the vocabulary and are joined, not broadcast: a batch of documents asks for each of its
-different words (by 64-bit hash) once.
+Training counts are gathered from all training texts in a table of one row a context, which grows with the
+number of different contexts: contexts go by 60 bits of their hash, so that they do not merge. Nothing of
+the table is broadcast or collected: a batch of documents asks for each of its different contexts once and
+gets their 8-bit logits by a join, as it does for the word counts of the base score (by 64-bit hash).
 
 Defined results: null and empty texts hold only the end; without training texts, N and V are 0 and every
 base term is log10(0.5 / 0.5); repeated rows give repeated results; extra columns are not read.
@@ -19,7 +18,6 @@ base term is log10(0.5 / 0.5); repeated rows give repeated results; extra column
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +30,11 @@ from .common import crc_mod, cut, table
 
 ORDERS = (2, 3, 5)
 CONTEXTS = len(ORDERS) + 1
-#: log2 of each context's slots.
+#: log2 of each context's slots in tables that are held in memory as a whole (``count``); ``score`` has no such bound.
 SLOT_BITS = (16, 18, 20, 20)
 CELLS = tuple(1 << (b + 4) for b in SLOT_BITS)
-#: Cells of a part that a task sends.
-PART = 1 << 14
-TABLE_BYTES = sum(CELLS)
+#: The bits of a context's hash that a nibble takes in the rows of counts.
+NIBBLE = np.uint64(15)
 #: Bytes between two updates of a text's weights.
 BLOCK = 64
 START_WEIGHTS = np.array([0.2, 0.2, 0.5, 0.4], dtype=np.float32)
@@ -56,8 +53,8 @@ def text_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def _slots(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(contexts, bytes) slots of the high and the low half of each byte; ``first``: where its text begins."""
+def _hashes(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts, bytes) hashes of the contexts of the high and the low half of each byte; ``first``: where its text begins."""
     n = len(data)
     at = np.arange(n)
     code = data.astype(np.uint64) + np.uint64(1)
@@ -80,20 +77,30 @@ def _slots(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     term = code * power[np.minimum(at - start, 4095)]
     total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(term, dtype=np.uint64)])
     hashes.append((total[at] - total[start]) * np.uint64(0xC2B2AE3D27D4EB4F) + age + np.uint64(9 << 56))
-    high, low = np.empty((CONTEXTS, n), dtype=np.intp), np.empty((CONTEXTS, n), dtype=np.intp)
+    high, low = np.empty((CONTEXTS, n), dtype=np.uint64), np.empty((CONTEXTS, n), dtype=np.uint64)
     half = ((data >> 4).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     for c, h in enumerate(hashes):
-        shift = np.uint64(64 - SLOT_BITS[c])
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-        high[c] = h >> shift
+        high[c] = h
         h ^= half
         h ^= h >> np.uint64(29)
         h *= np.uint64(0x94D049BB133111EB)
-        low[c] = h >> shift
+        low[c] = h
     return high, low
 
 
+def _slots(data: np.ndarray, first: np.ndarray, known: pd.Index | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the high and the low half of each byte: in ``known`` contexts, from 1, 0 for others, or in tables of CELLS."""
+    halves = []
+    for own in _hashes(data, first):
+        if known is None:
+            halves.append(np.stack([(own[c] >> np.uint64(64 - SLOT_BITS[c])).astype(np.intp) for c in range(CONTEXTS)]))
+        else:
+            halves.append(np.stack([known.get_indexer((h & ~NIBBLE).view(np.int64)) + 1 for h in own]))
+    return halves[0], halves[1]
+
+
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All bytes, each text with its end byte, and where each byte's text begins."""
     data = np.frombuffer(b"".join(t + bytes([END]) for t in texts), dtype=np.uint8)
@@ -136,8 +143,8 @@ def logits(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(out * LEVELS), -127, 127).astype(np.int8).reshape(-1)
 
 
-def bits(model: list[np.ndarray], texts: list[bytes]) -> np.ndarray:
-    """Bits of each text, its end included; ``model`` holds the 8-bit logits of each context."""
+def bits(model: list[np.ndarray], texts: list[bytes], known: pd.Index | None = None) -> np.ndarray:
+    """Bits of each text, its end included; ``model`` holds the 8-bit logits of each context, by slot (see ``_slots``)."""
     out = np.zeros(len(texts))
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
     at = 0
@@ -147,7 +154,7 @@ def bits(model: list[np.ndarray], texts: list[bytes]) -> np.ndarray:
             size += len(texts[order[upto]]) + BLOCK
             upto += 1
         own = order[at:upto]
-        out[own] = _bits(model, [texts[i] for i in own])
+        out[own] = _bits(model, [texts[i] for i in own], known)
         at = upto
     return out
 
@@ -161,12 +168,12 @@ def _spans(longest: int) -> Iterator[tuple[int, int]]:
         at += size
 
 
-def _bits(model: list[np.ndarray], texts: list[bytes]) -> np.ndarray:
+def _bits(model: list[np.ndarray], texts: list[bytes], known: pd.Index | None) -> np.ndarray:
     """Bits of texts in order of length, longest first."""
     data, first = _joined(texts)
     n = np.array([len(t) + 1 for t in texts])
     start = np.cumsum(n) - n
-    high, low = _slots(data, first)
+    high, low = _slots(data, first, known)
     high *= 16
     low *= 16
     lanes = len(texts)
@@ -216,44 +223,36 @@ def _bits(model: list[np.ndarray], texts: list[bytes]) -> np.ndarray:
 
 
 def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Parts of this task's tables: (context, part, counts), empty parts left out."""
-    tables = [np.zeros(c, dtype=np.int32) for c in CELLS]
+    """(h, nibble, n): how often a nibble followed the context h."""
     for pdf in batches:
-        count(tables, [text_bytes(t) for t in pdf["text"]])
-    for c, own in enumerate(tables):
-        parts = own.reshape(-1, PART)
-        used = np.flatnonzero(parts.any(axis=1))
-        for i in range(0, len(used), 64):
-            some = used[i : i + 64]
-            yield pd.DataFrame({"context": np.full(len(some), c), "part": some, "counts": [zlib.compress(parts[k].tobytes(), 1) for k in some]})
+        for own in _chunks([text_bytes(t) for t in pdf["text"]]):
+            data, first = _joined(own)
+            high, low = _hashes(data, first)
+            codes = np.concatenate([((high & ~NIBBLE) | (data >> 4).astype(np.uint64)).ravel(), ((low & ~NIBBLE) | (data & 15).astype(np.uint64)).ravel()])
+            code, n = np.unique(codes, return_counts=True)
+            yield pd.DataFrame({"h": (code & ~NIBBLE).view(np.int64), "nibble": (code & NIBBLE).astype(np.int32), "n": n})
 
 
-def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds up equal parts that follow each other and gives their logits."""
-    at, total = None, None
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The 16 logits of each context as two longs."""
+    for pdf in batches:
+        if len(pdf):
+            packed = logits(pdf[[f"n{k}" for k in range(16)]].to_numpy(dtype=np.int64)).view(np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"h": pdf["h"].to_numpy(), "a": packed[:, 0], "b": packed[:, 1]})
 
-    def done():
-        return pd.DataFrame({"context": [at[0]], "part": [at[1]], "logits": [zlib.compress(logits(total).tobytes(), 1)]})
 
-    for pdf in batches:
-        for c, k, blob in zip(pdf["context"], pdf["part"], pdf["counts"], strict=True):
-            if (c, k) != at:
-                if at:
-                    yield done()
-                at, total = (c, k), np.zeros(PART, dtype=np.int64)
-            total += np.frombuffer(zlib.decompress(blob), dtype=np.int32)
-    if at:
-        yield done()
-
-
-def train(texts: DataFrame) -> list[np.ndarray]:
-    """The 8-bit logits of each context from all ``texts`` (one column, text); at most TABLE_BYTES come to the driver."""
-    parts = texts.mapInPandas(_train, "context int, part int, counts binary")
-    parts = parts.repartition("context", "part").sortWithinPartitions("context", "part").mapInPandas(_merge, "context int, part int, logits binary")
-    model = [np.zeros(c, dtype=np.int8) for c in CELLS]
-    for x in parts.toLocalIterator():
-        model[x.context][x.part * PART : (x.part + 1) * PART] = np.frombuffer(zlib.decompress(x.logits), dtype=np.int8)
-    return model
+def train(texts: DataFrame) -> DataFrame:
+    """(h, a, b): the 8-bit logits of every context of all ``texts`` (one column, text)."""
+    counts = texts.mapInPandas(_train, "h long, nibble int, n long")
+    counts = counts.groupBy("h").agg(*[F.coalesce(F.sum(F.when(F.col("nibble") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(16)])
+    return counts.mapInPandas(_pack, "h long, a long, b long")
+
+
+def table_of(contexts: pd.DataFrame) -> np.ndarray:
+    """The logits of (h, a, b) in slots from 1, as ``bits`` reads them; slot 0 is for contexts without counts."""
+    packed = np.zeros((len(contexts) + 1, 2), dtype=np.int64)
+    packed[1:, 0], packed[1:, 1] = contexts["a"].to_numpy(), contexts["b"].to_numpy()
+    return packed.view(np.int8).reshape(-1)
 
 
 def _hash(token: bytes) -> int:
@@ -274,13 +273,17 @@ def _count_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _ask(pdf: pd.DataFrame) -> pd.DataFrame:
-    words = {w for t in pdf["text"] for w in text_bytes(t).split()}
-    return pd.DataFrame({"batch": np.full(len(words), pdf["batch"].iloc[0]), "h": np.array([_hash(w) for w in words], dtype=np.int64)})
+    """The different words (kind 0) and contexts (kind 1) of a batch."""
+    texts = [text_bytes(t) for t in pdf["text"]]
+    words = np.array([_hash(w) for w in {w for t in texts for w in t.split()}], dtype=np.int64)
+    found = np.zeros(0, dtype=np.uint64)
+    for own in _chunks(texts):
+        found = np.unique(np.concatenate([found, *[(h & ~NIBBLE).ravel() for h in _hashes(*_joined(own))]]))
+    return pd.DataFrame({"batch": np.full(len(words) + len(found), pdf["batch"].iloc[0]), "kind": np.repeat([0, 1], [len(words), len(found)]), "h": np.concatenate([words, found.view(np.int64)])})
 
 
 def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), held_out.alias("held_out"))
     training = rows.where("not held_out").select("text")
     n_batches = max(1, -(-rows.count() // batch_rows))
@@ -288,10 +291,11 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     ends = training.count()
     total, different = (sums.n or 0) + ends, sums.v + (ends > 0)
-    model = spark.sparkContext.broadcast(train(training))
+    # Words by their counts, contexts by their logits: both grow with the input and are joined.
+    asked_for = counts.select(F.lit(0).alias("kind"), "h", F.col("n").alias("a"), F.lit(0).cast("long").alias("b")).unionByName(train(training).select(F.lit(1).alias("kind"), "h", "a", "b"))
 
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n_batches)).cast("int"))
-    known = rows.select("batch", "text").groupBy("batch").applyInPandas(_ask, "batch int, h long").join(counts, "h").select("batch", "h", "n")
+    known = rows.select("batch", "text").groupBy("batch").applyInPandas(_ask, "batch int, kind int, h long").join(asked_for, ["kind", "h"]).select("batch", "kind", "h", "a", "b")
 
     def tell(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         texts = [text_bytes(t) for t in pdf["text"]]
@@ -299,18 +303,20 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         ids = dict.fromkeys(w for own in words for w in own)
         ids = dict(zip(ids, range(len(ids)), strict=True))
         h = np.fromiter(map(_hash, ids), dtype=np.int64, count=len(ids))
-        known = known.sort_values("h")
+        contexts = known[known["kind"] == 1]
+        model = table_of(contexts)
+        known = known[known["kind"] == 0].sort_values("h")
         c = np.zeros(len(ids))
         if len(known):
             at = np.minimum(np.searchsorted(known["h"].to_numpy(), h), len(known) - 1)
-            c = np.where(known["h"].to_numpy()[at] == h, known["n"].to_numpy()[at], 0)
+            c = np.where(known["h"].to_numpy()[at] == h, known["a"].to_numpy()[at], 0)
         log = np.log10((c + 0.5) / (total + 0.5 * (different + 1)))
         end = float(np.log10((ends + 0.5) / (total + 0.5 * (different + 1))))
         out = []
         for own in words:
             i = np.fromiter((ids[w] for w in own), dtype=np.int64, count=len(own))
             out.append((len(own) + 1, int((c[i] > 0).sum()) + (ends > 0), float(log[i].sum()) + end))
-        b = bits(model.value, texts)
+        b = bits([model] * CONTEXTS, texts, pd.Index(contexts["h"].to_numpy(dtype=np.int64)))
         frame = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score"])
         frame["doc_id"], frame["held_out"] = pdf["id"].to_numpy(), pdf["held_out"].to_numpy()
         frame["train_tokens"] = total
