@@ -15,7 +15,8 @@ A line is a repeat if an earlier line (smaller document, then smaller line numbe
 ``max_edits``; lines under ``min_chars`` are repeats only of equal lines, and blank lines never.
 
 Defined results: null texts stay null and have no lines; documents are told apart by (key, text): of
-equal rows the lines of all stay or go alike; null keys come before all others; extra columns pass through,
+equal rows the lines of all stay or go alike; null keys come before all others; lines of white space alone (a
+carriage return, tabs) are blank; very long lines are compared whole; extra columns pass through,
 save ``text``, which is replaced, and those named ``n_lines``, ``n_removed`` or ``n_near``, which are too.
 """
 
@@ -32,6 +33,9 @@ MIN_CHARS = 24
 HOT_PAIRS = 2500
 #: Up to this many places of lines (some 10 MB) are sent to all tasks.
 BROADCAST_LINES = 200_000
+#: Parts over which the places of one line are spread where repeats are not sent to all tasks.
+SALT = 16
+BLANKS = " \t\r\x0b\x0c"
 _NULL = -(1 << 63)
 
 
@@ -89,6 +93,23 @@ def within_edits(a: Column, b: Column, t: int) -> Column:
     return let(F.struct(chars(a).alias("a"), chars(b).alias("b")), run)
 
 
+def pieces_agree(a: Column, b: Column, size: Column, t: int) -> Column:
+    """Whether all but ``t`` of 4 (t + 1) pieces of ``a`` stand in ``b`` at most ``t`` places away.
+
+    An edit touches one piece at most, so no pair within ``t`` edits fails; most others do, before the edit distance is taken.
+    """
+    n = 4 * (t + 1)
+    agree = F.lit(0)
+    for i in range(n):
+        start, end = F.floor(size * i / n).cast("int"), F.floor(size * (i + 1) / n).cast("int")
+        piece = a.substr(start + 1, end - start)
+        same = F.lit(False)
+        for shift in sorted(range(-t, t + 1), key=abs):
+            same = same | ((start + shift >= 0) & (b.substr(start + shift + 1, end - start) == piece))
+        agree = agree + F.when(same, 1).otherwise(0)
+    return agree >= n - t
+
+
 def _segments(t: int, size: Column) -> list[tuple[Column, Column]]:
     """(0-based start, length) of the t + 1 segments of a line of ``size`` characters: even, the longer ones last."""
     n = t + 1
@@ -97,8 +118,8 @@ def _segments(t: int, size: Column) -> list[tuple[Column, Column]]:
     return [(short * i + F.greatest(F.lit(0), longer - (n - i)), short + F.when(F.lit(n - i) <= longer, 1).otherwise(0)) for i in range(n)]
 
 
-def _keys(line: Column, size: Column, t: int) -> tuple[Column, Column]:
-    """The index keys and the further probe keys of a line."""
+def _keys(line: Column, size: Column, t: int) -> tuple[list[Column], list[Column]]:
+    """The index keys and the further probe keys of a line; null where a segment does not fit."""
 
     def key(length: Column, i: int, start: Column, n: Column) -> Column:
         fits = (start >= 0) & (start + n <= size) & (n > 0)
@@ -113,55 +134,71 @@ def _keys(line: Column, size: Column, t: int) -> tuple[Column, Column]:
             for shift in range(-t, t + 1):
                 if abs(shift) <= i and abs(shift - less) <= t - i and (less or shift):
                     probes.append(key(size - less, i, start + shift, n))
-    clean = lambda keys: F.array_compact(F.array(*keys))
-    return clean(index), clean(probes)
+    return index, probes
+
+
+def _place(doc: str = "doc", th: str = "th", no: str = "no") -> Column:
+    """One number that orders lines by document, then text (30 bits of its hash), then line number."""
+    whole = lambda x, digits: x.cast(f"decimal({digits},0)")
+    row = whole(F.col(doc), 20) * whole(F.lit(1 << 30), 10) + whole(F.col(th).bitwiseAND(F.lit((1 << 30) - 1)), 10)
+    return whole(row * whole(F.lit(1 << 31), 10) + whole(F.col(no), 10), 38)
 
 
-def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_NULL)).alias("doc"), F.xxhash64(text).alias("th"), F.col(f"`{text}`").alias("text"))
-    return rows.select("doc", "th", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_NULL)).alias("doc"), F.xxhash64(f"`{text}`").alias("th"), F.col(f"`{text}`").alias("text"))
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """The lines of documents that are not blank, and their sizes."""
+    lines = rows.select("doc", "th", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
+    return lines.where(F.btrim("line", F.lit(BLANKS)) != "").withColumn("size", F.length("line"))
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """(doc, th, no, near): the places of the repeats; ``near`` tells those of an earlier line that differs."""
     t = max_edits
-    size = F.length("line")
-    blank = F.trim("line") == ""
-    index, probes = _keys(F.col("line"), size, t)
-    long = size >= min_chars
-    lines = _lines(docs, key, text).where(~blank)
-    lines = lines.select("doc", "th", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2"), F.when(long, index).alias("index"), F.when(long, probes).alias("probes"))
+    rows = _rows(docs, key, text)
+    lines = _lines(rows)
+    hashes = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2")]
+    index, probes = _keys(F.col("line"), F.col("size"), t)
+    names = [f"i{k}" for k in range(len(index))], [f"p{k}" for k in range(len(probes))]
+    long = F.col("size") >= min_chars
+    keys = [F.when(long, c).alias(x) for x, c in zip([*names[0], *names[1]], [*index, *probes], strict=True)]
     # Different lines, each with its first place.
-    own = cut(lines.groupBy("h", "h2").agg(F.min("doc").alias("doc0"), F.min(F.struct("doc", "th", "no")).alias("place"), F.count("*").alias("n"), F.first("index").alias("index"), F.first("probes").alias("probes")).drop("doc0"))
+    made = lines.select(_place().alias("place"), *hashes, *keys)
+    own = cut(made.groupBy("h", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n"), *[F.max(x).alias(x) for x in [*names[0], *names[1]]]))
+
+    def listed(columns: list[str], i: int) -> DataFrame:
+        return own.select("h", F.explode(F.array_compact(F.array(*columns))).alias("key"), F.lit(i).alias("i"))
 
-    keyed = own.select("h", F.explode("index").alias("key"), F.lit(1).alias("i")).unionByName(own.select("h", F.explode("probes").alias("key"), F.lit(0).alias("i")))
+    keyed = listed(names[0], 1)
+    if names[1]:
+        keyed = keyed.unionByName(listed(names[1], 0))
     keyed = keyed.groupBy("key", "h").agg(F.max("i").alias("i"))
     full = keyed.groupBy("key").agg(F.sum("i").alias("ni"), F.count("*").alias("np")).where("ni > 0 and np > 1").withColumn("hot", F.col("ni") * F.col("np") > hot_pairs)
     active = cut(keyed.join(full, "key").select("key", "h", "i", "hot"))
-    cold = active.where("not hot")
-    pairs = cold.where("i = 1").select("key", F.col("h").alias("a")).join(cold.select("key", F.col("h").alias("b")), "key").where("a <> b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def pairs_of(some: DataFrame) -> DataFrame:
+        found = some.where("i = 1").select("key", F.col("h").alias("a")).join(some.select("key", F.col("h").alias("b")), "key").where("a <> b")
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
     hot = active.where("hot")
-    places = own.select("h", "place")
-    if t > 1:
-        every = hot.where("i = 1").select("key", F.col("h").alias("a")).join(hot.select("key", F.col("h").alias("b")), "key").where("a <> b")
-        pairs = pairs.unionByName(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    pairs = cut(pairs.distinct())
+    pairs = cut(pairs_of(active if t > 1 else active.where("not hot")).distinct())
 
     # The texts of those lines alone.
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(hot.select("h")).distinct()
-    wanted = cut(wanted.join(places, "h").select("h", "place.*"))
-    if wanted.count() <= BROADCAST_LINES:  # else both sides are shuffled
-        wanted = F.broadcast(wanted)
-    texts = _lines(docs, key, text).where(long & ~blank).join(wanted, ["doc", "th", "no"])
-    texts = cut(texts.select("h", F.struct("doc", "th", "no").alias("place"), "line").dropDuplicates(["h"]))
-    a = texts.select(F.col("h").alias("a"), F.col("line").alias("line_a"), F.col("place").alias("place_a"))
+    wanted = cut(wanted.join(own.select("h", "place"), "h").select("h", "place"))
+    small = wanted.count() <= BROADCAST_LINES  # else both sides are shuffled
+    texts = lines.where(long).withColumn("place", _place()).join(F.broadcast(wanted) if small else wanted, "place")
+    texts = cut(texts.select("h", "place", "line", "size").dropDuplicates(["h"]))
+    a = texts.select(F.col("h").alias("a"), F.col("line").alias("line_a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"))
     b = texts.select(F.col("h").alias("b"), F.col("line").alias("line_b"), F.col("place").alias("place_b"))
-    near = pairs.join(a, "a").join(b, "b").where(within_edits(F.col("line_a"), F.col("line_b"), t))
+    near = pairs.join(a, "a").join(b, "b").where(pieces_agree(F.col("line_a"), F.col("line_b"), F.col("size_a"), t) & within_edits(F.col("line_a"), F.col("line_b"), t))
     later = near.select(F.when(F.col("place_a") < F.col("place_b"), F.col("b")).otherwise(F.col("a")).alias("h"))
     if t == 1:
-        crowd = texts.join(hot.select("h").distinct(), "h", "left_semi").withColumn("size", size)
-        gone = crowd.select("h", "place", F.explode(F.transform(F.sequence(F.lit(1), F.col("size")), lambda i: F.struct(i.alias("at"), F.xxhash64(F.concat(F.col("line").substr(F.lit(1), i - 1), F.col("line").substr(i + 1, F.col("size")))).alias("d")))).alias("x"))
+        crowd = texts.join(hot.select("h").distinct(), "h", "left_semi")
+        without = lambda i: F.xxhash64(F.concat(F.col("line").substr(F.lit(1), i - 1), F.col("line").substr(i + 1, F.col("size"))))
+        gone = crowd.select("h", "place", F.explode(F.transform(F.sequence(F.lit(1), F.col("size")), lambda i: F.struct(i.alias("at"), without(i).alias("d")))).alias("x"))
         gone = gone.select("h", "place", "x.*")
         # One substitution: equal after deleting the character at one place. The earliest is before all others.
         first = gone.groupBy("at", "d").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -171,9 +208,15 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", max
         insertion = gone.select("d", "h", "place").distinct().join(whole, "d")
         later = later.unionByName(insertion.select(F.when(F.col("place") < F.col("place2"), F.col("h2")).otherwise(F.col("h")).alias("h")))
     later = later.distinct().withColumn("near", F.lit(True))
-    found = own.select("h", "h2", "place", "n").join(later, "h", "left").where("near or n > 1").select("h", "h2", "place", F.coalesce("near", F.lit(False)).alias("near"))
-    at = lines.select("doc", "th", "no", "h", "h2").join(found, ["h", "h2"])
-    return at.where("near or struct(doc, th, no) <> place").select("doc", "th", "no", "near")
+    found = own.select("h", "h2", "place", "n").join(later, "h", "left").where("near or n > 1").select("h", "h2", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    found = cut(found)
+    at = lines.select("doc", "th", "no", *hashes)
+    if found.count() <= BROADCAST_LINES:
+        at = at.join(F.broadcast(found), ["h", "h2"])
+    else:  # the places of a common line are spread over tasks
+        spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        at = at.withColumn("salt", F.pmod(F.xxhash64("doc", "th"), F.lit(SALT)).cast("int")).join(spread, ["h", "h2", "salt"])
+    return at.where(F.col("near") | (_place() != F.col("first"))).select("doc", "th", "no", "near")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -182,7 +225,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", max_ed
     gone = gone.withColumnsRenamed({"doc": "__doc", "th": "__th"})
     keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "n_near")]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep])
-    out = rows.join(gone, (F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_NULL)) == F.col("__doc")) & (F.xxhash64(text) == F.col("__th")), "left")
+    out = rows.join(gone, (F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_NULL)) == F.col("__doc")) & (F.xxhash64(f"`{text}`") == F.col("__th")), "left")
     parts = F.split(F.col(f"`{text}`"), "\n", -1)
     kept = F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
     cols = [kept.alias(c) if c == text else F.col(f"`{c}`") for c in keep]
