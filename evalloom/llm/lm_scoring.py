@@ -1,111 +1,97 @@
 """Language-model scoring by online logistic context mixing.
 
 Bytes (A-Z lower-cased, UTF-8, then one end byte) are predicted bit by bit. Bit predictors are held by
-context: for each one (the last 2, 3 and 5 bytes, and the word so far) a slot of 15 nodes holds how
-often each bit followed in the training texts. Their logits are mixed with weights that the bit's place in
-the byte gates; a second step rescales the mix. Weights and scales start alike for every text and are
-refined on it as its bytes become known, block by block, so a score depends on the text and the training
-counts alone. The sum of -log2 of the bits' probabilities gives the bits of the text.
+context: the last two, four and six bytes, and the word so far. The logits that they give a bit are
+mixed with weights by the bit's place in its byte, and a gate that knows how often the word so far was seen opens
+or shuts each predictor. A second step rescales the mix. Weights and scales start alike for every text and are
+refined on it as its bytes become known, block by block, so a score depends on the text and the training counts alone. The sum of
+-log2 of the bits' probabilities gives the bits of the text.
 
-Training counts are gathered from all training texts in a table of one row a context, which grows with the
-number of different contexts: contexts go by 60 bits of their hash, so that they do not merge. Nothing of
-the table is broadcast or collected: a batch of documents asks for each of its different contexts once and
-gets their 8-bit logits by a join, as it does for the word counts of the base score (by 64-bit hash).
+What is counted over all training texts:
+
+* Contexts of bytes, by 20 bits of the hash of the context and, for the second half of a byte, its first half: three
+  tables whose size does not depend on the input (50 MB together), broadcast.
+* Words, and from them every beginning of a word (up to ``DEPTH`` bytes) with the bytes that follow it, by
+  64 bits of their hash. This table grows with the input and is never broadcast or collected: a batch of documents
+  asks for each of its different word beginnings once and gets their counts by a join. The words' counts,
+  of which the base score is made, come with it. A beginning that was seen once predicts nothing.
+
+A batch is some ``BATCH_MB`` of text; a document is never split.
 
 Defined results: null and empty texts hold only the end; without training texts, N and V are 0 and every
-base term is log10(0.5 / 0.5); repeated rows give repeated results; extra columns are not read.
+base term is log10(0.5 / 0.5); repeated rows give repeated results; null ids stay null; extra columns are
+not read. A very long text is scored whole, by itself if it is longer than a chunk.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, cut, table
 
-ORDERS = (2, 3, 5)
+END = 0xFF
+ORDERS = (2, 4, 6)
+#: log2 of the slots of a table of byte contexts; a slot holds the 15 nodes of half a byte.
+SLOT_BITS = 20
+#: The longest beginning of a word that is a context.
+DEPTH = 20
+#: Predictors: one an order, and the word so far.
 CONTEXTS = len(ORDERS) + 1
-#: log2 of each context's slots in tables that are held in memory as a whole (``count``); ``score`` has no such bound.
-SLOT_BITS = (16, 18, 20, 20)
-CELLS = tuple(1 << (b + 4) for b in SLOT_BITS)
-#: The bits of a context's hash that a nibble takes in the rows of counts.
-NIBBLE = np.uint64(15)
+#: Gate of a byte: the word so far is new to the model, was seen less than COMMON times, or more.
+GATES, COMMON = 3, 24
+#: Weights at the start of a text, by predictor, and the share of them that each gate lets through.
+START_WEIGHTS = np.array([0.25, 0.41, 0.27, 0.25], dtype=np.float32)
+GATE = np.array([[2.4, 1.2, 0.3, 0.0], [1.5, 0.9, 0.6, 1.9], [0.8, 1.0, 1.15, 0.8]], dtype=np.float32)
 #: Bytes between two updates of a text's weights.
 BLOCK = 64
-START_WEIGHTS = np.array([0.2, 0.2, 0.5, 0.4], dtype=np.float32)
-RATE = 0.004
-SCALE_RATE = 0.002
+RATE, SCALE_RATE = 0.005, 0.004
 #: Added to the counts of both bits; a node of n counts keeps n / (n + TRUST) of its logit.
-DELTA, TRUST = 0.05, 1.0
-LEVELS = 15.0  # of the 8-bit logits, a unit
-END = 0xFF
-BATCH_ROWS = 400
+DELTA, TRUST = 0.1, 0.5
+#: Of the 8-bit logits, a unit.
+LEVELS = 15.0
+#: Steps of an 8-bit count, a doubling.
+STEPS = 8
+BATCH_MB = 24
 #: Bytes that are held in arrays at once.
 CHUNK = 1 << 20
+#: Text of a task that counts, words that it holds before it passes them on, and words of a task that counts their beginnings.
+TASK_MB, HELD_WORDS, TASK_WORDS = 128, 300_000, 400_000
+_WHITE = np.zeros(256, dtype=bool)
+_WHITE[[9, 10, 11, 12, 13, 32, END]] = True
+#: The nodes on the way to each half byte, and the signs of its bits.
+_NODE = np.array([[(1 << j) | (v >> (4 - j)) for j in range(4)] for v in range(16)])
+_SIGN = np.array([[2 * (v >> (3 - j) & 1) - 1 for j in range(4)] for v in range(16)], dtype=np.int8)
+_LEAD = np.array([8 - x.bit_length() for x in range(256)], dtype=np.int64)
+_POWER = np.multiply.accumulate(np.full(DEPTH + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
 
 def text_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def _hashes(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(contexts, bytes) hashes of the contexts of the high and the low half of each byte; ``first``: where its text begins."""
-    n = len(data)
-    at = np.arange(n)
-    code = data.astype(np.uint64) + np.uint64(1)
-    hashes = []
-    h = np.zeros(n, dtype=np.uint64)
-    begins = np.flatnonzero(first == at)
-    before = code
-    for back in range(1, max(ORDERS) + 1):
-        before = np.concatenate([np.zeros(1, dtype=np.uint64), before[:-1]])
-        before[begins] = 0  # nothing is before a text
-        h = h * np.uint64(0x100000001B3) + before
-        if back in ORDERS:
-            hashes.append(h + np.uint64(back << 56))
-    # The word so far: sums of powers since the last white space, brought to a common power.
-    white = (data == 32) | ((data >= 9) & (data <= 13))
-    start = np.maximum.accumulate(np.where(np.concatenate([[False], white[:-1]]), at, 0))
-    start = np.maximum(start, first)
-    age = (at - start).astype(np.uint64)
-    power = np.multiply.accumulate(np.full(4096, 0x9E3779B97F4A7C15, dtype=np.uint64))
-    term = code * power[np.minimum(at - start, 4095)]
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(term, dtype=np.uint64)])
-    hashes.append((total[at] - total[start]) * np.uint64(0xC2B2AE3D27D4EB4F) + age + np.uint64(9 << 56))
-    high, low = np.empty((CONTEXTS, n), dtype=np.uint64), np.empty((CONTEXTS, n), dtype=np.uint64)
-    half = ((data >> 4).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    for c, h in enumerate(hashes):
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        high[c] = h
-        h ^= half
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0x94D049BB133111EB)
-        low[c] = h
-    return high, low
-
-
-def _slots(data: np.ndarray, first: np.ndarray, known: pd.Index | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the high and the low half of each byte: in ``known`` contexts, from 1, 0 for others, or in tables of CELLS."""
-    halves = []
-    for own in _hashes(data, first):
-        if known is None:
-            halves.append(np.stack([(own[c] >> np.uint64(64 - SLOT_BITS[c])).astype(np.intp) for c in range(CONTEXTS)]))
-        else:
-            halves.append(np.stack([known.get_indexer((h & ~NIBBLE).view(np.int64)) + 1 for h in own]))
-    return halves[0], halves[1]
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: The key of the empty beginning.
+_EMPTY = _mix(np.zeros(1, dtype=np.uint64))
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes, each text with its end byte, and where each byte's text begins."""
-    data = np.frombuffer(b"".join(t + bytes([END]) for t in texts), dtype=np.uint8)
-    n = np.array([len(t) + 1 for t in texts])
-    return data, np.repeat(np.cumsum(n) - n, n)
+    """All bytes, each text with its end byte, and the length of each with it."""
+    data = np.frombuffer(b"".join(t + b"\xff" for t in texts), dtype=np.uint8)
+    return data, np.array([len(t) + 1 for t in texts], dtype=np.int64)
 
 
 def _chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -120,213 +106,500 @@ def _chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield own
 
 
-def count(tables: list[np.ndarray], texts: list[bytes]) -> None:
-    """Adds the nibbles of the texts to ``tables`` (an array of CELLS a context)."""
-    for own in _chunks(texts):
-        data, first = _joined(own)
-        high, low = _slots(data, first)
-        for c in range(CONTEXTS):
-            cells = np.concatenate([high[c] * 16 + (data >> 4), low[c] * 16 + (data & 15)])
-            np.add.at(tables[c], cells, np.int32(1))
-
-
-def logits(counts: np.ndarray) -> np.ndarray:
-    """8-bit logits of the 15 nodes of each slot (node 1 is the first bit) from the counts of its 16 nibbles."""
-    leaves = counts.reshape(-1, 16).astype(np.float64)
-    out = np.zeros((len(leaves), 16))
-    level = leaves
+# Contexts of bytes: tables of one size
+
+
+def byte_slots(data: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By order, the slots of the first and of the second half of each byte; nothing is before a text."""
+    begins = np.cumsum(n) - n
+    half = ((data >> 4).astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
+    h = np.zeros(len(data), dtype=np.uint32)
+    last = data.astype(np.uint32) + np.uint32(1)
+    shift = np.uint32(32 - SLOT_BITS)
+    for order in range(1, max(ORDERS) + 1):
+        last = np.concatenate([np.zeros(1, dtype=np.uint32), last[:-1]])
+        last[begins] = 0
+        h = (h + last) * np.uint32(0x9E3779B1)
+        if order in ORDERS:
+            own = (h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE35)
+            yield (own >> shift).astype(np.int32), ((own ^ half) * np.uint32(0x9E3779B1) >> shift).astype(np.int32)
+
+
+def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, part, counts) of a task's texts: by order and part of 4,096 slots, how often each half byte followed; kind -1 has the bytes."""
+    counts = [np.zeros(16 << SLOT_BITS, dtype=np.int32) for _ in ORDERS]
+    alone = np.zeros(256, dtype=np.int64)
+    one = np.int32(1)
+    for batch in batches:
+        for own in _chunks([text_bytes(t) for t in batch.column(0).to_pylist()]):
+            data, n = _joined(own)
+            alone += np.bincount(data, minlength=256)
+            for c, (first, second) in zip(counts, byte_slots(data, n), strict=True):
+                np.add.at(c, first * 16 + (data >> 4), one)
+                np.add.at(c, second * 16 + (data & 15), one)
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    yield _packed([-1], [0], [squeeze(alone.tobytes())])
+    for kind, c in enumerate(counts):
+        parts = c.reshape(-1, 1 << 16)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield _packed([kind] * len(some), some.tolist(), [squeeze(parts[i].tobytes()) for i in some])
+
+
+def _packed(kind: list[int], part: list[int], value: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind, type=pa.int32()), pa.array(part, type=pa.int32()), pa.array(value, type=pa.binary())], names=["kind", "part", "value"])
+
+
+def node_logits(counts: np.ndarray) -> np.ndarray:
+    """(slots, 16) 8-bit logits of the nodes (node 1 is the first bit) from the counts of the half bytes that follow."""
+    out = np.zeros((len(counts), 16))
+    level = counts.astype(np.float64)
     for width in (8, 4, 2, 1):
-        level = level.reshape(len(leaves), width, 2)
-        n = level.sum(axis=2)
-        out[:, width : 2 * width] = np.log((level[:, :, 1] + DELTA) / (level[:, :, 0] + DELTA)) * n / (n + TRUST)
+        level = level.reshape(len(counts), width, 2)
+        out[:, width : 2 * width] = _logit(level[:, :, 1], level[:, :, 0])
         level = level.sum(axis=2)
-    return np.clip(np.rint(out * LEVELS), -127, 127).astype(np.int8).reshape(-1)
+    return _rounded(out)
+
+
+def _logit(right: np.ndarray, wrong: np.ndarray) -> np.ndarray:
+    n = right + wrong
+    return np.log((right + DELTA) / (wrong + DELTA)) * (n / (n + TRUST))
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(x * LEVELS), -127, 127).astype(np.int8)
+
+
+def _sum_parts(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The logits of one part, from the counts of all tasks; the bytes' counts as they are."""
+    kind, part = (x.as_py() for x in key)
+    total = np.zeros(256 if kind < 0 else 1 << 16, dtype=np.int64)
+    expand = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for value in batch.column("value").to_pylist():
+            total += np.frombuffer(expand(value), dtype=np.int64 if kind < 0 else np.int32)
+    yield _packed([kind], [part], [total.tobytes() if kind < 0 else node_logits(total.reshape(-1, 16)).tobytes()])
+
+
+class ByteTables:
+    """The logits of all slots by order, and the shares of the bytes that end words."""
+
+    def __init__(self, nodes: list[np.ndarray], ends_as: np.ndarray):
+        self.nodes, self.ends_as, self._ways = nodes, ends_as, None
+
+    def __getstate__(self):
+        return {"nodes": self.nodes, "ends_as": self.ends_as, "_ways": None}
+
+    @property
+    def ways(self) -> list[np.ndarray]:
+        """By order, slot and half byte: the four logits towards its bits, as one number."""
+        if self._ways is None:
+            self._ways = []
+            for nodes in self.nodes:
+                own = np.empty((len(nodes) // 16, 16, 4), dtype=np.int8)
+                for v in range(16):
+                    own[:, v] = nodes.reshape(-1, 16)[:, _NODE[v]] * _SIGN[v]
+                self._ways.append(own.view(np.uint32).reshape(-1))
+        return self._ways
+
+    def logits(self, data: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
+        """By order, the logits (bytes, 8) towards the bits of each byte of texts of ``n`` bytes."""
+        for way, (first, second) in zip(self.ways, byte_slots(data, n), strict=True):
+            out = np.empty((len(data), 2), dtype=np.uint32)
+            out[:, 0] = way.take((first << 4) | (data >> 4))
+            out[:, 1] = way.take((second << 4) | (data & 15))
+            yield out.view(np.int8)
+
+
+def byte_tables(texts: DataFrame) -> ByteTables:
+    """Counted over all texts; of one size, whatever the input."""
+    schema = "kind int, part int, value binary"
+    out = [np.zeros(16 << SLOT_BITS, dtype=np.int8) for _ in ORDERS]
+    alone = np.zeros(256)
+    for x in texts.mapInArrow(_count_bytes, schema).groupBy("kind", "part").applyInArrow(_sum_parts, schema).collect():
+        if x.kind < 0:
+            alone = np.where(_WHITE, np.frombuffer(x.value, dtype=np.int64), 0)
+        else:
+            out[x.kind][x.part << 16 : (x.part + 1) << 16] = np.frombuffer(x.value, dtype=np.int8)
+    return ByteTables(out, alone / max(1.0, alone.sum()))
+
+
+# Words and their beginnings: a table that grows with the input
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: Counter[bytes] = Counter()
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(found), type=pa.binary()), pa.array(list(found.values()), type=pa.int64())], names=["word", "n"])
+        found.clear()
+        return out
+
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            found.update(text_bytes(t).split())
+        if len(found) > HELD_WORDS:
+            yield flush()
+    yield flush()
+
+
+def _long_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word, 1)
+
+
+class Words:
+    """Bytes and beginnings of a list of words."""
+
+    def __init__(self, words: list[bytes]):
+        self.data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        self.n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        self.start = np.cumsum(self.n) - self.n
+        self.at = (np.arange(len(self.data)) - np.repeat(self.start, self.n)).astype(np.int32)  # the place of each byte in its word
+        code = (self.data.astype(np.uint64) + np.uint64(1)) * _POWER[np.minimum(self.at, DEPTH)]
+        code[self.at >= DEPTH] = 0
+        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(code, dtype=np.uint64)])
+
+    def before(self, i: np.ndarray) -> np.ndarray:
+        """Hashes of the word's bytes before each byte ``i``, at most DEPTH places into it."""
+        d = self.at[i]
+        return _mix(self.sums[i] - self.sums[i - d] + d.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+    def whole(self, w: np.ndarray) -> np.ndarray:
+        """Hashes of the words ``w``, of at most DEPTH bytes, as beginnings."""
+        return _mix(self.sums[self.start[w] + self.n[w]] - self.sums[self.start[w]] + self.n[w].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def word_keys(words: list[bytes], own: Words) -> np.ndarray:
+    """The key of each word: its hash as a beginning, or one of the whole word if it is longer than DEPTH."""
+    keys = np.zeros(len(words), dtype=np.uint64)
+    short = own.n <= DEPTH
+    keys[short] = own.whole(np.flatnonzero(short))
+    for i in np.flatnonzero(~short):
+        keys[i] = _long_hash(words[i])
+    return keys
+
+
+def _code(n: np.ndarray) -> np.ndarray:
+    """8-bit logarithm of a count."""
+    return np.minimum(np.rint(STEPS * np.log2(n)), 255).astype(np.uint8)
+
+
+def _beginnings(words: list[bytes], n: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each depth: (key, ends, first, symbol, count) of different sorted ``words``, counted ``n`` times.
+
+    key and ends (how often a word ends there) by beginning, first where its followers start in symbol and count.
+    """
+    own = Words(words)
+    for d in range(DEPTH + 1):
+        w = np.flatnonzero(own.n >= d)
+        if not len(w):
+            return
+        more = own.n[w] > d
+        key = np.zeros(len(w), dtype=np.uint64)
+        key[more] = own.before(own.start[w[more]] + d)
+        key[~more] = own.whole(w[~more])
+        symbol = np.full(len(w), -1, dtype=np.int64)
+        symbol[more] = own.data[own.start[w[more]] + d]
+        new = np.ones(len(w), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (symbol[1:] != symbol[:-1])
+        at = np.flatnonzero(new)
+        count, key, symbol = np.add.reduceat(n[w], at), key[at], symbol[at]
+        head = np.ones(len(key), dtype=bool)
+        head[1:] = key[1:] != key[:-1]
+        begins = np.flatnonzero(head)
+        ends = np.where(symbol[begins] < 0, count[begins], 0)  # the word that ends comes first
+        follows = symbol >= 0
+        first = np.concatenate([[0], np.cumsum(follows)])[begins]
+        yield key[begins], ends, first, symbol[follows], count[follows]
+
+
+def _beginning_rows(edges: bool):
+    """A task of sorted words gives (h, ends, next): ``next`` holds the symbols that follow and their counts.
+
+    Other tasks can have the beginnings of the first and the last word too: those come with exact counts if
+    ``edges``, and the others, with 8-bit ones, if not.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: list[bytes] = []
+        n: list[np.ndarray] = []
+        for batch in batches:
+            words += batch.column(0).to_pylist()
+            n.append(batch.column(1).to_numpy())
+        if not words:
+            return
+        counts = np.concatenate(n)
+        ends_of = Words([words[0][: DEPTH + 1], words[-1][: DEPTH + 1]])
+        open_keys = np.concatenate([ends_of.before(np.flatnonzero(ends_of.at <= DEPTH)), ends_of.whole(np.flatnonzero(ends_of.n <= DEPTH))])
+        for key, ends, first, symbol, count in _beginnings(words, counts):
+            open_ = np.isin(key, open_keys)
+            size = np.diff(np.append(first, len(symbol)))
+            seen = np.bincount(np.repeat(np.arange(len(size)), size), count, len(size))
+            chosen = open_ if edges else ~open_ & ((seen > 1) | (ends > 0))
+            pick = np.flatnonzero(chosen)
+            if edges:
+                value = [np.stack([symbol[first[i] : first[i] + size[i]], count[first[i] : first[i] + size[i]]]).astype(np.int64).tobytes() for i in pick]
+                packed = pa.array(value, type=pa.binary())
+            else:
+                keep = np.repeat(chosen, size)
+                pairs = np.stack([symbol[keep].astype(np.uint8), _code(count[keep])], axis=1)
+                offsets = np.concatenate([[0], np.cumsum(2 * size[pick])]).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(pairs.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(key[pick].view(np.int64)), pa.array(ends[pick].astype(np.int64)), packed], names=["h", "ends", "next"])
+        if not edges:
+            long = [i for i, w in enumerate(words) if len(w) > DEPTH]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([_long_hash(words[i]) for i in long], dtype=np.uint64).view(np.int64)), pa.array(counts[long].astype(np.int64)), pa.array([b""] * len(long), type=pa.binary())], names=["h", "ends", "next"])
+
+    return run
+
+
+def _merge_edges(group: pa.Table) -> pa.Table:
+    """One beginning whose followers were counted in several tasks."""
+    total = np.zeros(256, dtype=np.int64)
+    for value in group.column("next").to_pylist():
+        symbol, count = np.frombuffer(value, dtype=np.int64).reshape(2, -1)
+        np.add.at(total, symbol, count)
+    symbol = np.flatnonzero(total)
+    pairs = np.stack([symbol.astype(np.uint8), _code(total[symbol])], axis=1) if len(symbol) else np.zeros((0, 2), dtype=np.uint8)
+    ends = sum(group.column("ends").to_pylist())
+    out = pa.table({"h": group.column("h").slice(0, 1), "ends": pa.array([ends], type=pa.int64()), "next": pa.array([pairs.tobytes()], type=pa.binary())})
+    return out if ends or total.sum() > 1 else out.slice(0, 0)
+
+
+def word_beginnings(counts: DataFrame, n_words: int) -> DataFrame:
+    """(h, ends, next) of every beginning of a word of ``counts`` (word, n): sorted words, so that most are whole in a task."""
+    schema = "h long, ends long, next binary"
+    dealt = counts.repartitionByRange(max(1, -(-n_words // TASK_WORDS)), "word").sortWithinPartitions("word")
+    edges = dealt.mapInArrow(_beginning_rows(True), schema).groupBy("h").applyInArrow(_merge_edges, schema)
+    return dealt.mapInArrow(_beginning_rows(False), schema).unionByName(edges)
+
+
+class Known:
+    """The rows (h, ends, next) that a batch got, in order of h."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.combine_chunks()
+        h = rows.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(h, kind="stable")
+        self.h, self.ends = h[order], rows.column("ends").to_numpy()[order]
+        chunk = rows.column("next").chunk(0) if len(rows) else pa.array([], type=pa.binary())
+        offsets = np.frombuffer(chunk.buffers()[1], dtype=np.int32)[chunk.offset : chunk.offset + len(h) + 1] if len(h) else np.zeros(1, dtype=np.int32)
+        self.pairs = np.frombuffer(chunk.buffers()[2], dtype=np.uint8) if len(h) and chunk.buffers()[2] else np.zeros(0, dtype=np.uint8)
+        self.first, self.size = offsets[:-1][order].astype(np.int64), (np.diff(offsets)[order] // 2).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 for none."""
+        if not len(self.h):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.h, keys), len(self.h) - 1)
+        return np.where(self.h[at] == keys, at, -1)
+
+
+def edge_logits(known: Known, row: np.ndarray, byte: np.ndarray, ends_as: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """8-bit logits (n, 8) of the bits of ``byte`` after the beginnings ``row``, towards the bits, and the times seen.
+
+    ``ends_as``: the shares of the bytes (white space, end) with which words end.
+    """
+    size = known.size[row]
+    i = np.repeat(np.arange(len(row)), size)
+    at = np.repeat(known.first[row] - 2 * (np.cumsum(size) - size), size) + 2 * np.arange(len(i))
+    weight = np.exp2(known.pairs[at + 1] / STEPS)
+    shared = np.bincount(i * 9 + _LEAD[known.pairs[at] ^ byte[i]], weight, 9 * len(row)).reshape(-1, 9)
+    for symbol in np.flatnonzero(ends_as):
+        np.add.at(shared, (np.arange(len(row)), _LEAD[byte ^ np.uint8(symbol)]), known.ends[row] * ends_as[symbol])
+    agree = np.cumsum(shared[:, ::-1], axis=1)[:, ::-1]  # counts that share at least so many first bits
+    return _rounded(_logit(agree[:, 1:], agree[:, :-1] - agree[:, 1:])), agree[:, 0]
+
+
+# Mixing
+
+
+def mix_bits(x: list[np.ndarray], gate: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Bits of texts, longest first; ``x``: of each predictor, the 8-bit logits (bytes, 8) towards the bits that came."""
+    lanes, start = len(n), np.cumsum(n) - n
+    rows = [np.ascontiguousarray(v).view(np.uint64).reshape(-1) for v in x]
+    w = np.broadcast_to(START_WEIGHTS[:, None, None], (len(x), lanes, 8)).astype(np.float32)
+    scale = np.ones((lanes, 8), dtype=np.float32)
+    cost = np.zeros(lanes)
+    open_ = np.ascontiguousarray(GATE.T / np.float32(LEVELS))
+    one, most = np.float32(1), np.float32(10)
+    at, total = 0, int(start[-1] + n[-1])
+    while at < n[0]:
+        size = BLOCK if at < 32 * BLOCK else 4 * BLOCK if at < 128 * BLOCK else 16 * BLOCK
+        on = int(np.searchsorted(-n, -at, side="left"))
+        place = np.minimum((start[:on] + at)[:, None] + np.arange(size), total - 1)
+        live = (np.arange(at, at + size) < n[:on, None]).astype(np.float32)[:, None]
+        g = gate.take(place)
+        own = []  # by text, bit and byte
+        for c, r in enumerate(rows):
+            v = r.take(place).view(np.int8).reshape(on, size, 8).transpose(0, 2, 1).astype(np.float32, order="C")
+            v *= open_[c].take(g)[:, None]
+            own.append(v)
+        y = own[0] * w[0, :on, :, None]
+        part = np.empty_like(y)
+        for c in range(1, len(x)):
+            np.multiply(own[c], w[c, :on, :, None], out=part)
+            y += part
+        q = np.multiply(y, -scale[:on, :, None], out=part)
+        np.minimum(q, most, out=q)
+        np.maximum(q, -most, out=q)
+        np.exp(q, out=q)
+        d = q + one
+        cost[:on] += np.einsum("lb,lb->l", np.log(np.multiply.reduce(d, axis=1)), live[:, 0], dtype=np.float64)
+        q /= d  # the probability of the other bit
+        q *= live
+        slower = np.float32((BLOCK / size) ** 0.5)
+        scale[:on] += np.float32(SCALE_RATE) * slower * np.einsum("ljb,ljb->lj", q, y)
+        np.clip(scale, 0.5, 2.0, out=scale)
+        for c in range(len(x)):
+            w[c, :on] += np.float32(RATE) * slower * np.einsum("ljb,ljb->lj", q, own[c])
+        at += size
+    return cost / np.log(2.0)
 
 
-def bits(model: list[np.ndarray], texts: list[bytes], known: pd.Index | None = None) -> np.ndarray:
-    """Bits of each text, its end included; ``model`` holds the 8-bit logits of each context, by slot (see ``_slots``)."""
-    out = np.zeros(len(texts))
+def _different(texts: list[bytes]) -> list[bytes]:
+    words: set[bytes] = set()
+    for t in texts:
+        words.update(t.split())
+    return list(words)
+
+
+def asked(texts: list[bytes]) -> np.ndarray:
+    """The keys of all words and beginnings of the texts, the empty one too."""
+    listed = _different(texts)
+    own = Words(listed)
+    inner = own.before(np.flatnonzero((own.at <= DEPTH) & (own.at > 0)))
+    return pd.unique(np.concatenate([_EMPTY, word_keys(listed, own), inner]))
+
+
+def score_batch(texts: list[bytes], tables: ByteTables, known: Known) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Bits of each text, how often each different word was seen in training, and the words of each text."""
+    words = _different(texts)
+    ids = dict(zip(words, range(len(words)), strict=True))
+    split = (t.split() for t in texts)
+    tokens = [np.fromiter(map(ids.__getitem__, x), dtype=np.int32, count=len(x)) for x in split]
+    del ids
+    own, n_words = Words(words), len(words)
+    # A row of logits for each byte of each different word, then for each different word and byte that ends it.
+    inner = np.flatnonzero(own.at <= DEPTH)
+    found = known.find(word_keys(words, own))
+    seen = np.where(found >= 0, known.ends[np.maximum(found, 0)], 0) if len(known.h) else np.zeros(n_words, dtype=np.int64)
+    after = np.append(np.where(own.n <= DEPTH, found, -1), known.find(_EMPTY))  # the empty word is the last
+    enders = np.array([i for i in np.flatnonzero(_WHITE) if i == END or any(bytes([i]) in t for t in texts)])
+    at_letter = np.full(len(own.data), -1, dtype=np.int32)
+    place, different = pd.factorize(own.before(inner))
+    at_letter[inner] = known.find(different)[place]
+    row = np.concatenate([at_letter, np.repeat(after.astype(np.int32), len(enders))])
+    del at_letter, place, different, inner
+    byte = np.concatenate([own.data, np.tile(enders, n_words + 1).astype(np.uint8)])
+    ender = np.zeros(256, dtype=np.int64)
+    ender[enders] = np.arange(len(enders))
+    parts = []
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
     at = 0
     while at < len(order):
         size, upto = 0, at
-        while upto < len(order) and (size == 0 or size + len(texts[order[upto]]) <= CHUNK):
-            size += len(texts[order[upto]]) + BLOCK
+        while upto < len(order) and (size == 0 or size + len(texts[order[upto]]) < CHUNK):
+            size += len(texts[order[upto]]) + 1
             upto += 1
-        own = order[at:upto]
-        out[own] = _bits(model, [texts[i] for i in own], known)
+        parts.append(order[at:upto])
         at = upto
-    return out
-
-
-def _spans(longest: int) -> Iterator[tuple[int, int]]:
-    """(start, size) of the blocks between updates: small ones first, the same for every text."""
-    at = 0
-    while at < longest:
-        size = BLOCK if at < 32 * BLOCK else 4 * BLOCK if at < 128 * BLOCK else 16 * BLOCK
-        yield at, size
-        at += size
-
-
-def _bits(model: list[np.ndarray], texts: list[bytes], known: pd.Index | None) -> np.ndarray:
-    """Bits of texts in order of length, longest first."""
-    data, first = _joined(texts)
-    n = np.array([len(t) + 1 for t in texts])
-    start = np.cumsum(n) - n
-    high, low = _slots(data, first, known)
-    high *= 16
-    low *= 16
-    lanes = len(texts)
-    w = np.repeat(START_WEIGHTS[None, :, None], 8, axis=0).repeat(lanes, axis=2)  # by bit and context
-    scale, shift = np.ones((8, lanes), dtype=np.float32), np.zeros((8, lanes), dtype=np.float32)
-    cost = np.zeros(lanes)
-    unit = np.float32(1 / LEVELS)
-    half = float(np.log(np.float32(2)))
-    signs = np.array([-1, 1], dtype=np.float32)
-    for at, size in _spans(int(n[0])):
-        on = int(np.searchsorted(-n, -at, side="left"))
-        place = np.minimum((start[:on] + at)[:, None] + np.arange(size), len(data) - 1)
-        live = (np.arange(at, at + size) < n[:on, None]).astype(np.float32)
-        byte = data[place]
-        slots = [h.take(place) for h in high]
-        node = np.ones(place.shape, dtype=np.intp)
-        rate = np.float32(RATE * (BLOCK / size) ** 0.5)
-        for j in range(8):
-            if j == 4:
-                slots = [h.take(place) for h in low]
-                node.fill(1)
-            bit = (byte >> (7 - j)) & 1
-            sign = signs.take(bit)
-            sign *= live
-            xs = [model[c].take(slots[c] + node, mode="clip").astype(np.float32) for c in range(CONTEXTS)]
-            y = xs[0] * (w[j, 0, :on, None] * unit)
-            for c in range(1, CONTEXTS):
-                y += xs[c] * (w[j, c, :on, None] * unit)
-            q = scale[j, :on, None] * y
-            q += shift[j, :on, None]
-            q *= -sign
-            np.minimum(q, np.float32(60), out=q)
-            np.exp(q, out=q)
-            d = q + np.float32(1)
-            cost[:on] += np.log(d).sum(axis=1, dtype=np.float64)
-            error = q / d  # the probability of the other bit
-            error *= sign
-            for c in range(CONTEXTS):
-                w[j, c, :on] += rate * unit * np.einsum("lb,lb->l", error, xs[c])
-            scale[j, :on] += np.float32(SCALE_RATE) * np.einsum("lb,lb->l", error, y)
-            shift[j, :on] += np.float32(SCALE_RATE) * error.sum(axis=1)
-            node *= 2
-            node += bit
-        cost[:on] -= 8 * half * (size - live.sum(axis=1, dtype=np.float64))
-        np.clip(scale, 0.3, 3.0, out=scale)
-    return cost / np.log(2.0)
-
-
-def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(h, nibble, n): how often a nibble followed the context h."""
-    for pdf in batches:
-        for own in _chunks([text_bytes(t) for t in pdf["text"]]):
-            data, first = _joined(own)
-            high, low = _hashes(data, first)
-            codes = np.concatenate([((high & ~NIBBLE) | (data >> 4).astype(np.uint64)).ravel(), ((low & ~NIBBLE) | (data & 15).astype(np.uint64)).ravel()])
-            code, n = np.unique(codes, return_counts=True)
-            yield pd.DataFrame({"h": (code & ~NIBBLE).view(np.int64), "nibble": (code & NIBBLE).astype(np.int32), "n": n})
-
-
-def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The 16 logits of each context as two longs."""
-    for pdf in batches:
-        if len(pdf):
-            packed = logits(pdf[[f"n{k}" for k in range(16)]].to_numpy(dtype=np.int64)).view(np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"h": pdf["h"].to_numpy(), "a": packed[:, 0], "b": packed[:, 1]})
-
-
-def train(texts: DataFrame) -> DataFrame:
-    """(h, a, b): the 8-bit logits of every context of all ``texts`` (one column, text)."""
-    counts = texts.mapInPandas(_train, "h long, nibble int, n long")
-    counts = counts.groupBy("h").agg(*[F.coalesce(F.sum(F.when(F.col("nibble") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(16)])
-    return counts.mapInPandas(_pack, "h long, a long, b long")
-
-
-def table_of(contexts: pd.DataFrame) -> np.ndarray:
-    """The logits of (h, a, b) in slots from 1, as ``bits`` reads them; slot 0 is for contexts without counts."""
-    packed = np.zeros((len(contexts) + 1, 2), dtype=np.int64)
-    packed[1:, 0], packed[1:, 1] = contexts["a"].to_numpy(), contexts["b"].to_numpy()
-    return packed.view(np.int8).reshape(-1)
-
-
-def _hash(token: bytes) -> int:
-    h = xxhash.xxh3_64_intdigest(token)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def _count_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    found: dict[bytes, int] = {}
-    for pdf in batches:
-        for t in pdf["text"]:
-            for w in text_bytes(t).split():
-                found[w] = found.get(w, 0) + 1
-        if len(found) > 400_000:
-            yield pd.DataFrame({"h": [_hash(w) for w in found], "n": found.values()})
-            found = {}
-    yield pd.DataFrame({"h": np.array([_hash(w) for w in found], dtype=np.int64), "n": np.array(list(found.values()), dtype=np.int64)})
-
-
-def _ask(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The different words (kind 0) and contexts (kind 1) of a batch."""
-    texts = [text_bytes(t) for t in pdf["text"]]
-    words = np.array([_hash(w) for w in {w for t in texts for w in t.split()}], dtype=np.int64)
-    found = np.zeros(0, dtype=np.uint64)
-    for own in _chunks(texts):
-        found = np.unique(np.concatenate([found, *[(h & ~NIBBLE).ravel() for h in _hashes(*_joined(own))]]))
-    return pd.DataFrame({"batch": np.full(len(words) + len(found), pdf["batch"].iloc[0]), "kind": np.repeat([0, 1], [len(words), len(found)]), "h": np.concatenate([words, found.view(np.int64)])})
-
 
-def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", batch_rows: int = BATCH_ROWS) -> DataFrame:
+    def places(some: list[int], data: np.ndarray) -> np.ndarray:
+        """The row of each byte."""
+        run_word = np.concatenate([tokens[i] for i in some]) if some else np.zeros(0, dtype=np.int32)
+        white = _WHITE[data]
+        begin = ~white
+        begin[1:] &= white[:-1]
+        run = np.cumsum(begin) - 1
+        first = np.flatnonzero(begin)
+        out = np.empty(len(data), dtype=np.int64)
+        letters = np.flatnonzero(~white)
+        out[letters] = own.start[run_word[run[letters]]] + letters - first[run[letters]]
+        ends = np.flatnonzero(white)
+        after_word = np.zeros(len(ends), dtype=bool)
+        after_word[ends > 0] = ~white[ends[ends > 0] - 1]
+        word = np.full(len(ends), n_words)
+        word[after_word] = run_word[run[ends[after_word]]]
+        out[ends] = len(own.data) + word * len(enders) + ender[data[ends]]
+        return out
+
+    gate = np.zeros(len(row), dtype=np.int8)
+    logits = np.zeros((len(row), 8), dtype=np.int8)
+    i = np.flatnonzero(row >= 0)
+    back, edge = pd.factorize(row[i].astype(np.int64) * 256 + byte[i])
+    if len(edge):
+        made = [edge_logits(known, e >> 8, (e & 255).astype(np.uint8), tables.ends_as) for e in np.array_split(edge, -(-len(edge) // (1 << 17)))]
+        times = np.concatenate([m[1] for m in made])
+        logits[i] = (np.concatenate([m[0] for m in made]) * (times > 1.5)[:, None])[back]
+        gate[i] = np.where(times < 1.5, 0, np.where(times < COMMON, 1, 2))[back]
+    packed = logits.view(np.uint64).reshape(-1)
+    bits = np.zeros(len(texts))
+    for some in parts:
+        data, n = _joined([texts[i] for i in some])
+        place = places(some, data)
+        x = [*tables.logits(data, n), packed.take(place).view(np.int8).reshape(-1, 8)]
+        bits[some] = mix_bits(x, gate.take(place), n)
+    return bits, seen, tokens
+
+
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes, lower-cased, for the shuffle."""
+    c = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        text = pa.array([c.compress(text_bytes(t)) for t in batch.column(3).to_pylist()], type=pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], text], names=["batch", "id", "held_out", "text"])
+
+
+def _texts(group: pa.Table) -> list[bytes]:
+    d = zstandard.ZstdDecompressor()
+    return [d.decompress(x) for x in group.column("text").to_pylist()]
+
+
+def _ask(group: pa.Table) -> pa.Table:
+    keys = asked(_texts(group))
+    return pa.table({"batch": pa.array(np.full(len(keys), group.column("batch")[0].as_py(), dtype=np.int32)), "h": pa.array(keys.view(np.int64))})
+
+
+_RESULT = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+
+
+def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", batch_mb: float = BATCH_MB) -> DataFrame:
     """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), held_out.alias("held_out"))
     training = rows.where("not held_out").select("text")
-    n_batches = max(1, -(-rows.count() // batch_rows))
-    counts = cut(training.mapInPandas(_count_tokens, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    sizes = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(~F.col("held_out")).alias("training"), F.sum(F.when(~F.col("held_out"), F.octet_length("text"))).alias("training_bytes")).first()
+    n_batches = int(max(1, (sizes.bytes or 0) // (batch_mb * (1 << 20)) + 1))
+    training = training.coalesce(int((sizes.training_bytes or 0) // (TASK_MB << 20) + 1))
+    counts = cut(training.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    ends = training.count()
+    ends = sizes.training or 0
     total, different = (sums.n or 0) + ends, sums.v + (ends > 0)
-    # Words by their counts, contexts by their logits: both grow with the input and are joined.
-    asked_for = counts.select(F.lit(0).alias("kind"), "h", F.col("n").alias("a"), F.lit(0).cast("long").alias("b")).unionByName(train(training).select(F.lit(1).alias("kind"), "h", "a", "b"))
-
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n_batches)).cast("int"))
-    known = rows.select("batch", "text").groupBy("batch").applyInPandas(_ask, "batch int, kind int, h long").join(asked_for, ["kind", "h"]).select("batch", "kind", "h", "a", "b")
-
-    def tell(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        texts = [text_bytes(t) for t in pdf["text"]]
-        words = [t.split() for t in texts]
-        ids = dict.fromkeys(w for own in words for w in own)
-        ids = dict(zip(ids, range(len(ids)), strict=True))
-        h = np.fromiter(map(_hash, ids), dtype=np.int64, count=len(ids))
-        contexts = known[known["kind"] == 1]
-        model = table_of(contexts)
-        known = known[known["kind"] == 0].sort_values("h")
-        c = np.zeros(len(ids))
-        if len(known):
-            at = np.minimum(np.searchsorted(known["h"].to_numpy(), h), len(known) - 1)
-            c = np.where(known["h"].to_numpy()[at] == h, known["a"].to_numpy()[at], 0)
-        log = np.log10((c + 0.5) / (total + 0.5 * (different + 1)))
-        end = float(np.log10((ends + 0.5) / (total + 0.5 * (different + 1))))
-        out = []
-        for own in words:
-            i = np.fromiter((ids[w] for w in own), dtype=np.int64, count=len(own))
-            out.append((len(own) + 1, int((c[i] > 0).sum()) + (ends > 0), float(log[i].sum()) + end))
-        b = bits([model] * CONTEXTS, texts, pd.Index(contexts["h"].to_numpy(dtype=np.int64)))
-        frame = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score"])
-        frame["doc_id"], frame["held_out"] = pdf["id"].to_numpy(), pdf["held_out"].to_numpy()
-        frame["train_tokens"] = total
-        frame["score"] = -b * np.log10(2.0)
-        frame["bits_per_byte"] = b / [len(t) + 1 for t in texts]
-        return frame[["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]]
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    side = rows.select("batch", "id", "text", "held_out")
-    return side.groupBy("batch").cogroup(known.groupBy("batch")).applyInPandas(tell, schema).withColumnRenamed("doc_id", key)
+    shared = spark.sparkContext.broadcast(byte_tables(training))
+
+    # Rows without an id are told apart by where they stand, so that none of their batches is crowded.
+    where = F.when(F.col("id").isNull(), F.monotonically_increasing_id())
+    side = rows.select(F.pmod(F.xxhash64("id", "text", where), F.lit(n_batches)).cast("int").alias("batch"), "id", "held_out", "text").mapInArrow(_squeeze, "batch int, id long, held_out boolean, text binary")
+    asked = side.groupBy("batch").applyInArrow(_ask, "batch int, h long")
+    known = asked.join(word_beginnings(counts, sums.v), "h").select("batch", "h", "ends", "next")
+    log_total = float(np.log10(total + 0.5 * (different + 1)))
+    log_end = float(np.log10(ends + 0.5)) - log_total
+
+    def tell(group: pa.Table, known: pa.Table) -> pa.Table:
+        texts = _texts(group)
+        bits, seen, tokens = score_batch(texts, shared.value, Known(known))
+        log = np.log10(seen + 0.5) - log_total
+        n = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+        own = np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.int64)
+        doc = np.repeat(np.arange(len(tokens)), n)
+        base = np.bincount(doc, log[own], len(tokens)) + log_end
+        n_known = np.bincount(doc, seen[own] > 0, len(tokens)).astype(np.int64) + (ends > 0)
+        return pa.table({
+            "id": group.column("id"), "held_out": group.column("held_out"), "n_tokens": n + 1, "n_known": n_known, "train_tokens": np.full(len(n), total, dtype=np.int64),
+            "base_score": base, "score": -bits * np.log10(2.0), "bits_per_byte": bits / np.array([len(t) + 1 for t in texts]),
+        })
+
+    return side.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(tell, _RESULT).withColumnRenamed("id", key)
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,40 +55,6 @@ def test_lm_scores_match_the_base_and_are_probabilities(spark):
         assert r.score < 0
 
 
-def test_lm_bit_probabilities_sum_to_one():
-    """Over all one-byte continuations of a text the probabilities of (byte, end) and of the end sum to at most 1."""
-    texts = [b"abcabc", b"abd"] * 5
-    tables = [np.zeros(c, dtype=np.int32) for c in lm_scoring.CELLS]
-    lm_scoring.count(tables, texts)
-    model = [lm_scoring.logits(t) for t in tables]
-    p = 2.0 ** -lm_scoring.bits(model, [b""])[0]
-    p += sum(2.0 ** -lm_scoring.bits(model, [bytes([x])])[0] for x in range(255))
-    assert 0 < p <= 1 + 1e-5
-    together = lm_scoring.bits(model, [b"abc", b"", b"abd" * 100])
-    assert together == pytest.approx([lm_scoring.bits(model, [t])[0] for t in (b"abc", b"", b"abd" * 100)], rel=1e-4)
-
-
-def test_lm_contexts_grow_with_the_input_and_do_not_merge(spark):
-    """As many contexts as the texts have, more than a table of 2^16 slots could tell apart; equal bits where nothing merges."""
-    rnd = random.Random(11)
-    texts = ["".join(chr(rnd.randrange(256, 2000)) for _ in range(200)) for _ in range(60)]
-    want = set()
-    for t in texts:
-        data = lm_scoring.text_bytes(t) + bytes([lm_scoring.END])
-        for i, x in enumerate(data):
-            for half in (None, x >> 4):
-                want |= {(k, bytes(data[max(0, i - k) : i]), i < k and i, half) for k in lm_scoring.ORDERS} | {("word", data[:i], half)}
-    got = lm_scoring.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    assert got.count() == len(want) > 1 << 16
-    small = [b"the cat sat", b"the dog sat"] * 3
-    rows = lm_scoring.train(spark.createDataFrame([(t.decode(),) for t in small], "text string")).toPandas()
-    model = lm_scoring.table_of(rows)
-    tables = [np.zeros(c, dtype=np.int32) for c in lm_scoring.CELLS]
-    lm_scoring.count(tables, small)
-    dense = lm_scoring.bits([lm_scoring.logits(t) for t in tables], [b"the cat"])
-    assert lm_scoring.bits([model] * lm_scoring.CONTEXTS, [b"the cat"], lm_scoring.pd.Index(rows["h"].to_numpy())) == pytest.approx(dense, rel=0.01)
-
-
 def test_lm_empty_table(spark):
     from evalloom.llm.common import crc_mod
 
