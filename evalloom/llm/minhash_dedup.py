@@ -9,13 +9,14 @@ weighted Jaccard similarity. Processes run in step and end once they are later t
 
 Signatures are cut into bands; documents that agree in a band are candidates, and candidate pairs are
 verified on the exact bags. First all members of a bucket are compared with its first one, then with the
-first one outside the classes of those before. What is in different classes after that is compared in
-full: all pairs of small buckets, in larger ones those that share a rare run (a prefix filter, which loses no
-similar pair). Classes are the connected components of verified pairs.
+first one outside the classes of those before. What is then still in different classes of a bucket is
+compared in full, whatever the bucket's size: its members are dealt into blocks, every pair of blocks is one task's
+work and gives one edge for each two classes that it joins, so that pairs of texts never become rows.
+Classes are the connected components of verified pairs.
 
 Defined results: null and empty texts have no runs and are classes of their own; documents of equal words
 are one node however many there are; class_id is the smallest doc_id of the class (null ids last); repeated
-rows give repeated results; extra columns are not read.
+rows give repeated results; very long texts are compared whole; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -36,10 +37,12 @@ THRESHOLD = 0.8
 SLOTS = 128
 #: 25 bands of 5 slots: a pair of similarity 0.8 meets in some band with probability 0.99995.
 BANDS, ROWS = 25, 5
-#: Buckets of at most this many different texts are compared across classes without the prefix filter.
-SMALL_BUCKET = 40
 #: First members that a bucket is compared with, one after another, before the rest is compared across classes.
 ROUNDS = 3
+#: Texts of a block of a bucket, and pairs of a hub that one task reads together with the hub's text.
+BLOCK = 400
+#: Pairs of equal elements that are held at once while blocks are compared.
+HELD = 4_000_000
 _NULL = (1 << 63) - 1
 _CHUNK = 1000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -124,11 +127,90 @@ def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that are similar: (a, b, fa, fb), the nodes and their first documents; ``texts`` has node, first and text."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = texts.join(used, "node", "left_semi")
-    full = pairs.join(own.select(F.col("node").alias("b"), F.col("first").alias("fb"), F.col("text").alias("text_b")), "b").join(own.select(F.col("node").alias("a"), F.col("first").alias("fa"), F.col("text").alias("text_a")), "a")
-    return full.select("a", "b", "fa", "fb", "text_a", "text_b").mapInPandas(_similar, "a long, b long, fa long, fb long")
+    """The pairs that are similar: (a, b, fa, fb), the nodes and their first documents; ``texts`` has node, first and text.
+
+    The pairs of a node that has many are spread, its text is sent with each part.
+    """
+    for side in ("a", "b"):
+        parts = pairs.groupBy(F.col(side).alias("node")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        own = texts.join(parts, "node").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        own = own.select(F.col("node").alias(side), "part", "parts", F.col("first").alias(f"f{side}"), F.col("text").alias(f"text_{side}"))
+        other = F.xxhash64("b" if side == "a" else "a")
+        pairs = pairs.join(parts.withColumnRenamed("node", side), side).withColumn("part", F.pmod(other, F.col("parts")).cast("int")).drop("parts")
+        pairs = pairs.join(own.drop("parts"), [side, "part"]).drop("part")
+    return pairs.select("a", "b", "fa", "fb", "text_a", "text_b").mapInPandas(_similar, "a long, b long, fa long, fb long")
+
+
+def _compare(own: pd.DataFrame) -> pd.DataFrame:
+    """One edge (a, b, fa, fb) for each two labels that similar texts of the two sides join."""
+    doc, element, weight, _ = bag(list(own["text"]))
+    # A weight of w is w elements, so that overlaps are counts.
+    i = np.repeat(np.arange(len(doc)), weight)
+    copy = np.arange(len(i)) - np.repeat(np.cumsum(weight) - weight, weight)
+    doc, element = doc[i], mix(element[i] + copy.astype(np.uint64) * _STEP)
+    side, label = own["side"].to_numpy(), own["label"].to_numpy()
+    total = np.bincount(doc, minlength=len(own))
+    right = side[doc] == 1
+    order = np.argsort(element[right], kind="stable")
+    others, elements = doc[right][order], element[right][order]
+    left_doc, left = doc[~right], element[~right]  # in order of text
+    lo, hi = np.searchsorted(elements, left, "left"), np.searchsorted(elements, left, "right")
+    many = np.concatenate([[0], np.cumsum(hi - lo)])
+    names, found = np.flatnonzero(side == 0), []
+    cuts = np.searchsorted(left_doc, np.append(names, len(own)))
+    at = 0
+    while at < len(names):
+        upto = max(at + 1, int(np.searchsorted(many[cuts], many[cuts[at]] + HELD, "right")) - 1)
+        rows = slice(cuts[at], cuts[upto])
+        n = hi[rows] - lo[rows]
+        k = np.repeat(lo[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pair, both = np.unique(np.repeat(left_doc[rows], n).astype(np.int64) * len(own) + others[k], return_counts=True)
+        x, y = pair // len(own), pair % len(own)
+        ok = (both >= THRESHOLD * (total[x] + total[y] - both)) & (label[x] != label[y])
+        found.append(np.stack([x[ok], y[ok]], axis=1))
+        at = upto
+    x, y = np.concatenate(found).T if found else (np.zeros(0, dtype=np.int64),) * 2
+    low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+    keep = ~pd.DataFrame({"l": low, "h": high}).duplicated().to_numpy()
+    node, first = own["node"].to_numpy(), own["first"].to_numpy()
+    return pd.DataFrame({"a": node[x[keep]], "b": node[y[keep]], "fa": first[x[keep]], "fb": first[y[keep]]})
+
+
+def _compare_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come in order of their group; the last one of a batch may go on in the next."""
+    rest: list[pd.DataFrame] = []
+    for pdf in batches:
+        new = np.flatnonzero(pdf["grp"].to_numpy()[1:] != pdf["grp"].to_numpy()[:-1]) + 1
+        for piece in np.split(np.arange(len(pdf)), new):
+            if len(piece):
+                some = pdf.iloc[piece]
+                if rest and rest[0]["grp"].iloc[0] != some["grp"].iloc[0]:
+                    yield _compare(pd.concat(rest, ignore_index=True))
+                    rest = []
+                rest.append(some)
+    if rest:
+        yield _compare(pd.concat(rest, ignore_index=True))
+
+
+def across_classes(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Edges between the classes of one bucket: (a, b, fa, fb), from ``members`` (bucket, node, label), all pairs of different labels compared.
+
+    Every pair has a member outside the bucket's largest class: blocks of those are held against blocks of all.
+    """
+    # Bands often have the same members: one bucket of each kind is enough.
+    kinds = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y"))
+    once = kinds.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
+    sizes = members.join(once.select("bucket"), "bucket", "left_semi").groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    top = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("classes"), F.sum("n").alias("n")).where("classes > 1")
+    top = top.select("bucket", F.col("top.label").alias("top"), F.ceil(F.col("n") / block).cast("int").alias("nr"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("int").alias("nl"))
+    rows = members.join(top, "bucket")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("label <> top").select("bucket", own("nl").alias("i"), each("nr").alias("j"), "node", "label", F.lit(0).alias("side"))
+    right = rows.select("bucket", each("nl").alias("i"), own("nr").alias("j"), "node", "label", F.lit(1).alias("side"))
+    dealt = left.unionByName(right).select(F.xxhash64("bucket", "i", "j").alias("grp"), "node", "label", "side").join(texts, "node")
+    dealt = dealt.select("grp", "side", "node", "label", "first", "text").repartition("grp").sortWithinPartitions("grp", "side")
+    return dealt.mapInPandas(_compare_groups, "a long, b long, fa long, fb long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -157,42 +239,7 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _across(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The rows of keys with several classes, and whether they are outside their key's largest class (``minor``)."""
-    sizes = rows.groupBy(*key, "label").agg(F.count("*").alias("n"))
-    top = sizes.groupBy(*key).agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
-    return rows.join(top.select(*key, F.col("top.label").alias("top")), key).withColumn("minor", F.col("label") != F.col("top")).drop("top")
-
-
-def _pairs_across(rows: DataFrame, key: list[str]) -> DataFrame:
-    """(x, y): the pairs of one key and different classes; one of the two is always outside the key's largest class."""
-    x = rows.where("minor").select(*key, F.col("node").alias("x"), F.col("label").alias("other"))
-    return x.join(rows.select(*key, F.col("node").alias("y"), "label"), key).where("label <> other").select("x", "y")
-
-
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for part in range(0, len(pdf), _CHUNK):
-            own = pdf.iloc[part : part + _CHUNK]
-            doc, element, weight, _ = bag(list(own["text"]))
-            yield pd.DataFrame({"node": own["node"].to_numpy()[doc], "run": element.view(np.int64), "weight": weight})
-
-
-def _rare_runs(texts: DataFrame) -> DataFrame:
-    """(node, run): the rarest runs of each text, so many that two texts similar by THRESHOLD have one of them in common.
-
-    With all texts' runs in one order, the rarest first, texts whose overlap is at least THRESHOLD of either's weight
-    meet in the runs before which either has left THRESHOLD of its weight (prefix filter of the weighted bags).
-    """
-    runs = cut(texts.select("node", "text").mapInPandas(_runs, "node long, run long, weight long"))
-    seen = runs.groupBy("run").agg(F.count("*").alias("seen"))
-    w = Window.partitionBy("node").orderBy("seen", "run")
-    before = F.coalesce(F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = runs.join(seen, "run").withColumn("before", before).withColumn("all", F.sum("weight").over(Window.partitionBy("node")))
-    return left.where(F.col("all") - F.col("before") >= F.col("all") * THRESHOLD - 1e-6).select("node", "run")
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, small: int = SMALL_BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """Per row: doc_id, ``th`` (hash of its text), ``node`` (hash of its words) and ``class_id``."""
     rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_NULL)).alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("th", F.xxhash64("text"))
     made = cut(rows.mapInPandas(_features, "doc_id long, th long, node long, bands array<long>, empty boolean"))
@@ -222,15 +269,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ro
         tested, edges = tested.unionByName(pairs), edges.unionByName(cut(verified(pairs, texts)))
         labels = components(edges)
         hubs = hubs.unionByName(nexts.select("bucket", F.col("next").alias("hub")))
-    # The rest: whatever is still in different classes of one bucket, so that no pair of a bucket is left out.
-    now = cut(_across(_labelled(members, labels).select("bucket", "size", "node", "label"), ["bucket"]))
-    little = now.where(F.col("size") <= small)
-    large = now.where(F.col("size") > small).select("bucket", "node", "label")
-    rare = _rare_runs(texts.join(large.select("node").distinct(), "node", "left_semi"))
-    large = _across(large.join(rare, "node"), ["bucket", "run"])
-    pairs = _pairs_across(little, ["bucket"]).unionByName(_pairs_across(large, ["bucket", "run"])).select(*pair).distinct()
-    pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-    more = cut(verified(pairs, texts))
+    # The rest: whatever is still in different classes of one bucket, without the first members, which all were held against.
+    rest = members.select("bucket", "node").join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
+    more = cut(across_classes(cut(_labelled(rest, labels).select("bucket", "node", "label")), texts, block))
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
     named = made.where("not empty").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

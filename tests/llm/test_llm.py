@@ -86,6 +86,30 @@ def test_html_keeps_links_of_a_marked_article():
     assert html_extraction.extract_main_text(page) == "Linked heading\n\nText.\n\nRef & one\n\nRef two, p. 3"
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<body><form id=aspnet><div class=menu><a>Home</a></div><article><h1>T</h1><p>Inside a form.</p></article></form></body>", "T\n\nInside a form."),
+        ("<article><div class='entry-header'><h1>Title</h1></div><p>Text.</p></article>", "Title\n\nText."),
+        ("<article><p title=it's>One</p><p>it's two</p></article><p class='x'>no</p>", "One\n\nit's two"),
+        ("<article><p>See <a href=x>a long linked paragraph of the text</a></p></article>", "See a long linked paragraph of the text"),
+        ("<article><p>Short.</p></article><p>" + "Unmarked text. " * 60 + "</p>", "Short.\n\n" + ("Unmarked text. " * 60).strip()),
+        ("<p>Lead</p><article><p>Short.</p></article><p>after</p>", "Short."),
+    ],
+)
+def test_html_structure_and_weights(html, text):
+    assert html_extraction.extract_main_text(html) == text
+
+
+def test_html_marks_do_not_decide(spark):
+    """The test pages with their article and main elements turned into plain ones give the same text."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect() if r.html]
+    assert pages
+    for page in pages:
+        plain = re.sub(r"<(/?)(?:article|main)\b", r"<\1div", page)
+        assert html_extraction.extract_main_text(plain) == html_extraction.extract_main_text(page)
+
+
 def test_html_counts_link_text_decoded():
     assert html_extraction.html_lines("<p><a>&eacute;&eacute;\n  &amp;</a> plain words</p>") == [("éé & plain words", 4, False)]
 
@@ -110,6 +134,11 @@ def test_language(spark):
     assert got["日本"][0] in ("en", "de") and all(0 <= s <= 1 for _, s in got.values())
 
 
+def test_language_letters():
+    assert language_id.letters("x² ½ ①Ⅷ añb_c1d Straße") == ["x", "añb", "c", "d", "Straße"]
+    assert language_id.Model([("en", 0, "a", 1)], {("en", 0): 1}).predict(["² ½ ①", "Ⅷ"])[0] == ["und", "und"]
+
+
 def test_language_hostile(spark):
     model = language_id.train(hostile(spark))
     assert language_id.predict(hostile(spark), model).count() == 9
@@ -345,8 +374,9 @@ def test_near_duplicates_in_a_large_bucket_of_many_classes(spark, monkeypatch):
                 la, lb = sorted((label[a], label[b]))
                 label = {i: la if x == lb else x for i, x in label.items()}
     assert 25 <= len(set(label.values())) < 32
-    got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == label
+    for block in (400, 7):
+        got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+        assert got == label
 
 
 def test_near_duplicates_hostile(spark):
