@@ -25,6 +25,7 @@ not read. A very long text is scored whole, by itself if it is longer than a chu
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -180,26 +181,29 @@ def _sum_parts(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
     yield _packed([kind], [part], [total.tobytes() if kind < 0 else node_logits(total.reshape(-1, 16)).tobytes()])
 
 
+#: The ways of the tables that this process used last: one run's at a time.
+_WAYS: dict[str, list[np.ndarray]] = {}
+
+
 class ByteTables:
     """The logits of all slots by order, and the shares of the bytes that end words."""
 
     def __init__(self, nodes: list[np.ndarray], ends_as: np.ndarray):
-        self.nodes, self.ends_as, self._ways = nodes, ends_as, None
-
-    def __getstate__(self):
-        return {"nodes": self.nodes, "ends_as": self.ends_as, "_ways": None}
+        self.nodes, self.ends_as, self.name = nodes, ends_as, uuid.uuid4().hex
 
     @property
     def ways(self) -> list[np.ndarray]:
         """By order, slot and half byte: the four logits towards its bits, as one number."""
-        if self._ways is None:
-            self._ways = []
+        if self.name not in _WAYS:
+            _WAYS.clear()
+            made = []
             for nodes in self.nodes:
                 own = np.empty((len(nodes) // 16, 16, 4), dtype=np.int8)
                 for v in range(16):
                     own[:, v] = nodes.reshape(-1, 16)[:, _NODE[v]] * _SIGN[v]
-                self._ways.append(own.view(np.uint32).reshape(-1))
-        return self._ways
+                made.append(own.view(np.uint32).reshape(-1))
+            _WAYS[self.name] = made
+        return _WAYS[self.name]
 
     def logits(self, data: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
         """By order, the logits (bytes, 8) towards the bits of each byte of texts of ``n`` bytes."""
