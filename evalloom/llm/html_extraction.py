@@ -1,10 +1,12 @@
 """Main-text extraction by line-block distribution.
 
 Markup is stripped into blocks (one "line" each), the text lengths of a sliding window of lines are
-summed, and the text between a surge of that sum and the next dive is kept.
+summed, and the text between a surge of that sum and the next dive is kept. Furniture (menus, forms, scripts,
+and elements whose names say so) gives no lines. An article or main element weighs in the sums: a line in it counts
+as a surge by itself, one outside it for an eighth of its length, and only if that alone is a surge.
 
 Defined results: null or empty html gives an empty text; html without any surge gives its longest
-region of plain text, or the empty text if nothing is left after stripping; repeated rows give repeated
+region of plain text, or the empty text if nothing is left after stripping; very long pages are read whole; repeated rows give repeated
 results; extra columns of the input pass through unless they clash with ``text`` or ``n_chars``,
 which are replaced.
 """
@@ -35,7 +37,7 @@ FURNITURE = re.compile(
     re.I,
 )
 KEEP_FURNITURE_TAGS = frozenset("html body main article".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|$)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*?)(?:>|$)", re.S)
 ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
@@ -53,6 +55,13 @@ def _is_furniture(tag: str, attrs: str) -> bool:
     return any(FURNITURE.search(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(attrs))
 
 
+def _opens(tag: str, skipped: str, in_article: bool) -> bool:
+    """Whether an element within a skipped one shows that it is no furniture."""
+    if skipped == "form":
+        return tag in ("article", "main", "h1")
+    return in_article and tag == "h1" and skipped not in ("nav", "footer", "aside")
+
+
 def html_lines(source: str) -> list[tuple[str, int, bool]]:
     """Blocks of the page in order: (text, characters inside links, within an article or main element).
 
@@ -131,6 +140,8 @@ def html_lines(source: str) -> list[tuple[str, int, bool]]:
         if attrs.endswith("/") and tag in ("svg", "iframe"):
             continue
         stack.append(tag)
+        if skip_at is not None and len(stack) > skip_at and _opens(tag, stack[skip_at - 1], inside > 0):
+            skip_at = None  # a form around the page, a header in the article: what comes from here on is not furniture
         if tag == "a":
             link += 1
         if tag in ("article", "main"):
@@ -144,28 +155,29 @@ def html_lines(source: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
-def main_lines(lines: list[tuple[str, int, bool]], window: int = 3, surge: int = 80, link_share: float = 0.5) -> list[str]:
+def main_lines(lines: list[tuple[str, int, bool]], window: int = 3, surge: int = 80, link_share: float = 0.5, outside: float = 0.125) -> list[str]:
     """The lines between surge and dive points of the windowed text lengths.
 
-    A line counts with its text outside links, and not at all if it is mostly links. If the page marks its
-    article (article or main element), the mark takes the place of the distribution: lines outside it count as
-    empty, those in it with all their text, links too, and any text is a surge, so all of them stay. A region
-    opens where the window's sum reaches ``surge`` characters and closes where it falls to zero; of pages
-    without a surge, all lines stay that are not links.
+    A line weighs its text outside links, and nothing if it is mostly links. If the page marks its article (article
+    or main element), a line in it weighs all its text, links too, and a surge at least; a line outside weighs the share
+    ``outside`` of its own, and nothing below a surge. A region opens where the sum over ``window`` lines reaches
+    ``surge`` and closes where it falls to zero; of pages without a surge, all lines stay that have weight.
     """
     marked = any(x[2] for x in lines)
-    if marked:
-        own = [len(t) if within else 0 for t, _, within in lines]
-        surge = 1
-    else:
-        own = [0 if linked > link_share * len(t) else len(t) - linked for t, linked, _ in lines]
-    sums = [sum(own[i : i + window]) for i in range(len(own))]
+    own: list[float] = []
+    for t, linked, within in lines:
+        weight: float = 0 if linked > link_share * len(t) else len(t) - linked
+        if marked:
+            weight = max(len(t), surge) if within else weight * outside
+            weight = weight if weight >= surge else 0
+        own.append(weight)
     keep: list[str] = []
     is_open = False
     for i, (t, _, _) in enumerate(lines):
-        if not is_open and sums[i] >= surge and own[i]:
+        total = sum(own[i : i + window])
+        if not is_open and total >= surge and own[i]:
             is_open = True
-        elif is_open and sums[i] == 0:
+        elif is_open and total == 0:
             is_open = False
         if is_open and own[i]:
             keep.append(t)
