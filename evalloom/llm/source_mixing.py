@@ -67,7 +67,7 @@ def _chunked_offsets(df: DataFrame, group: str, chunk: str, order: list, value:
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeat: float = MAX_REPEAT, slots: int = SLOTS) -> DataFrame:
-    """Per row: key, size, source_size, target (its source's) and taken."""
+    """Per row: key, size, source_size, target (its source's), taken, and first_slot (where the mix takes it first; null if never)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{source}`").alias("source"), n_words(F.col(f"`{text}`")).alias("size"))
     rows = cut(rows)  # ids, sources and sizes: the texts are read once
@@ -97,13 +97,13 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     find = F.udf(lambda p: min(bisect_left(share, p), len(share) - 1), T.IntegerType()) if len(share) > 2000 else None
     pick = F.coalesce(*[F.when(F.col("point") < b, F.lit(i)) for i, b in enumerate(share[:-1])], F.lit(max(0, len(names) - 1))) if find is None else find("point")
     plan = spark.range(n_slots if share else 0).withColumn("point", point).withColumn("sid", pick).withColumn("chunk", F.floor(F.col("id") / (1 << 16))).withColumn("one", F.lit(1))
-    plan = _chunked_offsets(plan, "sid", "chunk", ["id"], "one", "rank").select("sid", F.col("rank").cast("long").alias("slot"))
+    plan = _chunked_offsets(plan, "sid", "chunk", ["id"], "one", "rank").select("sid", F.col("rank").cast("long").alias("slot"), F.col("id").alias("turn"))
     # The schedule gives a source about its share of slots, a small one perhaps none: the slots up to its quota that it lacks follow by rank.
     due = dim.where("quota > 0").select("sid", F.ceil(F.col("quota") / block).cast("long").alias("due"))
-    plan = plan.join(F.broadcast(due), "sid").where("slot < due").select("sid", "slot")
+    plan = plan.join(F.broadcast(due), "sid").where("slot < due").select("sid", "slot", "turn")
     given = plan.groupBy("sid").agg(F.count("*").alias("given"))  # ranks run from 0 without gaps
     lacking = due.join(F.broadcast(given), "sid", "left").withColumn("given", F.coalesce("given", F.lit(0))).where("given < due")
-    plan = plan.unionByName(lacking.select("sid", F.explode(F.sequence(F.col("given"), F.col("due") - 1)).alias("slot")))
+    plan = plan.unionByName(lacking.select("sid", F.explode(F.sequence(F.col("given"), F.col("due") - 1)).alias("slot")).withColumn("turn", F.lit(n_slots) + F.col("slot")))
 
     # A document's places on the ring, once for each round that the target reaches, and the slots that they meet.
     rounds = F.explode(F.sequence(F.lit(0), F.floor((F.col("quota") - 1) / F.col("source_size")).cast("long")))
@@ -112,10 +112,10 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     at = at.withColumn("slot", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
     at = at.join(plan, ["sid", "slot"]).withColumn("part", F.least("hi", (F.col("slot") + 1) * block) - F.greatest("lo", F.col("slot") * block))
     cols = ["id", "sid", "start", "size", "source_size", "target"]
-    none = full.select(*cols, F.lit(0).cast("long").alias("part"))
-    taken = at.select(*cols, "part").unionByName(none).groupBy(*cols).agg(F.sum("part").alias("taken"))
-    empty = rows.where("size = 0").select("id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    return taken.select("id", "size", "source_size", "target", "taken").unionByName(empty).withColumnRenamed("id", key)
+    none = full.select(*cols, F.lit(0).cast("long").alias("part"), F.lit(None).cast("long").alias("turn"))
+    taken = at.select(*cols, "part", "turn").unionByName(none).groupBy(*cols).agg(F.sum("part").alias("taken"), F.min("turn").alias("first_slot"))
+    empty = rows.where("size = 0").select("id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
+    return taken.select("id", "size", "source_size", "target", "taken", "first_slot").unionByName(empty).withColumnRenamed("id", key)
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
