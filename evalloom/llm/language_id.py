@@ -7,7 +7,7 @@ Training uses at most ``max_rows`` labelled rows a language (those with the smal
 
 Defined results: null text, or text without any letter, gives ``und`` with score 0; text with letters
 but no trained language at all gives ``und`` with score 0; ties go to the smaller language name; repeated
-rows give repeated results; other columns pass through, save ``lang_pred`` and ``score``, which are replaced.
+rows give repeated results; very long texts are read whole; other columns pass through, save ``lang_pred`` and ``score``, which are replaced.
 """
 
 from __future__ import annotations
@@ -30,11 +30,22 @@ MAX_ROWS = 500
 #: Bound of the model: words, and n-grams of each length, a language.
 MAX_TERMS = 20_000
 ORDERS = (4, 3, 2, 1)
-LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")
 #: Of a language that has not seen a term that another has.
 UNSEEN = 0.5
 
 
+def letters(text: str) -> list[str]:
+    """Runs of letters: superscripts, fractions and numerals are none, though ``\\w`` takes them."""
+    out = []
+    for w in _WORDS.findall(text):
+        if w.isalpha():
+            out.append(w)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in w).split()
+    return out
+
+
 def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(lang, kind, term, n): kind 0 for words, else the n-gram length; summed over a task's rows."""
     total: dict[tuple[str, int], Counter] = defaultdict(Counter)
@@ -46,7 +57,7 @@ def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for pdf in batches:
         for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-            words = Counter(LETTERS.findall(text.lower()))
+            words = Counter(letters(text.lower()))
             total[lang, 0].update(words)
             for w, n in words.items():
                 padded = f" {w} "
@@ -131,7 +142,7 @@ class Model:
         words: dict[str, int] = {}
         owner, word = [], []
         for i, t in enumerate(ids):
-            for w in (t,) if t.isalpha() else LETTERS.findall(t):
+            for w in (t,) if t.isalpha() else letters(t):
                 owner.append(i)
                 word.append(words.setdefault(w, len(words)))
         known = np.fromiter((self.words.get(w, -1) for w in words), dtype=np.int64, count=len(words))
