@@ -17,34 +17,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is set (tests, local mode)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of the cluster (``spark.checkpoint.dir``); a folder of our own only in local mode without one, as in tests."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path
-    path = spark.sparkContext.getCheckpointDir()
-    if path is None:
-        path = tempfile.mkdtemp(prefix="evalloom-checkpoint-")
-        spark.sparkContext.setCheckpointDir(path)
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = tempfile.mkdtemp(prefix="evalloom-checkpoint-")
+    spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/evalloom-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared checkpoint folder and read it back: lineage ends here."""
+    """Write ``df`` as Parquet in this application's part of the checkpoint folder and read it back: lineage ends here.
+
+    The result is read until the query's own result is written, so nothing is deleted here; ``release`` does.
+    """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/evalloom-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what ``cut`` has written for this application. Call it once the results are written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_mod(key: Column | str, mod: int) -> Column:
     """crc32 of the key's decimal text, modulo ``mod``; a null key counts as the empty text."""
     key = F.col(key) if isinstance(key, str) else key
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % mod
-
-
-def row_count(df: DataFrame) -> int:
-    return df.count()
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
