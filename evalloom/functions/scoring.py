@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fields of broken judge output, and words for a passed or failed trap.
+SCORE = r'(?i)"?score"?\s*:\s*([0-4](?:\.\d+)?)'
+COVERAGE = r'(?i)"?coverage"?\s*:\s*(0(?:\.\d+)?|1(?:\.0+)?)'
+TRAP_PASS = r'(?i)"?trap_pass"?\s*:\s*(true|false|0|1|0\.0|1\.0)'
+PASSED = ["true", "yes", "ja", "pass", "passed"]
+FAILED = ["false", "no", "nein", "fail", "failed"]
 
 
 def likert(supported: Column, contradicted: Column, not_in_scope: Column) -> Column:
@@ -45,46 +51,59 @@ def answer_class(answer_type: Column) -> Column:
     return F.when(t.rlike("wahr|falsch"), "binary").when(t.rlike("extraktion|extract"), "extraction").when(t.rlike("atomic|fakt"), "atomic_facts").otherwise("free_text")
 
 
-def _json_text(raw: Column) -> Column:
-    """The raw text if it is a JSON object, else its outermost braces if these are; else null."""
+def judge_object(raw: Column) -> Column:
+    """The JSON object of judge output as a variant: the whole text, else its outermost braces; null if neither is one.
+
+    Give it a column of its own and pass that as ``obj``, and the text is parsed once for all fields.
+    """
     t = F.trim(F.coalesce(raw, F.lit("")))
-    inner = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
-    ok = lambda x: F.get_json_object(x, "$").startswith("{")
-    return F.when(ok(t), t).when(ok(inner), inner)
+    whole = F.try_parse_json(t)
+    inner = F.try_parse_json(F.regexp_extract(t, r"(?s)(\{.*\})", 1))
+    ok = lambda v: F.schema_of_variant(v).startswith("OBJECT")
+    return F.when(ok(whole), whole).when(ok(inner), inner)
 
 
 def _number(text: Column) -> Column:
     return text.try_cast("double")
 
 
-def judge_score(raw: Column) -> tuple[Column, Column]:
+def _field(obj: Column, name: str) -> Column:
+    return F.try_variant_get(obj, f"$.{name}", "string")
+
+
+def _kind(obj: Column, name: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get(obj, f"$.{name}", "variant"))
+
+
+def judge_score(raw: Column, obj: Column | None = None) -> tuple[Column, Column]:
     """(score, coverage) of judge output: strict JSON, else braces, else by pattern; scores outside 0 to 4 are null."""
+    obj = judge_object(raw) if obj is None else obj
     t = F.trim(F.coalesce(raw, F.lit("")))
-    obj = _json_text(raw)
-    found = F.regexp_extract(t, r'(?i)"?score"?\s*:\s*([0-4](?:\.\d+)?)', 1)
-    cover = F.regexp_extract(t, r'(?i)"?coverage"?\s*:\s*(0(?:\.\d+)?|1(?:\.0+)?)', 1)
-    score = _number(F.get_json_object(obj, "$.score"))
+    found = F.regexp_extract(t, SCORE, 1)
+    cover = F.regexp_extract(t, COVERAGE, 1)
+    score = _number(_field(obj, "score"))
     score = F.when((score >= 0) & (score <= 4), score)
     lost = F.when(found != "", _number(cover))
-    return F.when(obj.isNotNull(), score).otherwise(_number(found)), F.when(obj.isNotNull(), _number(F.get_json_object(obj, "$.coverage"))).otherwise(lost)
+    return F.when(obj.isNotNull(), score).otherwise(_number(found)), F.when(obj.isNotNull(), _number(_field(obj, "coverage"))).otherwise(lost)
 
 
-def claim_count(raw: Column, name: str) -> Column:
-    """A non-negative integer field: numbers truncate, whole-number text counts, anything else is 0; by pattern if the JSON is broken."""
-    t = F.trim(F.coalesce(raw, F.lit("")))
-    obj = _json_text(raw)
-    value = F.get_json_object(obj, f"$.{name}")
-    plain = F.when(value == "true", F.lit(1)).otherwise(F.floor(F.abs(_number(value))) * F.signum(_number(value)))
-    found = F.regexp_extract(t, rf'(?i)"?{name}"?\s*:\s*(\d+)', 1)
+def claim_count(raw: Column, name: str, obj: Column | None = None) -> Column:
+    """A non-negative integer field: numbers truncate, true is 1, text counts only if it is a whole number; by pattern if the JSON is broken."""
+    obj = judge_object(raw) if obj is None else obj
+    value, kind = _field(obj, name), _kind(obj, name)
+    whole = F.when(F.trim(value).rlike(r"^[+-]?\d+$"), _number(F.trim(value)))
+    cut = F.floor(F.abs(_number(value))) * F.signum(_number(value))
+    plain = F.when(kind == "BOOLEAN", F.when(value == "true", 1.0).otherwise(0.0)).when(kind == "STRING", whole).otherwise(cut)
+    found = F.regexp_extract(F.trim(F.coalesce(raw, F.lit(""))), rf'(?i)"?{name}"?\s*:\s*(\d+)', 1)
     return F.greatest(F.lit(0), F.coalesce(F.when(obj.isNotNull(), plain).otherwise(_number(found)), F.lit(0))).cast("long")
 
 
-def trap_pass(raw: Column) -> Column:
-    obj = _json_text(raw)
+def trap_pass(raw: Column, obj: Column | None = None) -> Column:
+    obj = judge_object(raw) if obj is None else obj
     t = F.trim(F.coalesce(raw, F.lit("")))
-    value = F.lower(F.trim(F.when(obj.isNotNull(), F.get_json_object(obj, "$.trap_pass")).otherwise(F.regexp_extract(t, r'(?i)"?trap_pass"?\s*:\s*(true|false|0\.0|1\.0|0|1)', 1))))
+    value = F.lower(F.trim(F.when(obj.isNotNull(), _field(obj, "trap_pass")).otherwise(F.regexp_extract(t, TRAP_PASS, 1))))
     n = _number(value)
-    return F.when(value.isin("true", "yes", "ja", "pass", "passed"), 1.0).when(value.isin("false", "no", "nein", "fail", "failed"), 0.0).when(n >= 0.5, 1.0).when(n < 0.5, 0.0)
+    return F.when(value.isin(*PASSED), 1.0).when(value.isin(*FAILED), 0.0).when(n >= 0.5, 1.0).when(n < 0.5, 0.0)
 
 
 def atomic_facts(text: Column) -> Column:
@@ -104,10 +123,10 @@ def task_type(text: Column) -> Column:
 
 
 def effect_label(value: Column, lang: str = "en") -> Column:
-    a = F.abs(value)
+    a = F.abs(F.nanvl(value.cast("double"), F.lit(None).cast("double")))
     if lang == "de":
-        return F.when(value.isNull(), "unknown").when(a < 0.3, "klein").when(a < 0.5, "mittel").otherwise("gross")
-    return F.when(value.isNull(), "unknown").when(a < 0.1, "negligible").when(a < 0.3, "small").when(a < 0.5, "medium").otherwise("large")
+        return F.when(a.isNull(), "unknown").when(a < 0.3, "klein").when(a < 0.5, "mittel").otherwise("gross")
+    return F.when(a.isNull(), "unknown").when(a < 0.1, "negligible").when(a < 0.3, "small").when(a < 0.5, "medium").otherwise("large")
 
 
 def to_bool(text: Column, default: bool = False) -> Column:

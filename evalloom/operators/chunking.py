@@ -11,7 +11,7 @@ MIN_SIZE = 300
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """(source, chunk_id, chunk) from (source, parts): ids count from 1 in each source."""
+    """(source, chunk_id, chunk) from (source, parts): a row is a file, and ids count from 1 in each."""
     out = df.select("source", F.posexplode("parts").alias("no", "chunk"))
     return out.select("source", F.format_string("%s::chunk_%04d", "source", F.col("no") + 1).alias("chunk_id"), "chunk")
 
@@ -23,29 +23,8 @@ def chunk_fixed(docs: DataFrame, size: int = 400, overlap: int = 70, clean: bool
     return _numbered(docs.select("source", T.fixed_windows(text, size, overlap).alias("parts")))
 
 
-def sections(text):
-    """Sections of a cleaned text: a heading line opens one if lines came before it; trimmed, empty ones dropped."""
-    lines = F.split(text, "\n")
-    empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
-
-    def step(acc, line):
-        cut = T.is_heading(line) & (acc["n"] > 0)
-        joined = F.when(acc["n"] == 0, line).otherwise(F.concat(acc["open"], F.lit("\n"), line))
-        return F.struct(
-            F.when(cut, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
-            F.when(cut, line).otherwise(joined).alias("open"),
-            F.when(cut, F.lit(1)).otherwise(acc["n"] + 1).alias("n"),
-        )
-
-    found = F.aggregate(lines, start, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
-    return F.filter(F.transform(found, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
-
-
 def chunk_sections(docs: DataFrame, size: int = 400, overlap: int = 70) -> DataFrame:
+    """The windows of each section of each file; all in one row, without a shuffle."""
     size, overlap = max(MIN_SIZE, size), max(0, overlap)
-    cleaned = docs.select("source", T.clean_lines(F.col("text")).alias("cleaned"))
-    parts = cleaned.select("source", F.explode_outer(sections(F.col("cleaned"))).alias("section"), F.monotonically_increasing_id().alias("no"))
-    parts = parts.where("section is not null").select("source", "no", F.posexplode(T.fixed_windows(F.col("section"), size, overlap)).alias("at", "chunk"))
-    ordered = parts.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("no", "at", "chunk"))).alias("all"))
-    return _numbered(ordered.select("source", F.col("all.chunk").alias("parts")))
+    cleaned = docs.select("source", T.sections(T.clean_lines(F.col("text"))).alias("sections"))
+    return _numbered(cleaned.select("source", F.flatten(F.transform("sections", lambda x: T.fixed_windows(x, size, overlap))).alias("parts")))

@@ -24,8 +24,15 @@ def has_issue(reason: Column) -> Column:
 
 def measures(rows: DataFrame, judge: str = "judge_text", claims: str = "claim_text", predicted: str = "predicted_text", answer: str = "KI_Antwort") -> DataFrame:
     """All measures of judged rows from the raw judge texts and the answer; the judge's own score and coverage come first."""
-    score, coverage = S.judge_score(F.col(judge))
-    out = rows.withColumns({"__score": score, "__cover": coverage, "Supported_Claims": S.claim_count(F.col(claims), "supported"), "Contradicted_Claims": S.claim_count(F.col(claims), "contradicted"), "Not_In_Scope_Claims": S.claim_count(F.col(claims), "not_in_scope"), "__pass": S.trap_pass(F.col(claims)), "Predicted_Supported_Claims": S.claim_count(F.col(predicted), "predicted_supported_claims"), "Predicted_Unsupported_Claims": S.claim_count(F.col(predicted), "predicted_unsupported_claims"), "__total": S.claim_count(F.col(predicted), "predicted_total_claims")})
+    out = rows.withColumns({"__j": S.judge_object(F.col(judge)), "__c": S.judge_object(F.col(claims)), "__p": S.judge_object(F.col(predicted))})
+    score, coverage = S.judge_score(F.col(judge), F.col("__j"))
+    claim = lambda name: S.claim_count(F.col(claims), name, F.col("__c"))
+    said = lambda name: S.claim_count(F.col(predicted), name, F.col("__p"))
+    out = out.withColumns({
+        "__score": score, "__cover": coverage, "__pass": S.trap_pass(F.col(claims), F.col("__c")),
+        "Supported_Claims": claim("supported"), "Contradicted_Claims": claim("contradicted"), "Not_In_Scope_Claims": claim("not_in_scope"),
+        "Predicted_Supported_Claims": said("predicted_supported_claims"), "Predicted_Unsupported_Claims": said("predicted_unsupported_claims"), "__total": said("predicted_total_claims"),
+    })
     sup, con, nis = F.col("Supported_Claims"), F.col("Contradicted_Claims"), F.col("Not_In_Scope_Claims")
     total, said = sup + con + nis, F.col("Predicted_Supported_Claims") + F.col("Predicted_Unsupported_Claims")
     rates = S.claim_rates(sup, con, nis)
@@ -35,7 +42,7 @@ def measures(rows: DataFrame, judge: str = "judge_text", claims: str = "claim_te
     passed = F.when(trap, F.col("__pass"))
     marks = S.confidence_scores(F.col(answer))
     out = out.withColumns({"Likert_Score": F.coalesce("__score", S.likert(sup, con, nis)), "Atomic_Coverage_Score": F.coalesce("__cover", F.when(total > 0, F.col("Support_Rate"))), "Atomic_Precision": precision, "Hallucination_Rate": 1 - precision, "Trap_Pass": passed, "Trap_Hallucination": 1 - passed, "Trap_Fallibility": 1 - passed, "Confidence_Mean": S.array_mean(marks), "Confidence_Found_Flag": (F.size(marks) > 0).cast("int")})
-    return out.drop("__score", "__cover", "__pass", "__total")
+    return out.drop("__score", "__cover", "__pass", "__total", "__j", "__c", "__p")
 
 
 def judge(rows: DataFrame, client: Callable[[str], tuple[str, int, int]], prompt: str = "judge_prompt", out: str = "judge_text") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scoring as S
 from . import stats
 
 TASK_TYPES = ["Wissensbasiert", "Analytisch / Reasoning", "Rechen-/deterministisch", "Unklar/sonstige"]
@@ -28,6 +29,15 @@ def tasktype_summary(deltas: DataFrame) -> DataFrame:
     return deltas.where("diff is not null").groupBy("comparison", "task_type").agg(F.count("*").alias("n_pairs"), F.median("diff").alias("median_delta"))
 
 
+def tasktype_tests(deltas: DataFrame) -> DataFrame:
+    """``tasktype_summary`` with the signed-rank statistic, p, r and its label; a single pair has none."""
+    by = ["comparison", "task_type"]
+    some = deltas.where("diff is not null")
+    out = tasktype_summary(deltas).join(stats.signed_ranks(some, by).select(*by, "statistic", "r"), by).join(stats.p_values(some, by), by)
+    out = out.withColumns({c: F.when(F.col("n_pairs") >= 2, F.col(c)) for c in ("statistic", "p", "r")})
+    return out.withColumn("label", S.effect_label(F.col("r")))
+
+
 def tasktype_heatmap(deltas: DataFrame) -> DataFrame:
     return deltas.where("diff is not null").groupBy("comparison").pivot("task_type", TASK_TYPES).agg(F.median("diff"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import random
 
 import numpy as np
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scoring as S
+
 # Fixed values.
 METHODS = ["Zero-Shot", "Advanced-Prompt", "RAG"]
 METHOD_ALIASES = {"Advanced Prompt": "Advanced-Prompt", "Advanced Prompting": "Advanced-Prompt"}
@@ -20,7 +21,6 @@ DEFAULTS = {
     **{c: ("double", None) for c in ["Cost_USD", "Dauer_sek", "Atomic_Coverage_Score", "Support_Rate", "Atomic_Precision", "Hallucination_Rate", "Contradiction_Rate", "Not_In_Scope_Rate", "Trap_Pass", "Trap_Hallucination", "Trap_Fallibility", "Is_Trap_Question", "Confidence_Mean"]},
     "Confidence_Found_Flag": ("int", 0),
 }
-EXACT_PAIRS = 50
 
 
 def ensure_columns(df: DataFrame, defaults: dict = DEFAULTS) -> DataFrame:
@@ -87,7 +87,7 @@ def traps(tasks: DataFrame) -> DataFrame:
 
 def pairs(tasks: DataFrame, metric: str = "Task_Score", comparisons=COMPARISONS, value: str | None = None) -> DataFrame:
     """(Model, comparison, ID, a, b, diff) of all models and comparisons in one self-join; differences rounded to 12 digits before ranking."""
-    own = tasks.select("Model", "Method", "ID", F.col(value or metric).alias("v"))
+    own = tasks.select("Model", "Method", "ID", F.col(value or metric).alias("v")).dropDuplicates(["Model", "Method", "ID"])
     spark = tasks.sparkSession
     wanted = spark.createDataFrame([(x, y, f"{x} vs {y}") for x, y in comparisons], "ma string, mb string, comparison string")
     a = own.join(F.broadcast(wanted), F.col("Method") == F.col("ma")).select("Model", "ID", "mb", "comparison", F.col("v").alias("a"))
@@ -113,24 +113,21 @@ def signed_ranks(diffs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def exact_p(diffs) -> float:
-    """Two-sided signed-rank p: exact up to EXACT_PAIRS non-zero differences, else by the normal approximation."""
+    """Exact two-sided signed-rank p: zeros are left out; the chance of each sum is built up rank by rank."""
     d = np.asarray([x for x in diffs if x is not None and not np.isnan(x) and x != 0], dtype=float)
     if not len(d):
         return 1.0
-    ranks = pd.Series(np.abs(d)).rank(method="average").to_numpy()
-    plus = float(ranks[d > 0].sum())
-    if len(d) > EXACT_PAIRS:
-        z = (plus - ranks.sum() / 2) / math.sqrt(float((ranks**2).sum()) / 4)
-        return min(1.0, math.erfc(abs(z) / math.sqrt(2)))
-    ways = {0: 1}  # sums of doubled ranks
-    for r in (int(x) for x in np.rint(ranks * 2)):
-        new = dict(ways)
-        for s, n in ways.items():
-            new[s + r] = new.get(s + r, 0) + n
-        ways = new
-    seen, all_ways = round(plus * 2), 2 ** len(d)
-    low, high = sum(n for s, n in ways.items() if s <= seen), sum(n for s, n in ways.items() if s >= seen)
-    return float(min(1.0, 2 * min(low, high) / all_ways))
+    doubled = np.rint(pd.Series(np.abs(d)).rank(method="average").to_numpy() * 2).astype(int)  # ties have halves
+    chance = np.zeros(int(doubled.sum()) + 1)
+    chance[0] = 1.0
+    top = 0
+    for r in doubled:  # a rank counts or not, each with a half
+        chance[: top + 1] *= 0.5
+        grown = chance[: top + 1].copy()
+        chance[r : r + top + 1] += grown
+        top += int(r)
+    seen = int(doubled[d > 0].sum())
+    return float(min(1.0, 2 * min(chance[: seen + 1].sum(), chance[seen:].sum())))
 
 
 def p_values(diffs: DataFrame, by: list[str]) -> DataFrame:
@@ -163,12 +160,29 @@ def long_pairs(tasks: DataFrame) -> DataFrame:
     return pairs(one, value="v").select("Model.metric", "Model.Model", "comparison", "ID", "diff")
 
 
+def _favoured(a: Column, b: Column) -> Column:
+    return F.when(F.col("max_diff") <= 1e-8, "tie").otherwise(F.concat(F.lit("favours_"), F.when(F.col("mean_diff") > 0, b).otherwise(a)))
+
+
+def _direction() -> Column:
+    """tie, or the method that the mean difference favours, from the name of the comparison."""
+    return _favoured(F.split_part("comparison", F.lit(" vs "), F.lit(1)), F.split_part("comparison", F.lit(" vs "), F.lit(2)))
+
+
+def test_effects(tasks: DataFrame) -> DataFrame:
+    """Models x metrics x comparisons over non-trap questions, all but p and q; a single pair has no statistic."""
+    by = ["metric", "Model", "comparison"]
+    out = signed_ranks(long_pairs(non_trap(tasks)), by)
+    enough = F.col("n_pairs") >= 2
+    some = {c: F.when(enough, F.col(c)) for c in ("statistic", "z", "r")}
+    out = out.withColumns({**some, "n_nonzero": F.when(enough, F.col("n_nonzero")).otherwise(0), "direction": _direction()})
+    return out.withColumn("label", S.effect_label(F.col("r"))).select(*by, "n_pairs", "n_nonzero", "statistic", "z", "r", "label", "direction")
+
+
 def main_tests(tasks: DataFrame) -> DataFrame:
-    """Models x metrics x comparisons over non-trap questions: statistic, z, r, p, q, direction and label."""
+    """``test_effects`` with p, and q over the comparisons of a model and metric."""
     by = ["metric", "Model", "comparison"]
-    d = long_pairs(non_trap(tasks))
-    out = signed_ranks(d, by).join(p_values(d, by), by)
-    out = out.withColumn("direction", F.when(F.col("max_diff") <= 1e-8, "tie").when(F.col("mean_diff") > 0, "favours_b").otherwise("favours_a"))
+    out = test_effects(tasks).join(p_values(long_pairs(non_trap(tasks)), by), by)
     return benjamini_hochberg(out, ["Model", "metric"])
 
 
@@ -182,9 +196,10 @@ def robustness(runs: DataFrame, alpha: float = 0.05) -> DataFrame:
     flat = non_trap(runs).groupBy("Model", "Method", "Run_ID", "ID").agg(*[F.avg(m).alias(m) for m in METRICS]).withColumn("Model", F.concat_ws("\x1f", F.col("Run_ID").cast("string"), "Model"))
     d = long_pairs(flat)
     each = signed_ranks(d, by).where("n_pairs >= 2").join(p_values(d, by), by)
-    each = each.withColumns({"run": F.split_part("Model", F.lit("\x1f"), F.lit(1)), "Model": F.split_part("Model", F.lit("\x1f"), F.lit(2)), "dir": F.when(F.col("max_diff") <= 1e-8, "tie").when(F.col("mean_diff") > 0, "favours_b").otherwise("favours_a")})
+    each = each.withColumns({"run": F.split_part("Model", F.lit("\x1f"), F.lit(1)), "Model": F.split_part("Model", F.lit("\x1f"), F.lit(2)), "dir": _direction()})
     out = each.join(both, by)
-    return out.groupBy(*by).agg(F.count("*").alias("n_runs"), F.avg((F.col("dir") == F.col("all_direction")).cast("double")).alias("direction_share"), F.avg(((F.coalesce("p", F.lit(1.0)) < alpha) == F.col("all_significant")).cast("double")).alias("significance_share"))
+    shares = out.groupBy(*by).agg(F.count("*").alias("n_runs"), F.avg((F.col("dir") == F.col("all_direction")).cast("double")).alias("direction_share"), F.avg(((F.coalesce("p", F.lit(1.0)) < alpha) == F.col("all_significant")).cast("double")).alias("significance_share"))
+    return shares.withColumns({"direction_stable": F.col("direction_share") == 1.0, "significance_stable": F.col("significance_share") == 1.0})
 
 
 def bootstrap_ci(tasks: DataFrame, by: list[str] = ["Model", "Method"], value: str = "Task_Score", key: str = "ID", resamples: int = 1000, seed: int = 42) -> DataFrame:  # noqa: B006
@@ -206,8 +221,8 @@ def bootstrap_ci(tasks: DataFrame, by: list[str] = ["Model", "Method"], value: s
 
 
 def run_pair_coverage(prepared: DataFrame, comparisons=COMPARISONS) -> DataFrame:
-    """(Model, comparison, coverage): mean over shared questions of common runs by the larger number of runs."""
-    own = prepared.groupBy("Model", "Method", "ID").agg(F.array_distinct(F.collect_list("Run_ID")).alias("runs"))
+    """(Model, comparison, coverage): mean over shared questions that are no traps of common runs by the larger number of runs."""
+    own = non_trap(prepared).groupBy("Model", "Method", "ID").agg(F.array_distinct(F.collect_list("Run_ID")).alias("runs"))
     spark = prepared.sparkSession
     wanted = spark.createDataFrame([(x, y, f"{x} vs {y}") for x, y in comparisons], "ma string, mb string, comparison string")
     a = own.join(F.broadcast(wanted), F.col("Method") == F.col("ma")).select("Model", "ID", "mb", "comparison", F.col("runs").alias("ra"))
@@ -231,11 +246,33 @@ def model_method_stats(tasks: DataFrame, time_cost_factor: float = 0.002) -> Dat
     return out.drop("n_trap", "n_all")
 
 
+def stats_table(tasks: DataFrame, prepared: DataFrame, baseline: str = "Zero-Shot", time_cost_factor: float = 0.002) -> DataFrame:
+    """``model_method_stats`` with each method held against the baseline of its model: paired_n, p, q, effect, its label,
+    coverage of runs, and the interval of the mean. The baseline itself has p = q = 1 and effect 0; q is over a model's other methods."""
+    by = ["Model", "Method"]
+    own = model_method_stats(tasks, time_cost_factor).join(bootstrap_ci(non_trap(tasks)), by, "left")
+    versus = [(baseline, m) for m in METHODS if m != baseline]
+    d = pairs(non_trap(tasks), comparisons=versus)
+    method = F.split_part("comparison", F.lit(" vs "), F.lit(2)).alias("Method")
+    counted = d.groupBy("Model", "comparison").agg(F.count("*").alias("paired_n"))
+    tested = counted.join(signed_ranks(d, ["Model", "comparison"]).select("Model", "comparison", "max_diff", "effect"), ["Model", "comparison"], "left")
+    tested = tested.join(p_values(d, ["Model", "comparison"]), ["Model", "comparison"], "left")
+    same = F.col("max_diff") <= 1e-8
+    enough = F.col("paired_n") >= 2
+    tested = tested.select("Model", method, "paired_n", F.when(enough & same, 1.0).when(enough, F.col("p")).alias("p"), F.when(enough & same, 0.0).otherwise(F.col("effect")).alias("effect"))
+    runs = run_pair_coverage(prepared, versus).select("Model", method, F.col("coverage").alias("run_level_pair_coverage"))
+    out = own.join(benjamini_hochberg(tested, ["Model"]), by, "left").join(runs, by, "left")
+    first = F.col("Method") == baseline
+    fixed = {"paired_n": F.col("N"), "p": F.lit(1.0), "q": F.lit(1.0), "effect": F.lit(0.0), "run_level_pair_coverage": F.lit(1.0)}
+    out = out.withColumns({c: F.when(first, v).otherwise(F.coalesce(c, F.lit(0)) if c == "paired_n" else F.col(c)) for c, v in fixed.items()})
+    return out.withColumns({"test_name": F.when(first, "baseline_reference").otherwise("wilcoxon_signed_rank"), "effect_label": S.effect_label(F.col("effect"), "de")})
+
+
 def trap_summary(tasks: DataFrame) -> DataFrame:
-    """Trap questions, pass and failure rates by method; 0 where a method has none."""
+    """Trap questions, pass and failure rates by model and method; 0 where a method has none."""
     trap = F.coalesce("Is_Trap_Question", F.lit(0.0)) >= 0.5
-    rate = F.avg(F.when(trap, F.col("Trap_Pass_Rate")))
-    return tasks.groupBy("Method").agg(F.count(F.when(trap, 1)).alias("n_trap"), F.coalesce(rate, F.lit(0.0)).alias("pass_rate"), F.coalesce(F.avg(F.when(trap, 1 - F.col("Trap_Pass_Rate"))), F.lit(0.0)).alias("fail_rate"))
+    rate = lambda c: F.coalesce(F.avg(F.when(trap, c)), F.when(F.count(F.when(trap, 1)) == 0, 0.0))
+    return tasks.groupBy("Model", "Method").agg(F.count(F.when(trap, 1)).alias("n_trap"), rate(F.col("Trap_Pass_Rate")).alias("pass_rate"), rate(1 - F.col("Trap_Pass_Rate")).alias("fail_rate"))
 
 
 def correlation(x: str, y: str) -> Column:
@@ -246,6 +283,6 @@ def correlation(x: str, y: str) -> Column:
 
 
 def overconfidence(prepared: DataFrame) -> DataFrame:
-    """By method over non-trap rows: confidence, coverage, their correlation, and how often sure and wrong."""
+    """By model and method over non-trap rows: confidence, coverage, their correlation, and how often sure and wrong."""
     sure = ((F.col("Confidence_Norm") >= 2 / 3 - 1e-12) & (F.col("Atomic_Coverage_Score") < 0.5)).cast("double")
-    return non_trap(prepared).groupBy("Method").agg(F.count("*").alias("n"), F.avg("Confidence_Norm").alias("mean_confidence"), F.avg("Atomic_Coverage_Score").alias("mean_coverage"), correlation("Confidence_Norm", "Atomic_Coverage_Score").alias("corr"), F.avg(F.coalesce(sure, F.lit(0.0))).alias("overconfident_rate"))
+    return non_trap(prepared).groupBy("Model", "Method").agg(F.count("*").alias("n"), F.avg("Confidence_Norm").alias("mean_confidence"), F.avg("Atomic_Coverage_Score").alias("mean_coverage"), correlation("Confidence_Norm", "Atomic_Coverage_Score").alias("corr"), F.avg(F.coalesce(sure, F.lit(0.0))).alias("overconfident_rate"))

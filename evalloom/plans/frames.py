@@ -19,6 +19,15 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(prefix, F.col("source"), F.lit("_"), F.col("doc_id").cast("string")).alias("source"), "text")
 
 
+def headed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``corpus`` with headings of all kinds, indented page markers and several kinds of line ends."""
+    kind = F.col("doc_id") % 3
+    first = F.when(kind == 0, "Absatz:\r\n").when(kind == 1, "2.1 Teil\r").otherwise("\t--- PDF SEITE 3 ---\n12\nZahl\n")
+    between = F.concat(F.lit("\n\t§ "), (F.col("doc_id") % 9).cast("string"), F.lit("a\n"))
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), between)
+    return corpus(spark, sf_dir).withColumn("text", F.concat(F.lit("# Kopf \n"), first, text))
+
+
 def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks."""
     return corpus(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chunk_id"), "source", F.col("doc_id").alias("ord"), F.col("text").alias("chunk"))
@@ -70,6 +79,8 @@ def checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The same frames in SQL.
+SQL_HEADED = """'# Kopf ' || chr(10) || CASE doc_id % 3 WHEN 0 THEN 'Absatz:' || chr(13) || chr(10) WHEN 1 THEN '2.1 Teil' || chr(13) ELSE chr(9) || '--- PDF SEITE 3 ---' || chr(10) || '12' || chr(10) || 'Zahl' || chr(10) END
+ || replace(coalesce(text, ''), chr(10), chr(10) || chr(9) || '§ ' || (doc_id % 9) || 'a' || chr(10))"""
 SQL_CHECK = """ck AS (SELECT 'm' || (event_id % 2) AS model, CAST(user_id AS VARCHAR) AS question_id, CASE (event_id // 2) % 3 WHEN 0 THEN 'Zero-Shot' WHEN 1 THEN 'Advanced-Prompt' ELSE 'RAG' END AS method,
  CAST((event_id // 6) % 5 + 1 AS INTEGER) AS run_number, CASE WHEN CAST(floor(value) AS BIGINT) % 4 = 0 THEN 'api down' ELSE '' END AS error, event_id AS ord FROM events),
 lt AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY model, question_id, method, run_number ORDER BY CASE WHEN error = '' THEN 0 ELSE 1 END, ord DESC) AS r FROM ck) WHERE r = 1)"""

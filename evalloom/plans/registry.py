@@ -51,22 +51,32 @@ def source_class_counts(spark, d):
     return R.corpus(spark, d).groupBy(T.source_class(F.col("source")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH t AS (SELECT {_SRC} AS source, trim(regexp_replace(array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS t FROM documents),
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{T.SPACE}+|{T.SPACE}+$', '', 'g')"
+
+
+_CLEAN = f"""ln AS (SELECT {_SRC} AS source, list_filter(list_transform(regexp_split_to_array({R.SQL_HEADED}, '{T.LINE_END}'), lambda x: {_strip("x")}),
+  lambda x: NOT regexp_matches(x, '{T.PAGE_MARKERS}')) AS l FROM documents),
+t AS (SELECT source, {_strip("regexp_replace(array_to_string(l, chr(10)), '\n{3,}', chr(10) || chr(10), 'g')")} AS t FROM ln)"""
+_CUT = f"{_strip('substr(t, i * 330 + 1, 400)')} AS chunk"
+
+
+@query(f"""WITH {_CLEAN},
 p AS (SELECT source, t, unnest(range(0, CAST(greatest(0, ceil((length(t) - 400) / 330.0)) AS BIGINT) + 1)) AS i FROM t),
-c AS (SELECT source, i, trim(substr(t, i * 330 + 1, 400), ' ' || chr(10) || chr(9)) AS chunk FROM p)
+c AS (SELECT source, i, {_CUT} FROM p)
 SELECT source, source || '::chunk_' || printf('%04d', row_number() OVER (PARTITION BY source ORDER BY i)) AS chunk_id, chunk FROM c WHERE chunk <> ''""")
 def chunk_fixed(spark, d):
-    return chunking.chunk_fixed(R.corpus(spark, d))
+    return chunking.chunk_fixed(R.headed_corpus(spark, d))
 
 
-@query(f"""WITH t AS (SELECT {_SRC} AS source, unnest(string_split(trim(regexp_replace(array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)), chr(10))) AS line, generate_subscripts(string_split(trim(regexp_replace(array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)), chr(10)), 1) AS n FROM documents),
-h AS (SELECT *, sum(CASE WHEN trim(line) <> '' AND (line LIKE '#%' OR regexp_matches(line, '^§\\s*\\d+[a-zA-Z]*') OR regexp_matches(line, '^\\d+(\\.\\d+)*\\s+[A-Za-z]') OR (line LIKE '%:' AND length(line) <= 120)) THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY n) AS sec FROM t),
-s AS (SELECT source, sec, trim(string_agg(line, chr(10) ORDER BY n), ' ' || chr(10) || chr(9)) AS t FROM h GROUP BY source, sec),
+@query(rf"""WITH {_CLEAN}, l AS (SELECT source, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM t),
+h AS (SELECT *, sum(CASE WHEN line <> '' AND (line LIKE '#%' OR regexp_matches(line, '^§\s*\d+[a-zA-Z]*') OR regexp_matches(line, '^\d+(\.\d+)*\s+[A-Za-z]') OR (line LIKE '%:' AND length(line) <= 120)) THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY n) AS sec FROM l),
+g AS (SELECT source, sec, string_agg(line, chr(10) ORDER BY n) AS u FROM h GROUP BY source, sec), s AS (SELECT source, sec, {_strip("u")} AS t FROM g),
 p AS (SELECT source, sec, t, unnest(range(0, CAST(greatest(0, ceil((length(t) - 400) / 330.0)) AS BIGINT) + 1)) AS i FROM s WHERE t <> ''),
-c AS (SELECT source, sec, i, trim(substr(t, i * 330 + 1, 400), ' ' || chr(10) || chr(9)) AS chunk FROM p)
+c AS (SELECT source, sec, i, {_CUT} FROM p)
 SELECT source, source || '::chunk_' || printf('%04d', row_number() OVER (PARTITION BY source ORDER BY sec, i)) AS chunk_id, chunk FROM c WHERE chunk <> ''""")
 def chunk_sections(spark, d):
-    return chunking.chunk_sections(R.corpus(spark, d))
+    return chunking.chunk_sections(R.headed_corpus(spark, d))
 
 
 _BM = f"""tf AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format(c='text')}) AS token FROM documents) GROUP BY ALL),
@@ -110,34 +120,23 @@ def vector_topk(spark, d):
     return rounded(_vector(spark, d, 10))
 
 
-def _hybrid_lists(spark, d, text="text"):
+def _hybrid_lists(spark, d):
     """Both lists of the queries vec_id % 50 = 0: BM25 with the document's text, vectors with the embedding."""
-    asked = R.table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.expr(text).alias("query"))
+    asked = R.table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     lex = ranking.Bm25Index(R.whole_documents(spark, d)).search(asked, ranking.CANDIDATES, fallback=False)
     vec = _vector(spark, d, ranking.CANDIDATES).withColumn("chunk_id", F.col("vec_id").cast("string"))
     return lex, vec
 
 
-_HYB = _BM.format(w="").replace("SELECT item_id AS query_id, token", "SELECT doc_id AS query_id, token").replace(f"SELECT item_id, unnest({_TOK.format(c='text')}) AS token FROM benchmark", f"SELECT doc_id, unnest({_TOK.format(c='substr(text, 1, 60)')}) AS token FROM documents WHERE doc_id % 50 = 0")
+_HYB = _BM.format(w="").replace("SELECT item_id AS query_id, token", "SELECT doc_id AS query_id, token").replace(f"SELECT item_id, unnest({_TOK.format(c='text')}) AS token FROM benchmark", f"SELECT doc_id, unnest({_TOK.format(c='text')}) AS token FROM documents WHERE doc_id % 50 = 0")
 _FUSE = f"""{_HYB}, lr AS (SELECT query_id, CAST(doc_id AS VARCHAR) AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0), {_VEC},
 fu AS (SELECT query_id, chunk_id, min(lex) AS lex, min(vec) AS vec FROM (SELECT query_id, chunk_id, rank AS lex, NULL AS vec FROM lr WHERE rank <= 50 UNION ALL SELECT query_id, CAST(vec_id AS VARCHAR), NULL, rank FROM vr WHERE rank <= 50) GROUP BY ALL),
 fs AS (SELECT *, round(coalesce(1.0::DOUBLE / (60 + lex), 0) + coalesce(1.0::DOUBLE / (60 + vec), 0), 9) AS fusion FROM fu),
 fr AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY fusion DESC, coalesce(lex, 1073741824), vec NULLS FIRST, chunk_id) AS rank, chunk_id, fusion FROM fs)"""
 
 
-#: The query text of the two queries whose SQL holds this cut; the queries named _whole have none.
-_PREFIX = "substr(text, 1, 60)"
-_RRF = f"WITH {_FUSE} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(fusion, 6) AS fusion FROM fr WHERE rank <= 10"
-
-
-@query(_RRF)
+@query(f"WITH {_FUSE} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(fusion, 6) AS fusion FROM fr WHERE rank <= 10")
 def rrf_hybrid(spark, d):
-    lex, vec = _hybrid_lists(spark, d, _PREFIX)
-    return rounded(ranking.fuse(lex, vec).where("rank <= 10"))
-
-
-@query(_RRF.replace(_PREFIX, "text"))
-def rrf_hybrid_whole(spark, d):
     lex, vec = _hybrid_lists(spark, d)
     return rounded(ranking.fuse(lex, vec).where("rank <= 10"))
 
@@ -157,16 +156,7 @@ SELECT mode, count(*) AS n_queries, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE
 
 @query(_HIT)
 def retrieval_hit_mrr(spark, d):
-    return _hit_mrr(spark, d, _PREFIX)
-
-
-@query(_HIT.replace(_PREFIX, "text"))
-def retrieval_hit_mrr_whole(spark, d):
-    return _hit_mrr(spark, d, "text")
-
-
-def _hit_mrr(spark, d, text):
-    lex, vec = _hybrid_lists(spark, d, text)
+    lex, vec = _hybrid_lists(spark, d)
     v = R.table(spark, d, "embeddings").select("vec_id", "label")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
     relevant = v.join(q, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").cast("string").alias("item"))
@@ -201,10 +191,10 @@ def _judge_text():
 @query("""WITH a AS (SELECT event_id, k, k % 7 = 0 AS broken FROM (SELECT event_id, TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events))
 SELECT event_id, CASE WHEN k % 6 <= 4 THEN CAST(k % 6 AS DOUBLE) END AS score, CASE WHEN broken AND k % 6 > 4 THEN NULL ELSE round((k % 10) / 10.0::DOUBLE, 6) END AS coverage, k % 5 AS supported, k % 3 AS contradicted, CAST(1 AS BIGINT) AS not_in_scope, CASE WHEN k % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS trap_pass FROM a""")
 def judge_json_parse(spark, d):
-    raw = R._events(spark, d).select("event_id", _judge_text().alias("raw"))
-    score, coverage = S.judge_score(F.col("raw"))
-    counts = [S.claim_count(F.col("raw"), n).alias(n) for n in ("supported", "contradicted", "not_in_scope")]
-    return rounded(raw.select("event_id", score.alias("score"), coverage.alias("coverage"), *counts, S.trap_pass(F.col("raw")).alias("trap_pass")))
+    raw = R._events(spark, d).select("event_id", _judge_text().alias("raw")).withColumn("obj", S.judge_object(F.col("raw")))
+    score, coverage = S.judge_score(F.col("raw"), F.col("obj"))
+    counts = [S.claim_count(F.col("raw"), n, F.col("obj")).alias(n) for n in ("supported", "contradicted", "not_in_scope")]
+    return rounded(raw.select("event_id", score.alias("score"), coverage.alias("coverage"), *counts, S.trap_pass(F.col("raw"), F.col("obj")).alias("trap_pass")))
 
 
 @query("""SELECT doc_id, CAST(len(f) AS INTEGER) AS n_facts, sha256(array_to_string(f, chr(31))) AS facts FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\\r?\\n|;|\\|'), lambda x: regexp_replace(x, '^[ \\t-]+|[ \\t-]+$', '', 'g')), lambda x: x <> '') AS f FROM documents)""")
@@ -290,17 +280,17 @@ def model_method_stats(spark, d):
     return rounded(stats.model_method_stats(_tasks(spark, d)))
 
 
-@query(f"WITH {R.SQL_TASKS} SELECT Method, count(*) FILTER (trap >= 0.5) AS n_trap, round(coalesce(avg(tpass) FILTER (trap >= 0.5), 0), 6) AS pass_rate, round(coalesce(avg(1 - tpass) FILTER (trap >= 0.5), 0), 6) AS fail_rate FROM tk GROUP BY Method")
+@query(f"WITH {R.SQL_TASKS} SELECT Model, Method, count(*) FILTER (trap >= 0.5) AS n_trap, round(coalesce(avg(tpass) FILTER (trap >= 0.5), 0), 6) AS pass_rate, round(coalesce(avg(1 - tpass) FILTER (trap >= 0.5), 0), 6) AS fail_rate FROM tk GROUP BY Model, Method")
 def trap_summary(spark, d):
     return rounded(stats.trap_summary(_tasks(spark, d)))
 
 
-@query(f"WITH {R.SQL_EVAL} SELECT Method, count(*) AS n, round(avg(conf), 6) AS mean_confidence, round(avg(Atomic_Coverage_Score), 6) AS mean_coverage, round(CASE WHEN isnan(corr(conf, Atomic_Coverage_Score)) THEN NULL ELSE corr(conf, Atomic_Coverage_Score) END, 6) AS corr, round(avg(CASE WHEN conf >= 2 / 3.0::DOUBLE - 1e-12 AND Atomic_Coverage_Score < 0.5 THEN 1.0 ELSE 0.0 END), 6) AS overconfident_rate FROM pr WHERE Is_Trap_Question < 0.5 GROUP BY Method")
+@query(f"WITH {R.SQL_EVAL} SELECT Model, Method, count(*) AS n, round(avg(conf), 6) AS mean_confidence, round(avg(Atomic_Coverage_Score), 6) AS mean_coverage, round(CASE WHEN isnan(corr(conf, Atomic_Coverage_Score)) THEN NULL ELSE corr(conf, Atomic_Coverage_Score) END, 6) AS corr, round(avg(CASE WHEN conf >= 2 / 3.0::DOUBLE - 1e-12 AND Atomic_Coverage_Score < 0.5 THEN 1.0 ELSE 0.0 END), 6) AS overconfident_rate FROM pr WHERE Is_Trap_Question < 0.5 GROUP BY Model, Method")
 def overconfidence(spark, d):
     return rounded(stats.overconfidence(stats.prepare(R.evaluated(spark, d))))
 
 
-@query(f"""WITH {R.SQL_TASKS}, rn AS (SELECT Model, Method, ID, list_distinct(list(Run_ID)) AS r FROM pr GROUP BY ALL) SELECT a.Model, ma || ' vs ' || mb AS comparison, round(avg(len(list_intersect(a.r, b.r)) * 1.0::DOUBLE / greatest(len(a.r), len(b.r))), 6) AS coverage FROM rn a JOIN cmp ON a.Method = ma JOIN rn b ON b.Method = mb AND a.Model = b.Model AND a.ID = b.ID GROUP BY ALL""")
+@query(f"""WITH {R.SQL_TASKS}, rn AS (SELECT Model, Method, ID, list_distinct(list(Run_ID)) AS r FROM pr WHERE Is_Trap_Question < 0.5 GROUP BY ALL) SELECT a.Model, ma || ' vs ' || mb AS comparison, round(avg(len(list_intersect(a.r, b.r)) * 1.0::DOUBLE / greatest(len(a.r), len(b.r))), 6) AS coverage FROM rn a JOIN cmp ON a.Method = ma JOIN rn b ON b.Method = mb AND a.Model = b.Model AND a.ID = b.ID GROUP BY ALL""")
 def run_pair_coverage(spark, d):
     return rounded(stats.run_pair_coverage(stats.prepare(R.evaluated(spark, d))))
 
@@ -324,6 +314,31 @@ def bh_adjust(spark, d):
     return rounded(stats.benjamini_hochberg(p, ["g"]))
 
 
+_EFFECTS = f"""WITH {R.SQL_TASKS}, ml AS (SELECT Model, Method, ID, unnest([struct_pack(metric := 'Atomic_Coverage_Score', v := cover), struct_pack(metric := 'Atomic_Precision', v := prec), struct_pack(metric := 'Hallucination_Rate', v := -hall)], recursive := true) FROM (SELECT nt.*, score AS cover FROM nt)),
+md AS (SELECT a.metric, a.Model, ma || ' vs ' || mb AS comparison, ma, mb, round(b.v - a.v, 12) AS diff FROM ml a JOIN cmp ON a.Method = ma JOIN ml b ON b.Method = mb AND b.Model = a.Model AND b.ID = a.ID AND b.metric = a.metric WHERE a.v IS NOT NULL AND b.v IS NOT NULL),
+mr AS (SELECT *, rank() OVER (PARTITION BY metric, Model, comparison, diff <> 0 ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY metric, Model, comparison, diff <> 0, abs(diff)) - 1) / 2.0::DOUBLE AS rank FROM md),
+mg AS (SELECT metric, Model, comparison, any_value(ma) AS ma, any_value(mb) AS mb, count(*) AS n, count(*) FILTER (diff <> 0) AS nz, coalesce(sum(rank) FILTER (diff > 0), 0) AS wp, coalesce(sum(rank) FILTER (diff < 0), 0) AS wm, coalesce(sum(rank * rank) FILTER (diff <> 0), 0) AS sq, avg(diff) AS mean, max(abs(diff)) AS most FROM mr GROUP BY ALL),
+mz AS (SELECT *, CASE WHEN nz = 0 THEN 0.0 ELSE (wp - (wp + wm) / 2) / sqrt(sq / 4) END AS z FROM mg), me AS (SELECT *, CASE WHEN nz = 0 THEN 0.0 ELSE z / sqrt(nz) END AS r FROM mz)
+SELECT metric, Model, comparison, n AS n_pairs, CASE WHEN n >= 2 THEN nz ELSE 0 END AS n_nonzero, CASE WHEN n >= 2 THEN round(least(wp, wm), 6) END AS statistic, CASE WHEN n >= 2 THEN round(z, 6) END AS z, CASE WHEN n >= 2 THEN round(r, 6) END AS r,
+ CASE WHEN n < 2 THEN 'unknown' WHEN abs(r) < 0.1 THEN 'negligible' WHEN abs(r) < 0.3 THEN 'small' WHEN abs(r) < 0.5 THEN 'medium' ELSE 'large' END AS label, CASE WHEN most <= 1e-8 THEN 'tie' WHEN mean > 0 THEN 'favours_' || mb ELSE 'favours_' || ma END AS direction FROM me"""
+
+
+@query(_EFFECTS)
+def main_test_effects(spark, d):
+    return rounded(stats.test_effects(_tasks(spark, d)))
+
+
+@query()
+def stats_table(spark, d):
+    prepared = stats.prepare(R.evaluated(spark, d))
+    return rounded(stats.stats_table(stats.task_level(prepared), prepared))
+
+
+@query()
+def tasktype_tests(spark, d):
+    return rounded(reports.tasktype_tests(_deltas(spark, d)))
+
+
 @query()
 def main_tests(spark, d):
     return rounded(stats.main_tests(_tasks(spark, d)))
@@ -434,15 +449,8 @@ def qq_points(spark, d):
     return rounded(judging.qq_points(stats.pairs(stats.non_trap(_tasks(spark, d))), ["comparison"], "diff"))
 
 
-@query("SELECT a.label, round(avg(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS consistency FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 GROUP BY a.label")
-def embedding_consistency(spark, d):
-    a = R.table(spark, d, "embeddings")
-    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    return rounded(a.join(b, "vec_id").groupBy("label").agg(F.avg(judging.cosine(F.col("embedding"), F.col("other"))).alias("consistency")))
-
-
 @query("SELECT a.label, round(avg(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS consistency FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label")
-def embedding_group_consistency(spark, d):
+def embedding_consistency(spark, d):
     return rounded(judging.group_consistency(R.table(spark, d, "embeddings"), "label", "embedding"))
 
 

@@ -78,3 +78,18 @@ def test_facts_and_types(spark):
     r = spark.createDataFrame([("Das ist WAHR.", "wahr")], "g string, r string")
     assert r.select(S.evaluate_binary(F.col("g"), F.col("r")).alias("y")).first().y == 5
     assert r.select(S.evaluate_extraction(F.col("g"), F.col("r")).alias("y")).first().y == 5
+
+
+@pytest.mark.parametrize("raw,value", [('{"a": "2.5"}', 0), ('{"a": "true"}', 0), ('{"a": true}', 1), ('{"a": false}', 0), ('{"a": " 3 "}', 3), ('{"a": 2.9}', 2), ('{"a": null}', 0), ('{"a": [1]}', 0), ("{}", 0), ('x "a": 7 ', 7), (None, 0)])
+def test_claim_counts_by_type(spark, raw, value):
+    assert one(spark, raw, lambda c: S.claim_count(c, "a")) == value
+
+
+def test_effect_label_of_nothing(spark):
+    assert [one(spark, v, S.effect_label, "double") for v in (None, float("nan"), 0.05, -0.3, 0.5)] == ["unknown", "unknown", "negligible", "medium", "large"]
+
+
+def test_lines_are_stripped_of_all_white_space(spark):
+    text = "\t a\u00a0\r\n\t--- PDF SEITE 3 ---\u2028b\r\r\r\rc\x0b"
+    assert one(spark, text, T.clean_lines) == "a\nb\n\nc"
+    assert one(spark, "intro\n12\nAbc\n3.1 Title\nx:\ny\n§ 4\n" + "z" * 130 + ":\n#", T.sections) == ["intro\n12\nAbc", "3.1 Title", "x:\ny", "§ 4\n" + "z" * 130 + ":", "#"]

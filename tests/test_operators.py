@@ -2,6 +2,7 @@ import math
 import random
 
 import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +200,44 @@ def test_group_consistency_is_the_mean_of_all_pairs(spark):
         every = [cos(x, y) for i, x in enumerate(own) for y in own[:i]]
         assert got.pop(g) == pytest.approx(sum(every) / len(every))
     assert not got
+
+
+def test_exact_p_of_many_pairs():
+    assert stats.exact_p([float(i) for i in range(1, 61)]) == pytest.approx(2 / 2**60)
+    assert 0.9 < stats.exact_p([(-1.0) ** i * i for i in range(1, 1001)]) <= 1.0
+
+
+def test_statistics_table(spark):
+    """Baseline with p = q = 1, one tie, one method with pairs, a model whose method has no pair; traps by model."""
+    rows = []
+    for i in range(6):
+        for run in (1, 2):
+            rows += [("m", "Zero-Shot", str(i), run, 0.2, 0.0), ("m", "RAG", str(i), run, 0.4 + i / 100, 0.0), ("m", "Advanced-Prompt", str(i), run, 0.2, 0.0), ("n", "RAG", str(i), run, 0.5, 0.0)]
+    rows += [("m", "RAG", "t", 1, 1.0, 1.0), ("n", "RAG", "t", 1, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "Model string, Method string, ID string, Run_ID int, Support_Rate double, Is_Trap_Question double").withColumns({"Likert_Score": F.lit(1.0), "Trap_Pass": F.when(F.col("Is_Trap_Question") > 0, F.col("Support_Rate"))})
+    p = stats.prepare(df)
+    got = {(r.Model, r.Method): r for r in stats.stats_table(stats.task_level(p), p).collect()}
+    base, rag, same, alone = got["m", "Zero-Shot"], got["m", "RAG"], got["m", "Advanced-Prompt"], got["n", "RAG"]
+    assert (base.test_name, base.paired_n, base.p, base.q, base.effect, base.run_level_pair_coverage) == ("baseline_reference", 6, 1.0, 1.0, 0.0, 1.0)
+    assert (rag.paired_n, rag.p, rag.q, rag.effect, rag.effect_label) == (6, pytest.approx(2 / 64), pytest.approx(4 / 64), 1.0, "gross")
+    assert (same.p, same.effect, same.effect_label) == (1.0, 0.0, "klein")
+    assert (alone.paired_n, alone.p, alone.q, alone.effect_label, alone.run_level_pair_coverage) == (0, None, None, "unknown", None)
+    assert rag.Trap_Question_Share == pytest.approx(1 / 7) and rag.ci_low < rag.ci_high
+    assert {(r.Model, r.Method): (r.n_trap, r.pass_rate) for r in stats.trap_summary(stats.task_level(p)).collect()} == {("m", "RAG"): (1, 1.0), ("n", "RAG"): (1, 0.0), ("m", "Zero-Shot"): (0, 0.0), ("m", "Advanced-Prompt"): (0, 0.0)}
+    assert {r.comparison: r.coverage for r in stats.run_pair_coverage(p).collect()} == dict.fromkeys(["Zero-Shot vs Advanced-Prompt", "Zero-Shot vs RAG", "Advanced-Prompt vs RAG"], 1.0)
+    tests = {(r.metric, r.comparison): r for r in stats.main_tests(stats.task_level(p)).collect() if r.Model == "m"}
+    r = tests["Atomic_Coverage_Score", "Zero-Shot vs RAG"]
+    assert (r.direction, r.label, r.n_pairs, r.p) == ("favours_RAG", "large", 6, pytest.approx(2 / 64))
+    one = stats.main_tests(stats.task_level(p.where("ID = '0'"))).where("Model = 'm'").collect()
+    assert one and all((x.statistic, x.z, x.r, x.p, x.n_nonzero, x.label) == (None, None, None, None, 0, "unknown") for x in one)
+
+
+def test_vector_search_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-3, 4, (300, 3)).astype(float)  # many ties
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)] + [(900, None), (901, [1.0])], "vec_id long, embedding array<float>").repartition(3)
+    q = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    want = {(i, k + 1): j for i in range(20) for k, j in enumerate(sorted(range(300), key=lambda j: (((x[j] - x[i]) ** 2).sum(), j))[:5])}
+    for parts in (1, 4):
+        monkeypatch.setattr(ranking, "_query_parts", lambda total, n=parts: n)
+        assert {(r.query_id, r["rank"]): r.vec_id for r in ranking.vector_search(v, q, 5).collect()} == want

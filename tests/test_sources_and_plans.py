@@ -83,7 +83,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["rrf_hybrid_whole", "retrieval_hit_mrr_whole", "embedding_group_consistency"])
+@pytest.mark.parametrize("name", ["rrf_hybrid", "retrieval_hit_mrr", "embedding_consistency"])
 def test_whole_queries_agree_with_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -102,5 +102,5 @@ def test_lexical_lists_use_terms_beyond_a_prefix(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, [1.0, 0.0], 0)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     queries = entry.queries()
-    assert {"0", "1", "2"} == {r.chunk_id for r in queries["rrf_hybrid_whole"](spark, str(tmp_path)).collect()}
+    assert {"0", "1", "2"} == {r.chunk_id for r in queries["rrf_hybrid"](spark, str(tmp_path)).collect()}
     assert {"0", "1", "2"} == {r.chunk_id for r in queries["rerank_topk"](spark, str(tmp_path)).collect()}
