@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the documents
 it keeps with the columns of ``documents``; the last returns what the mix takes of each document.
+
+Odd rows, in every stage: other columns may be null and pass as they are; an empty table gives an empty table; ties
+go as the operator's docstring says. Null and empty texts, and texts without letters, have no language and go in the
+first stage. Of repeated rows, near-dedup keeps one. Very long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; those of which nothing is left go."""
-    out = line_dedup.dedup_lines(docs).where(F.length(F.trim(F.regexp_replace("text", "[\\n ]+", " "))) > 0)
+    out = line_dedup.dedup_lines(docs).where(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != "")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
