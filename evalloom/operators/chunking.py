@@ -12,7 +12,8 @@ MIN_SIZE = 300
 
 def _numbered(df: DataFrame) -> DataFrame:
     """(source, chunk_id, chunk) from (source, parts): a row is a file, and ids count from 1 in each."""
-    out = df.select("source", F.posexplode("parts").alias("no", "chunk"))
+    # Outer: else a filter on the parts is inferred, pushed into the scan, and the files are cut there once more.
+    out = df.select("source", F.posexplode_outer("parts").alias("no", "chunk")).where("no is not null")
     return out.select("source", F.format_string("%s::chunk_%04d", "source", F.col("no") + 1).alias("chunk_id"), "chunk")
 
 

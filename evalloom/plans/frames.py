@@ -13,10 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer parts than there are cores is dealt over all of them; a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, text); source names hold a class marker by doc_id."""
     prefix = F.element_at(F.array(*map(F.lit, ["gesetz_", "din_", "blog_", "handbuch_"])), (F.col("doc_id") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(prefix, F.col("source"), F.lit("_"), F.col("doc_id").cast("string")).alias("source"), "text")
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.concat(prefix, F.col("source"), F.lit("_"), F.col("doc_id").cast("string")).alias("source"), "text")
 
 
 def headed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +44,7 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     return e.withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).try_cast("bigint"))
 
 
