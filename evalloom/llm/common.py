@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,21 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def arrow_batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Actions inside hand Python batches of at most about ``size`` bytes; the session's own setting returns after."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def crc_mod(key: Column | str, mod: int) -> Column:
     """crc32 of the key's decimal text, modulo ``mod``; a null key counts as the empty text."""
     key = F.col(key) if isinstance(key, str) else key

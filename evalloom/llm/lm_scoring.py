@@ -26,7 +26,7 @@ not read. A very long text is scored whole, by itself if it is longer than a chu
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, table
+from .common import arrow_batches_of, crc_mod, cut, table
 
 END = 0xFF
 ORDERS = (2, 4, 6)
@@ -60,11 +60,17 @@ DELTA, TRUST = 0.1, 0.5
 LEVELS = 15.0
 #: Steps of an 8-bit count, a doubling.
 STEPS = 8
-BATCH_MB = 24
+BATCH_MB = 16
 #: Bytes that are held in arrays at once.
 CHUNK = 1 << 20
+#: Bytes of words, or rows of logits, that are worked on at once.
+SLICE = 1 << 17
 #: Text of a task that counts, words that it holds before it passes them on, and words of a task that counts their beginnings.
 TASK_MB, HELD_WORDS, TASK_WORDS = 128, 300_000, 400_000
+#: Answers that a task packs at once.
+HELD_ROWS = 1 << 19
+#: Bytes of a batch that a counting task is handed.
+ARROW_BYTES = 4 << 20
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 32, END]] = True
 #: The nodes on the way to each half byte, and the signs of its bits.
@@ -82,6 +88,12 @@ def text_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
+def _lowered(column: pa.Array) -> Iterator[bytes]:
+    """``text_bytes`` of an Arrow column, one at a time and without strings between."""
+    for x in column:
+        yield x.as_buffer().to_pybytes().lower() if x.is_valid else b""
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -98,7 +110,7 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.array([len(t) + 1 for t in texts], dtype=np.int64)
 
 
-def _chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
+def _chunks(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
     own, size = [], 0
     for t in texts:
         own.append(t)
@@ -135,7 +147,7 @@ def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     alone = np.zeros(256, dtype=np.int64)
     one = np.int32(1)
     for batch in batches:
-        for own in _chunks([text_bytes(t) for t in batch.column(0).to_pylist()]):
+        for own in _chunks(_lowered(batch.column(0))):
             data, n = _joined(own)
             alone += np.bincount(data, minlength=256)
             for c, (first, second) in zip(counts, byte_slots(data, n), strict=True):
@@ -236,10 +248,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in batches:
-        for t in batch.column(0).to_pylist():
-            found.update(text_bytes(t).split())
-        if len(found) > HELD_WORDS:
-            yield flush()
+        for t in _lowered(batch.column(0)):
+            found.update(t.split())
+            if len(found) > HELD_WORDS:
+                yield flush()
     yield flush()
 
 
@@ -254,10 +266,14 @@ class Words:
         self.data = np.frombuffer(b"".join(words), dtype=np.uint8)
         self.n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         self.start = np.cumsum(self.n) - self.n
-        self.at = (np.arange(len(self.data)) - np.repeat(self.start, self.n)).astype(np.int32)  # the place of each byte in its word
-        code = (self.data.astype(np.uint64) + np.uint64(1)) * _POWER[np.minimum(self.at, DEPTH)]
-        code[self.at >= DEPTH] = 0
-        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(code, dtype=np.uint64)])
+        self.at = np.arange(len(self.data), dtype=np.int32)  # the place of each byte in its word
+        self.at -= np.repeat(self.start.astype(np.int32), self.n)
+        self.sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
+        for lo in range(0, len(self.data), SLICE):
+            at = self.at[lo : lo + SLICE]
+            code = (self.data[lo : lo + SLICE].astype(np.uint64) + np.uint64(1)) * _POWER[np.minimum(at, DEPTH)]
+            code[at >= DEPTH] = 0
+            np.add(np.cumsum(code, dtype=np.uint64), self.sums[lo], out=self.sums[lo + 1 : lo + 1 + len(at)])
 
     def before(self, i: np.ndarray) -> np.ndarray:
         """Hashes of the word's bytes before each byte ``i``, at most DEPTH places into it."""
@@ -374,6 +390,59 @@ def word_beginnings(counts: DataFrame, n_words: int) -> DataFrame:
     return dealt.mapInArrow(_beginning_rows(False), schema).unionByName(edges)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(batch, rows): the answers (batch, h, ends, next) of a task, some ``HELD_ROWS`` at a time, a value a batch of texts."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    held, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        held.clear()
+        batch, h = rows.column("batch").to_numpy(), rows.column("h").to_numpy()
+        order = np.lexsort((h, batch))
+        batch, h, ends = batch[order], h[order], rows.column("ends").to_numpy()[order]
+        nexts = rows.column("next").combine_chunks().take(pa.array(order))
+        at = np.frombuffer(nexts.buffers()[1], dtype=np.int32, count=len(nexts) + 1)
+        pairs = np.frombuffer(nexts.buffers()[2] or b"", dtype=np.uint8)
+        begin = np.flatnonzero(np.append(True, batch[1:] != batch[:-1]))
+        out = []
+        for lo, hi in zip(begin, np.append(begin[1:], len(batch)), strict=True):
+            # Sorted, the first bytes of the differences are alike: numbers lie byte by byte.
+            steps = np.diff(h[lo:hi].view(np.uint64), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+            counts = ends[lo:hi].view(np.uint8).reshape(-1, 8).T
+            sizes = np.diff(at[lo : hi + 1]).astype(np.uint16)
+            out.append(squeeze(b"".join([np.int64(hi - lo).tobytes(), steps.tobytes(), counts.tobytes(), sizes.tobytes(), pairs[at[lo] : at[hi]].tobytes()])))
+        return pa.RecordBatch.from_arrays([pa.array(batch[begin]), pa.array(out, type=pa.binary())], names=["batch", "rows"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.num_rows
+        if size >= HELD_ROWS:
+            yield flush()
+            size = 0
+    if held:
+        yield flush()
+
+
+def _unpack(values: Iterable[bytes]) -> pa.Table:
+    """The rows (h, ends, next) of values of ``_pack``."""
+    expand = zstandard.ZstdDecompressor().decompress
+    empty = {"h": pa.array([], type=pa.int64()), "ends": pa.array([], type=pa.int64()), "next": pa.array([], type=pa.binary())}
+    parts = [pa.table(empty)]
+    for value in values:
+        data = expand(value)
+        n = int(np.frombuffer(data, dtype=np.int64, count=1)[0])
+        numbers = np.frombuffer(data, dtype=np.uint8, count=16 * n, offset=8).reshape(2, 8, n)
+        steps, ends = (np.ascontiguousarray(x.T).reshape(-1) for x in numbers)
+        sizes = np.frombuffer(data, dtype=np.uint16, count=n, offset=8 + 16 * n)
+        at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        nexts = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data[8 + 18 * n :])])
+        h = np.cumsum(steps.view(np.uint64), dtype=np.uint64).view(np.int64)
+        parts.append(pa.table({"h": pa.array(h), "ends": pa.array(ends.view(np.int64)), "next": nexts}))
+    return pa.concat_tables(parts)
+
+
 class Known:
     """The rows (h, ends, next) that a batch got, in order of h."""
 
@@ -458,18 +527,22 @@ def mix_bits(x: list[np.ndarray], gate: np.ndarray, n: np.ndarray) -> np.ndarray
 
 
 def _different(texts: list[bytes]) -> list[bytes]:
+    """Sorted, so that words that begin alike are in one slice."""
     words: set[bytes] = set()
     for t in texts:
         words.update(t.split())
-    return list(words)
+    return sorted(words)
 
 
 def asked(texts: list[bytes]) -> np.ndarray:
     """The keys of all words and beginnings of the texts, the empty one too."""
     listed = _different(texts)
     own = Words(listed)
-    inner = own.before(np.flatnonzero((own.at <= DEPTH) & (own.at > 0)))
-    return pd.unique(np.concatenate([_EMPTY, word_keys(listed, own), inner]))
+    keys = [_EMPTY, word_keys(listed, own)]
+    for lo in range(0, len(own.data), SLICE):
+        at = own.at[lo : lo + SLICE]
+        keys.append(pd.unique(own.before(lo + np.flatnonzero((at <= DEPTH) & (at > 0)))))
+    return pd.unique(np.concatenate(keys))
 
 
 def score_batch(texts: list[bytes], tables: ByteTables, known: Known) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -481,17 +554,35 @@ def score_batch(texts: list[bytes], tables: ByteTables, known: Known) -> tuple[n
     del ids
     own, n_words = Words(words), len(words)
     # A row of logits for each byte of each different word, then for each different word and byte that ends it.
-    inner = np.flatnonzero(own.at <= DEPTH)
     found = known.find(word_keys(words, own))
     seen = np.where(found >= 0, known.ends[np.maximum(found, 0)], 0) if len(known.h) else np.zeros(n_words, dtype=np.int64)
     after = np.append(np.where(own.n <= DEPTH, found, -1), known.find(_EMPTY))  # the empty word is the last
     enders = np.array([i for i in np.flatnonzero(_WHITE) if i == END or any(bytes([i]) in t for t in texts)])
-    at_letter = np.full(len(own.data), -1, dtype=np.int32)
-    place, different = pd.factorize(own.before(inner))
-    at_letter[inner] = known.find(different)[place]
-    row = np.concatenate([at_letter, np.repeat(after.astype(np.int32), len(enders))])
-    del at_letter, place, different, inner
-    byte = np.concatenate([own.data, np.tile(enders, n_words + 1).astype(np.uint8)])
+    logits = np.zeros((len(own.data) + (n_words + 1) * len(enders), 8), dtype=np.int8)
+    gate = np.zeros(len(logits), dtype=np.int8)
+
+    def fill(place: np.ndarray, row: np.ndarray, byte: np.ndarray) -> None:
+        """The logits and gates at ``place``: of ``byte`` after the beginning ``row``, -1 for none."""
+        i = np.flatnonzero(row >= 0)
+        if not len(i):
+            return
+        edge, back = np.unique(row[i].astype(np.int64) * 256 + byte[i], return_inverse=True)
+        made, times = edge_logits(known, edge >> 8, (edge & 255).astype(np.uint8), tables.ends_as)
+        logits[place[i]] = (made * (times > 1.5)[:, None])[back]
+        gate[place[i]] = np.where(times < 1.5, 0, np.where(times < COMMON, 1, 2))[back]
+
+    for lo in range(0, len(own.data), SLICE):
+        place = lo + np.flatnonzero(own.at[lo : lo + SLICE] <= DEPTH)
+        different, back = np.unique(own.before(place), return_inverse=True)
+        fill(place, known.find(different)[back], own.data[place])
+    step = SLICE // len(enders)
+    for lo in range(0, n_words + 1, step):
+        some = after[lo : lo + step]
+        place = len(own.data) + lo * len(enders) + np.arange(len(some) * len(enders))
+        fill(place, np.repeat(some, len(enders)), np.tile(enders, len(some)))
+    letters_end = len(own.data)
+    start = own.start
+    del own, known, found, after
     ender = np.zeros(256, dtype=np.int64)
     ender[enders] = np.arange(len(enders))
     parts = []
@@ -515,24 +606,15 @@ def score_batch(texts: list[bytes], tables: ByteTables, known: Known) -> tuple[n
         first = np.flatnonzero(begin)
         out = np.empty(len(data), dtype=np.int64)
         letters = np.flatnonzero(~white)
-        out[letters] = own.start[run_word[run[letters]]] + letters - first[run[letters]]
+        out[letters] = start[run_word[run[letters]]] + letters - first[run[letters]]
         ends = np.flatnonzero(white)
         after_word = np.zeros(len(ends), dtype=bool)
         after_word[ends > 0] = ~white[ends[ends > 0] - 1]
         word = np.full(len(ends), n_words)
         word[after_word] = run_word[run[ends[after_word]]]
-        out[ends] = len(own.data) + word * len(enders) + ender[data[ends]]
+        out[ends] = letters_end + word * len(enders) + ender[data[ends]]
         return out
 
-    gate = np.zeros(len(row), dtype=np.int8)
-    logits = np.zeros((len(row), 8), dtype=np.int8)
-    i = np.flatnonzero(row >= 0)
-    back, edge = pd.factorize(row[i].astype(np.int64) * 256 + byte[i])
-    if len(edge):
-        made = [edge_logits(known, e >> 8, (e & 255).astype(np.uint8), tables.ends_as) for e in np.array_split(edge, -(-len(edge) // (1 << 17)))]
-        times = np.concatenate([m[1] for m in made])
-        logits[i] = (np.concatenate([m[0] for m in made]) * (times > 1.5)[:, None])[back]
-        gate[i] = np.where(times < 1.5, 0, np.where(times < COMMON, 1, 2))[back]
     packed = logits.view(np.uint64).reshape(-1)
     bits = np.zeros(len(texts))
     for some in parts:
@@ -547,7 +629,7 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as compressed bytes, lower-cased, for the shuffle."""
     c = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        text = pa.array([c.compress(text_bytes(t)) for t in batch.column(3).to_pylist()], type=pa.binary())
+        text = pa.array([c.compress(t) for t in _lowered(batch.column(3))], type=pa.binary())
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], text], names=["batch", "id", "held_out", "text"])
 
 
@@ -572,23 +654,25 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     sizes = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(~F.col("held_out")).alias("training"), F.sum(F.when(~F.col("held_out"), F.octet_length("text"))).alias("training_bytes")).first()
     n_batches = int(max(1, (sizes.bytes or 0) // (batch_mb * (1 << 20)) + 1))
     training = training.coalesce(int((sizes.training_bytes or 0) // (TASK_MB << 20) + 1))
-    counts = cut(training.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    with arrow_batches_of(spark, ARROW_BYTES):
+        counts = cut(training.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+        tables = byte_tables(training)
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     ends = sizes.training or 0
     total, different = (sums.n or 0) + ends, sums.v + (ends > 0)
-    shared = spark.sparkContext.broadcast(byte_tables(training))
+    shared = spark.sparkContext.broadcast(tables)
 
     # Rows without an id are told apart by where they stand, so that none of their batches is crowded.
     where = F.when(F.col("id").isNull(), F.monotonically_increasing_id())
     side = rows.select(F.pmod(F.xxhash64("id", "text", where), F.lit(n_batches)).cast("int").alias("batch"), "id", "held_out", "text").mapInArrow(_squeeze, "batch int, id long, held_out boolean, text binary")
     asked = side.groupBy("batch").applyInArrow(_ask, "batch int, h long")
-    known = asked.join(word_beginnings(counts, sums.v), "h").select("batch", "h", "ends", "next")
+    known = asked.join(word_beginnings(counts, sums.v), "h").select("batch", "h", "ends", "next").mapInArrow(_pack, "batch int, rows binary")
     log_total = float(np.log10(total + 0.5 * (different + 1)))
     log_end = float(np.log10(ends + 0.5)) - log_total
 
     def tell(group: pa.Table, known: pa.Table) -> pa.Table:
         texts = _texts(group)
-        bits, seen, tokens = score_batch(texts, shared.value, Known(known))
+        bits, seen, tokens = score_batch(texts, shared.value, Known(_unpack(x.as_py() for x in known.column("rows"))))
         log = np.log10(seen + 0.5) - log_total
         n = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
         own = np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.int64)

@@ -167,3 +167,20 @@ def test_learns(spark):
     rows = [(i, " ".join(rnd.choice(words) for _ in range(100))) for i in range(60)] + [(100 + i, "".join(rnd.choice("qrstuvwxyz ") for _ in range(600))) for i in range(4)]
     got = {r.doc_id: r.bits_per_byte for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 50).collect()}
     assert max(v for k, v in got.items() if 50 <= k < 60) < 1.6 < min(v for k, v in got.items() if k >= 100)
+
+
+@pytest.mark.parametrize("held", [1, 50, 10_000])
+def test_answers_are_unpacked_as_they_were(monkeypatch, held):
+    """Any 64-bit keys, ends and followers of any length, none too; each answer comes back once."""
+    monkeypatch.setattr(lm, "HELD_ROWS", held)
+    rng = np.random.default_rng(3)
+    h = rng.integers(-(2**63), 2**63 - 1, 300)
+    h[:4] = [-(2**63), 2**63 - 1, 0, -1]
+    batch, ends = rng.integers(0, 5, 300).astype(np.int32), rng.integers(0, 2**40, 300)
+    nexts = [rng.bytes(2 * int(rng.integers(0, 257))) if i % 7 else b"" for i in range(300)]
+    parts = [pa.RecordBatch.from_arrays([pa.array(batch[i : i + 60]), pa.array(h[i : i + 60]), pa.array(ends[i : i + 60]), pa.array(nexts[i : i + 60], type=pa.binary())], names=["batch", "h", "ends", "next"]) for i in range(0, 300, 60)]
+    packed = [(b, v) for x in lm._pack(iter(parts)) for b, v in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)]
+    got = sorted((b, *row.values()) for b in range(5) for row in lm._unpack(v for k, v in packed if k == b).to_pylist())
+    assert got == sorted(zip(batch.tolist(), h.tolist(), ends.tolist(), nexts, strict=True))
+    assert lm._unpack([]).num_rows == 0
+    assert not list(lm._pack(iter([])))
