@@ -25,12 +25,12 @@ not read. A very long text is scored whole, by itself if it is longer than a chu
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,8 +65,8 @@ BATCH_MB = 16
 CHUNK = 1 << 20
 #: Bytes of words, or rows of logits, that are worked on at once.
 SLICE = 1 << 17
-#: Text of a task that counts, words that it holds before it passes them on, and words of a task that counts their beginnings.
-TASK_MB, HELD_WORDS, TASK_WORDS = 128, 300_000, 400_000
+#: Text of a task that counts, text of which it holds the words before it passes them on, and words of a task that counts their beginnings.
+TASK_MB, HELD_BYTES, TASK_WORDS = 128, 8 << 20, 400_000
 #: Answers that a task packs at once.
 HELD_ROWS = 1 << 19
 #: Bytes of a batch that a counting task is handed.
@@ -239,20 +239,32 @@ def byte_tables(texts: DataFrame) -> ByteTables:
 # Words and their beginnings: a table that grows with the input
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter[bytes] = Counter()
+def _words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, in order, and how many each text has."""
+    data, n = _joined(texts)
+    letter = ~_WHITE[data]
+    start = np.flatnonzero(letter & ~np.append(False, letter[:-1]))
+    stop = np.flatnonzero(letter[:-1] & ~letter[1:]) + 1  # the last byte ends a text
+    offsets = np.concatenate([[0], np.cumsum(stop - start)])
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[letter])])
+    return words, np.diff(np.searchsorted(start, np.append(0, np.cumsum(n))))
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(found), type=pa.binary()), pa.array(list(found.values()), type=pa.int64())], names=["word", "n"])
-        found.clear()
-        return out
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flush(texts: list[bytes]) -> pa.RecordBatch:
+        found = _words_of(texts)[0].value_counts()
+        return pa.RecordBatch.from_arrays([found.field("values").cast(pa.binary()), found.field("counts")], names=["word", "n"])
+
+    held, size = [], 0
     for batch in batches:
         for t in _lowered(batch.column(0)):
-            found.update(t.split())
-            if len(found) > HELD_WORDS:
-                yield flush()
-    yield flush()
+            held.append(t)
+            size += len(t) + 1
+            if size >= HELD_BYTES:
+                yield flush(held)
+                held, size = [], 0
+    if held:
+        yield flush(held)
 
 
 def _long_hash(word: bytes) -> int:
@@ -526,17 +538,19 @@ def mix_bits(x: list[np.ndarray], gate: np.ndarray, n: np.ndarray) -> np.ndarray
     return cost / np.log(2.0)
 
 
-def _different(texts: list[bytes]) -> list[bytes]:
-    """Sorted, so that words that begin alike are in one slice."""
-    words: set[bytes] = set()
-    for t in texts:
-        words.update(t.split())
-    return sorted(words)
+def _different(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words, sorted, so that those that begin alike are in one slice; the place there of each word of the texts; words by text."""
+    words, n = _words_of(texts)
+    coded = words.dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary)
+    place = np.empty(len(order), dtype=np.int32)
+    place[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+    return coded.dictionary.take(order).to_pylist(), place[coded.indices.to_numpy()], n
 
 
 def asked(texts: list[bytes]) -> np.ndarray:
     """The keys of all words and beginnings of the texts, the empty one too."""
-    listed = _different(texts)
+    listed, _, _ = _different(texts)
     own = Words(listed)
     keys = [_EMPTY, word_keys(listed, own)]
     for lo in range(0, len(own.data), SLICE):
@@ -547,11 +561,8 @@ def asked(texts: list[bytes]) -> np.ndarray:
 
 def score_batch(texts: list[bytes], tables: ByteTables, known: Known) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Bits of each text, how often each different word was seen in training, and the words of each text."""
-    words = _different(texts)
-    ids = dict(zip(words, range(len(words)), strict=True))
-    split = (t.split() for t in texts)
-    tokens = [np.fromiter(map(ids.__getitem__, x), dtype=np.int32, count=len(x)) for x in split]
-    del ids
+    words, ids, n = _different(texts)
+    tokens = np.split(ids, np.cumsum(n)[:-1])
     own, n_words = Words(words), len(words)
     # A row of logits for each byte of each different word, then for each different word and byte that ends it.
     found = known.find(word_keys(words, own))
