@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, url_filters
+from . import decontamination, timestamps, url_filters
 from .ann_search import op7_ann_search
 from .decontamination import op9_decontamination
 from .html_extraction import op2_html_extraction
@@ -16,6 +16,7 @@ from .lm_scoring import op1_lm_scoring
 from .minhash_dedup import op8_minhash_dedup
 from .source_mixing import op4_source_mixing
 from .substring_dedup import op10_substring_dedup
+from .timestamps import op12_timestamps
 from .url_filters import op6_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,8 +30,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_timestamps": op12_timestamps,
 }
 ORACLE: dict[str, str] = {
     "op6_url_filters": url_filters.ORACLE,
     "op9_decontamination": decontamination.ORACLE,
+    "op12_timestamps": timestamps.ORACLE,
 }
