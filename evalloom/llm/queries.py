@@ -14,6 +14,7 @@ from .language_id import op3_language_id
 from .line_dedup import op5_line_dedup
 from .lm_scoring import op1_lm_scoring
 from .minhash_dedup import op8_minhash_dedup
+from .pieces import op11_sentencepiece
 from .source_mixing import op4_source_mixing
 from .substring_dedup import op10_substring_dedup
 from .timestamps import op12_timestamps
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_sentencepiece": op11_sentencepiece,
     "op12_timestamps": op12_timestamps,
 }
 ORACLE: dict[str, str] = {
