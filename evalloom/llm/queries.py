@@ -19,6 +19,7 @@ from .source_mixing import op4_source_mixing
 from .substring_dedup import op10_substring_dedup
 from .timestamps import op12_timestamps
 from .url_filters import op6_url_filters
+from .whitening import op13_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_sentencepiece": op11_sentencepiece,
     "op12_timestamps": op12_timestamps,
+    "op13_whitening": op13_whitening,
 }
 ORACLE: dict[str, str] = {
     "op6_url_filters": url_filters.ORACLE,
