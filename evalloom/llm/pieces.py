@@ -31,7 +31,7 @@ from .common import table
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Bytes of text that are taken apart together.
-BATCH = 16 << 20
+BATCH = 4 << 20
 #: Rows of the table of chunks, and bytes of a chunk that may enter it: what is sent to a task stays below 70 MB.
 KNOWN, WIDEST = 200_000, 64
 _PROBE = " ﬁ a  b\t①\n" + MARK + "x\x00 "
@@ -185,7 +185,7 @@ def decode(tokens: DataFrame, model: str | None = None, ids: str = "ids", text:
         shown = pa.array(vocabulary.shown, type=pa.large_binary())
         for rows in batches:
             lists = pc.fill_null(_column(rows, ids), pa.scalar([], type=pa.list_(pa.int32())))
-            for at, to in _parts(lists.value_lengths().to_numpy(zero_copy_only=False), 4 << 20):
+            for at, to in _parts(lists.value_lengths().to_numpy(zero_copy_only=False), 1 << 20):
                 part = lists.slice(at, to - at)
                 flat = part.flatten()
                 spans = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(part.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)), shown.take(flat))
