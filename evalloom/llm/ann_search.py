@@ -74,13 +74,15 @@ def probe_cells(values: np.ndarray, probes: int, reach: int) -> np.ndarray:
     return own[:, None, :] + moves[combos[best]]
 
 
-def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, x): finite, non-zero vectors of the most frequent length."""
+def usable(vectors: DataFrame, key: str, vector: str, length: int | None = None) -> DataFrame:
+    """(id, x): finite, non-zero vectors of the given length, else of the most frequent one."""
     v = F.col(f"`{vector}`")
     fine = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("id"), v.alias("x")).where(fine)
-    size = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("x") == (size.n if size else 0))
+    if length is None:
+        size = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
+        length = size.n if size else 0
+    return rows.where(F.size("x") == length)
 
 
 def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, tables: int = TABLES, functions: int = FUNCTIONS, width: float = WIDTH, probes: int = PROBES, reach: int = REACH, block: int = BLOCK) -> DataFrame:
@@ -88,10 +90,11 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
 
     ``width`` is in units of the largest norm.
     """
-    base, asked = usable(vectors, key, vector), usable(queries, key, vector)
+    base = usable(vectors, key, vector)
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     found = base.agg(F.max(norm).alias("m"), F.max(F.size("x")).alias("dim")).first()
     most, dim = found.m or 1.0, found.dim or 1
+    asked = usable(queries, key, vector, dim)  # of the length of the base: others have no neighbours in it
     kind = base.schema["x"].dataType.simpleString()
 
     def matrix(col: pd.Series) -> np.ndarray:

@@ -3,7 +3,7 @@
 Known words score by their per-language log frequency; an unseen word falls back to its character
 n-grams, longest first, shorter ones where the longer is unseen too.
 
-Training uses at most ``max_rows`` labelled rows a language (those with the smallest hashes of their keys), whole texts; predictions cover every row and its whole text and use nothing but the text.
+Training uses at most ``max_rows`` different labelled rows a language (those with the smallest hashes of key and text), whole texts; predictions cover every row and its whole text and use nothing but the text.
 
 Defined results: null text, or text without any letter, gives ``und`` with score 0; text with letters
 but no trained language at all gives ``und`` with score 0; ties go to the smaller language name; repeated
@@ -27,6 +27,8 @@ from .common import crc_mod, table
 
 #: Bound of the training sample: labelled rows a language.
 MAX_ROWS = 500
+#: Bound of the languages that are told apart.
+MAX_LANGUAGES = 1000
 #: Bound of the model: words, and n-grams of each length, a language.
 MAX_TERMS = 20_000
 ORDERS = (4, 3, 2, 1)
@@ -185,14 +187,18 @@ def _gram_keys_at(codes: np.ndarray, i: np.ndarray, n: int) -> np.ndarray:
 
 def train(labelled: DataFrame, key: str = "doc_id", max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Model:
     """Fit on (key, text, lang); null texts and languages are left out."""
-    rows = labelled.select(F.col(key).alias("key"), "text", "lang").where("text is not null and lang is not null").withColumn("h", F.xxhash64("key"))
-    sizes = {x.lang: x["count"] for x in rows.groupBy("lang").count().collect()}  # a row a language
+    # The key may be shared by many rows, or null: the text counts for the hash as well.
+    rows = labelled.select(F.col(key).alias("key"), "text", "lang").where("text is not null and lang is not null").select("text", "lang", F.xxhash64("key", "text").alias("h"))
+    sizes = {x.lang: x.n for x in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).limit(MAX_LANGUAGES + 1).collect()}  # a row a language
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return Model([], {})
-    # Hashes below the share that holds four times max_rows, then the smallest of them exactly.
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, 4.0 * max_rows / n))])
-    w = Window.partitionBy("lang").orderBy("h", "key", "text")
-    sample = rows.where(F.pmod("h", F.lit(1 << 31)) / float(1 << 31) < share[F.col("lang")]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_rows)
+    # Of the different rows of a language, those below the share that holds about four times max_rows, then the smallest of them exactly.
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, 4.0 * max_rows / max(1, n)))])
+    w = Window.partitionBy("lang").orderBy("h", "text")
+    near = rows.where(F.pmod("h", F.lit(1 << 31)) / float(1 << 31) < share[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    sample = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_rows)
     sample = sample.repartition(16, "h")
     counts = sample.select("lang", "text").mapInPandas(_term_counts, "lang string, kind int, term string, n long").groupBy("lang", "kind", "term").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "term")
