@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
@@ -99,12 +99,6 @@ def top_groups(rows: DataFrame, by: str, n: int = 6) -> DataFrame:
     return rows.join(F.broadcast(first), by, "left_semi")
 
 
-def qq_points(values: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, position, value): sorted values with their plotting positions (i - 0.5) / n."""
-    w = Window.partitionBy(*by)
-    return values.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(w.orderBy(value))).withColumn("n", F.count("*").over(w)).select(*by, "i", ((F.col("i") - 0.5) / F.col("n")).alias("position"), F.col(value).alias("value"))
-
-
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from . import stats
+from . import normality, stats
 
 TASK_TYPES = ["Wissensbasiert", "Analytisch / Reasoning", "Rechen-/deterministisch", "Unklar/sonstige"]
+TASKTYPE_COMPARISONS = [("Zero-Shot", "Advanced-Prompt"), ("Zero-Shot", "RAG")]
 UNKNOWN_TYPE, UNKNOWN = "Unklar/sonstige", "Unbekannt"
 
 
@@ -18,11 +19,14 @@ def with_meta(evaluated: DataFrame, meta: DataFrame) -> DataFrame:
     return out.withColumns({"category": F.coalesce("category", F.lit(UNKNOWN)), "difficulty": F.coalesce("difficulty", F.lit(UNKNOWN)), "task_type": F.coalesce("task_type", F.lit(UNKNOWN_TYPE))})
 
 
+def tasktype_comparison(baseline: str, target: str) -> str:
+    return f"{stats.method_label(target)} - {stats.method_label(baseline)}"
+
+
 def tasktype_deltas(tasks: DataFrame, meta: DataFrame, metric: str = "Atomic_Coverage_Score") -> DataFrame:
-    """(Model, comparison, task_type, ID, diff) over non-trap questions; lower-is-better metrics are turned round."""
-    sign = stats.METRICS.get(metric, 1)
-    own = stats.non_trap(tasks).withColumn("v", F.lit(float(sign)) * F.col(metric))
-    return stats.pairs(own, value="v").join(meta.select("ID", "task_type"), "ID", "left").withColumn("task_type", F.coalesce("task_type", F.lit(UNKNOWN_TYPE)))
+    """(Model, comparison, task_type, ID, diff) over non-trap questions: each method less the baseline, whatever is better."""
+    found = stats.pairs(stats.non_trap(tasks), metric, TASKTYPE_COMPARISONS, label=tasktype_comparison)
+    return found.join(meta.select("ID", "task_type"), "ID", "left").withColumn("task_type", F.coalesce("task_type", F.lit(UNKNOWN_TYPE)))
 
 
 def tasktype_summary(deltas: DataFrame) -> DataFrame:
@@ -30,12 +34,21 @@ def tasktype_summary(deltas: DataFrame) -> DataFrame:
 
 
 def tasktype_tests(deltas: DataFrame) -> DataFrame:
-    """``tasktype_summary`` with the signed-rank statistic, p, r and its label; a single pair has none."""
+    """The export of task types: counts, median, signed-rank statistic, p, r and its label, to four digits; a single pair has no test."""
     by = ["comparison", "task_type"]
-    some = deltas.where("diff is not null")
-    out = tasktype_summary(deltas).join(stats.signed_ranks(some, by).select(*by, "statistic", "r"), by).join(stats.p_values(some, by), by)
-    out = out.withColumns({c: F.when(F.col("n_pairs") >= 2, F.col(c)) for c in ("statistic", "p", "r")})
-    return out.withColumn("label", S.effect_label(F.col("r")))
+    tested = stats.signed_ranks(deltas, by).select(*by, "statistic", "r", F.col("p").alias("p_value_raw"))
+    out = tasktype_summary(deltas).join(tested, by)
+    out = out.withColumns({c: F.when(F.col("n_pairs") >= 2, F.col(c)) for c in ("statistic", "p_value_raw", "r")}).withColumn("effect_size_label", S.effect_label(F.col("r"), "de"))
+    digits = lambda c, name: stats.half_even(F.col(c)).alias(name)
+    out = out.select("task_type", "comparison", "n_pairs", digits("median_delta", "median_delta"), digits("statistic", "wilcoxon_statistic"), digits("p_value_raw", "p_value_raw"), digits("r", "effect_size_r"), "effect_size_label")
+    return out.orderBy("comparison", F.array_position(F.lit(TASK_TYPES), F.col("task_type")))
+
+
+def normality_frame(tasks: DataFrame) -> DataFrame:
+    """Pooled differences of all models by comparison, with the Shapiro-Wilk p of each comparison."""
+    d = stats.pairs(stats.non_trap(tasks), "Atomic_Coverage_Score").where("diff is not null")
+    tested = normality.shapiro_wilk(d, ["comparison"]).select("comparison", F.col("p").alias("shapiro_p_value"))
+    return d.join(tested, "comparison").select("comparison", F.col("Model").alias("model"), F.col("ID").alias("id"), F.col("a").alias("value_a"), F.col("b").alias("value_b"), F.col("diff").alias("oriented_difference"), "shapiro_p_value")
 
 
 def tasktype_heatmap(deltas: DataFrame) -> DataFrame:

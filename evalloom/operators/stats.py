@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from ..functions import normal as N
 from ..functions import scoring as S
+from . import normality
 
 # Fixed values.
 METHODS = ["Zero-Shot", "Advanced-Prompt", "RAG"]
 METHOD_ALIASES = {"Advanced Prompt": "Advanced-Prompt", "Advanced Prompting": "Advanced-Prompt"}
+METHOD_LABELS = {"Advanced-Prompt": "Advanced Prompting"}
 COMPARISONS = [("Zero-Shot", "Advanced-Prompt"), ("Zero-Shot", "RAG"), ("Advanced-Prompt", "RAG")]
 METRICS = {"Atomic_Coverage_Score": 1, "Atomic_Precision": 1, "Hallucination_Rate": -1}
+#: Up to so many pairs that differ, p is exact.
+EXACT_PAIRS = 1000
 DEFAULTS = {
     "Model": ("string", "unknown"), "Method": ("string", "unknown"), "ID": ("string", "unknown"), "Run_ID": ("long", None), "KI_Antwort": ("string", ""),
     **{c: ("double", None) for c in ["Cost_USD", "Dauer_sek", "Atomic_Coverage_Score", "Support_Rate", "Atomic_Precision", "Hallucination_Rate", "Contradiction_Rate", "Not_In_Scope_Rate", "Trap_Pass", "Trap_Hallucination", "Trap_Fallibility", "Is_Trap_Question", "Confidence_Mean"]},
@@ -70,8 +77,9 @@ def task_level(prepared: DataFrame) -> DataFrame:
         std("Atomic_Coverage_Score").alias("Task_Run_Coverage_Std"), std("Atomic_Precision").alias("Task_Run_Precision_Std"), std("Hallucination_Rate").alias("Task_Run_Hallucination_Std"),
         F.when(F.round(mean("Support_Rate"), 12) < 0.5, 1).otherwise(0).alias("Critical_Fail"), mean("Cost_USD").alias("Avg_Cost"), mean("Dauer_sek").alias("Avg_Time"),
         *[mean(c).alias(c) for c in ["Atomic_Coverage_Score", "Support_Rate", "Atomic_Precision", "Hallucination_Rate", "Contradiction_Rate", "Not_In_Scope_Rate"]],
+        mean("Support_Rate").alias("Task_Binary_Score"), mean("Is_Trap_Question").alias("Trap_Question_Share"), mean("Confidence_Found_Flag").alias("Task_Confidence_Found_Rate"),
         mean("Trap_Pass").alias("Trap_Pass_Rate"), mean("Trap_Hallucination").alias("Trap_Hallucination_Rate"), mean("Trap_Fallibility").alias("Trap_Fallibility"),
-        mean("Confidence_Mean").alias("Task_Confidence"), mean("Overconfidence").alias("Task_Overconfidence_Score"), mean("Confidence_Accuracy_Gap").alias("Task_Confidence_Accuracy_Gap"),
+        mean("Confidence_Mean").alias("Task_Confidence_Mean"), mean("Overconfidence").alias("Task_Overconfidence_Score"), mean("Confidence_Accuracy_Gap").alias("Task_Confidence_Accuracy_Gap"),
         F.count("*").alias("n_rows"),
     )
     return out.join(jaccard_consistency(prepared, by), by, "left")
@@ -85,62 +93,89 @@ def traps(tasks: DataFrame) -> DataFrame:
     return tasks.where("coalesce(Is_Trap_Question, 0) >= 0.5")
 
 
-def pairs(tasks: DataFrame, metric: str = "Task_Score", comparisons=COMPARISONS, value: str | None = None) -> DataFrame:
-    """(Model, comparison, ID, a, b, diff) of all models and comparisons in one self-join; differences rounded to 12 digits before ranking."""
-    own = tasks.select("Model", "Method", "ID", F.col(value or metric).alias("v")).dropDuplicates(["Model", "Method", "ID"])
+def method_label(method: str) -> str:
+    return METHOD_LABELS.get(method, method)
+
+
+def comparison_label(a: str, b: str) -> str:
+    return f"{method_label(a)} vs {method_label(b)}"
+
+
+def pairs(tasks: DataFrame, metric: str = "Task_Score", comparisons=COMPARISONS, value: str | None = None, label=comparison_label, order: str | None = None) -> DataFrame:
+    """(Model, comparison, ID, a, b, diff) of all models and comparisons in one self-join; differences rounded to 12 digits before ranking.
+
+    Of rows that share a model, method and ID the first by ``order`` counts; without an order they must not occur.
+    """
+    own = tasks.select("Model", "Method", "ID", F.col(value or metric).alias("v"), *([F.col(order).alias("__o")] if order else []))
+    if order:
+        own = own.groupBy("Model", "Method", "ID").agg(F.min_by(F.struct("v"), "__o").alias("f")).select("Model", "Method", "ID", "f.v")
     spark = tasks.sparkSession
-    wanted = spark.createDataFrame([(x, y, f"{x} vs {y}") for x, y in comparisons], "ma string, mb string, comparison string")
+    wanted = spark.createDataFrame([(x, y, label(x, y)) for x, y in comparisons], "ma string, mb string, comparison string")
     a = own.join(F.broadcast(wanted), F.col("Method") == F.col("ma")).select("Model", "ID", "mb", "comparison", F.col("v").alias("a"))
     b = own.select("Model", "ID", F.col("Method").alias("mb"), F.col("v").alias("b"))
     return a.join(b, ["Model", "ID", "mb"]).select("Model", "comparison", "ID", "a", "b", F.round(F.col("b") - F.col("a"), 12).alias("diff"))
 
 
-def signed_ranks(diffs: DataFrame, by: list[str]) -> DataFrame:
-    """W+, W-, statistic, z, r and rank-biserial effect of each group's differences; zeros are left out of the ranks."""
-    size = F.abs("diff")
-    w = Window.partitionBy(*by, "nonzero").orderBy(size)
-    ties = Window.partitionBy(*by, "nonzero", size)
-    ranked = diffs.where("diff is not null").withColumn("nonzero", F.col("diff") != 0).withColumn("rank", F.when(F.col("nonzero"), (F.rank().over(w) + (F.count("*").over(ties) - 1) / 2.0).cast("double")))
+def signed_ranks(diffs: DataFrame, by: list[str], exact: int = EXACT_PAIRS) -> DataFrame:
+    """The signed-rank test of each group's differences: counts, W+, W-, statistic, z, r, rank-biserial effect, p and its method.
+
+    Zeros are left out of the ranks; equal sizes share their mean rank. Differences are counted by size in the tasks first, so what
+    a group sorts are its distinct sizes. p is two-sided: exact up to ``exact`` pairs that differ (ties included), from the
+    tie-corrected normal form beyond; null for fewer than two pairs.
+    """
+    sized = diffs.where("diff is not null").groupBy(*by, F.abs("diff").alias("size")).agg(F.count("*").alias("c"), F.count_if(F.col("diff") > 0).alias("up"), F.sum("diff").alias("s"))
+    own = Window.partitionBy(*by)
+    counted = F.when(F.col("size") > 0, F.col("c")).otherwise(0)
+    ranked = sized.withColumns({"upto": F.sum(counted).over(own.orderBy("size").rowsBetween(Window.unboundedPreceding, 0)), "nz": F.sum(counted).over(own)})
+    ranked = ranked.withColumn("doubled", F.when(F.col("size") > 0, 2 * F.col("upto") - F.col("c") + 1))  # twice the rank: ties have halves
+    rank = F.col("doubled") / 2.0
+    few = F.when(F.col("nz") <= exact, F.struct("doubled", "c"))
     out = ranked.groupBy(*by).agg(
-        F.count("*").alias("n_pairs"), F.count("rank").alias("n_nonzero"), F.avg("diff").alias("mean_diff"), F.max(size).alias("max_diff"),
-        F.coalesce(F.sum(F.when(F.col("diff") > 0, F.col("rank"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col("diff") < 0, F.col("rank"))), F.lit(0.0)).alias("w_minus"),
-        F.coalesce(F.sum(F.col("rank") * F.col("rank")), F.lit(0.0)).alias("squares"),
+        F.sum("c").alias("n_pairs"), F.max("nz").alias("n_nonzero"), (F.sum("s") / F.sum("c")).alias("mean_diff"), F.max("size").alias("max_diff"),
+        F.coalesce(F.sum(rank * F.col("up")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(rank * (F.col("c") - F.col("up"))), F.lit(0.0)).alias("w_minus"),
+        F.coalesce(F.sum(rank * rank * F.col("c")), F.lit(0.0)).alias("squares"), F.filter(F.collect_list(few), lambda x: x["doubled"].isNotNull()).alias("ties"),
     )
     total = F.col("w_plus") + F.col("w_minus")
-    z = F.try_divide(F.col("w_plus") - total / 2.0, F.sqrt(F.col("squares") / 4.0))
-    z = F.when(F.col("n_nonzero") == 0, 0.0).otherwise(z)
-    return out.withColumns({"statistic": F.least("w_plus", "w_minus"), "z": z, "r": F.when(F.col("n_nonzero") == 0, 0.0).otherwise(F.try_divide(z, F.sqrt(F.col("n_nonzero").cast("double")))), "effect": F.when(total == 0, 0.0).otherwise(F.try_divide(F.col("w_plus") - F.col("w_minus"), total))})
+    none = F.col("n_nonzero") == 0
+    z = F.when(none, 0.0).otherwise(F.try_divide(F.col("w_plus") - total / 2.0, F.sqrt(F.col("squares") / 4.0)))
+    out = out.withColumns({"statistic": F.least("w_plus", "w_minus"), "z": z, "effect": F.when(total == 0, 0.0).otherwise(F.try_divide(F.col("w_plus") - F.col("w_minus"), total))})
+    small = F.col("n_nonzero") <= exact
+    p = F.when(none, 1.0).when(small, _exact_ps("ties", "w_plus")).otherwise(F.least(F.lit(1.0), 2.0 * N.upper_tail(F.abs("z"))))
+    enough = F.col("n_pairs") >= 2
+    return out.withColumns({
+        "r": F.when(none, 0.0).otherwise(F.try_divide("z", F.sqrt(F.col("n_nonzero").cast("double")))),
+        "p": F.when(enough, p), "p_method": F.when(enough, F.when(small, "exact").otherwise("normal")),
+    }).drop("ties")
+
+
+def exact_p(doubled, counts, seen: int) -> float:
+    """Exact two-sided p of a sum of doubled ranks: the chances of all sums are the product of a polynomial a size of difference."""
+    leaves = []
+    for r, c in zip(doubled, counts, strict=True):
+        chance = np.zeros(int(r) * int(c) + 1)
+        chance[:: int(r)] = [math.comb(int(c), k) / 2 ** int(c) for k in range(int(c) + 1)]
+        leaves.append(chance)
+    if not leaves:
+        return 1.0
+    leaves.sort(key=len)
+    while len(leaves) > 1:
+        leaves = [_product(*leaves[i : i + 2]) for i in range(0, len(leaves), 2)]
+    return float(min(1.0, 2 * max(0.0, min(leaves[0][: seen + 1].sum(), leaves[0][seen:].sum()))))
 
 
-def exact_p(diffs) -> float:
-    """Exact two-sided signed-rank p: zeros are left out; the chance of each sum is built up rank by rank."""
-    d = np.asarray([x for x in diffs if x is not None and not np.isnan(x) and x != 0], dtype=float)
-    if not len(d):
-        return 1.0
-    doubled = np.rint(pd.Series(np.abs(d)).rank(method="average").to_numpy() * 2).astype(int)  # ties have halves
-    chance = np.zeros(int(doubled.sum()) + 1)
-    chance[0] = 1.0
-    top = 0
-    for r in doubled:  # a rank counts or not, each with a half
-        chance[: top + 1] *= 0.5
-        grown = chance[: top + 1].copy()
-        chance[r : r + top + 1] += grown
-        top += int(r)
-    seen = int(doubled[d > 0].sum())
-    return float(min(1.0, 2 * min(chance[: seen + 1].sum(), chance[seen:].sum())))
-
-
-def p_values(diffs: DataFrame, by: list[str]) -> DataFrame:
-    """(by, p): a group is one comparison's questions."""
+def _product(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
+    if b is None:
+        return a
+    if min(len(a), len(b)) < 256:
+        return np.convolve(a, b)
+    n = len(a) + len(b) - 1
+    size = 1 << (n - 1).bit_length()
+    return np.maximum(np.fft.irfft(np.fft.rfft(a, size) * np.fft.rfft(b, size), size)[:n], 0.0)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[by].head(1).copy()
-        out["p"] = exact_p(pdf["diff"]) if len(pdf) > 1 else None
-        out["p"] = out["p"].astype(float)
-        return out
 
-    kinds = dict(diffs.dtypes)
-    return diffs.where("diff is not null").select(*by, "diff").groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", p double").withColumn("p", F.nanvl("p", F.lit(None).cast("double")))
+@F.pandas_udf(DoubleType())
+def _exact_ps(ties: pd.Series, w_plus: pd.Series) -> pd.Series:
+    return pd.Series([exact_p([t["doubled"] for t in own], [t["c"] for t in own], round(2 * w)) if len(own) else 1.0 for own, w in zip(ties, w_plus, strict=True)], dtype=float)
 
 
 def benjamini_hochberg(df: DataFrame, by: list[str], p: str = "p", q: str = "q") -> DataFrame:
@@ -169,37 +204,47 @@ def _direction() -> Column:
     return _favoured(F.split_part("comparison", F.lit(" vs "), F.lit(1)), F.split_part("comparison", F.lit(" vs "), F.lit(2)))
 
 
-def test_effects(tasks: DataFrame) -> DataFrame:
-    """Models x metrics x comparisons over non-trap questions, all but p and q; a single pair has no statistic."""
+def test_effects(tasks: DataFrame, exact: int = EXACT_PAIRS) -> DataFrame:
+    """Models x metrics x comparisons over non-trap questions; a single pair has no statistic. Differences are ranked once."""
     by = ["metric", "Model", "comparison"]
-    out = signed_ranks(long_pairs(non_trap(tasks)), by)
+    d = long_pairs(non_trap(tasks))
+    out = signed_ranks(d, by, exact)
     enough = F.col("n_pairs") >= 2
     some = {c: F.when(enough, F.col(c)) for c in ("statistic", "z", "r")}
     out = out.withColumns({**some, "n_nonzero": F.when(enough, F.col("n_nonzero")).otherwise(0), "direction": _direction()})
-    return out.withColumn("label", S.effect_label(F.col("r"))).select(*by, "n_pairs", "n_nonzero", "statistic", "z", "r", "label", "direction")
+    out = out.withColumn("label", S.effect_label(F.col("r"), "de"))
+    shapiro = normality.shapiro_wilk(d, by).select(*by, F.col("p").alias("shapiro_p"))
+    return out.join(shapiro, by, "left").select(*by, "n_pairs", "n_nonzero", "statistic", "z", "r", "label", "direction", "p", "p_method", "shapiro_p")
 
 
-def main_tests(tasks: DataFrame) -> DataFrame:
-    """``test_effects`` with p, and q over the comparisons of a model and metric."""
-    by = ["metric", "Model", "comparison"]
-    out = test_effects(tasks).join(p_values(long_pairs(non_trap(tasks)), by), by)
-    return benjamini_hochberg(out, ["Model", "metric"])
+def main_tests(tasks: DataFrame, exact: int = EXACT_PAIRS) -> DataFrame:
+    """``test_effects`` with q over the comparisons of a model and metric."""
+    return benjamini_hochberg(test_effects(tasks, exact), ["Model", "metric"])
 
 
 def robustness(runs: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Shares of runs whose direction and significance agree with all runs together, by model, metric and comparison.
 
-    ``runs`` is prepared; each run's pairs are formed on its own.
+    ``runs`` is prepared; each run's pairs are formed on its own, and runs of fewer than two pairs do not count. All runs
+    together are significant by q to four digits, as it is exported.
     """
     by = ["metric", "Model", "comparison"]
-    both = main_tests(task_level(runs)).select(*by, F.col("direction").alias("all_direction"), (F.coalesce("q", F.lit(1.0)) < alpha).alias("all_significant"))
-    flat = non_trap(runs).groupBy("Model", "Method", "Run_ID", "ID").agg(*[F.avg(m).alias(m) for m in METRICS]).withColumn("Model", F.concat_ws("\x1f", F.col("Run_ID").cast("string"), "Model"))
-    d = long_pairs(flat)
-    each = signed_ranks(d, by).where("n_pairs >= 2").join(p_values(d, by), by)
-    each = each.withColumns({"run": F.split_part("Model", F.lit("\x1f"), F.lit(1)), "Model": F.split_part("Model", F.lit("\x1f"), F.lit(2)), "dir": _direction()})
-    out = each.join(both, by)
-    shares = out.groupBy(*by).agg(F.count("*").alias("n_runs"), F.avg((F.col("dir") == F.col("all_direction")).cast("double")).alias("direction_share"), F.avg(((F.coalesce("p", F.lit(1.0)) < alpha) == F.col("all_significant")).cast("double")).alias("significance_share"))
-    return shares.withColumns({"direction_stable": F.col("direction_share") == 1.0, "significance_stable": F.col("significance_share") == 1.0})
+    both = main_tests(task_level(runs)).select(*by, F.col("direction").alias("all_direction"), (F.coalesce(half_even(F.col("q")), F.lit(1.0)) < alpha).alias("all_significant"))
+    flat = non_trap(runs.where("Run_ID is not null").groupBy("Model", "Method", "Run_ID", "ID").agg(F.avg("Is_Trap_Question").alias("Is_Trap_Question"), *[F.avg(m).alias(m) for m in METRICS]))
+    d = long_pairs(flat.withColumn("Model", F.struct(F.col("Run_ID").cast("string").alias("run"), "Model")))
+    each = signed_ranks(d, by).where("n_pairs >= 2").select("metric", "Model.run", "Model.Model", "comparison", "p", _direction().alias("dir"))
+    out = both.join(each, by, "left")
+    counted = F.col("run").isNotNull()
+    same = lambda test: F.avg(F.when(counted, test.cast("double")))
+    shares = out.groupBy(*by).agg(F.count_if(counted).alias("n_runs"), same(F.col("dir") == F.col("all_direction")).alias("direction_share"), same((F.coalesce("p", F.lit(1.0)) < alpha) == F.col("all_significant")).alias("significance_share"))
+    stable = lambda c: F.coalesce(F.col(c) == 1.0, F.lit(False))
+    return shares.withColumns({"direction_stable": stable("direction_share"), "significance_stable": stable("significance_share")})
+
+
+def half_even(value: Column, digits: int = 4) -> Column:
+    """Rounded as binary values are: scaled, to the even neighbour in the middle."""
+    scale = float(10**digits)
+    return F.rint(value * scale) / scale
 
 
 def bootstrap_ci(tasks: DataFrame, by: list[str] = ["Model", "Method"], value: str = "Task_Score", key: str = "ID", resamples: int = 1000, seed: int = 42) -> DataFrame:  # noqa: B006
@@ -220,11 +265,11 @@ def bootstrap_ci(tasks: DataFrame, by: list[str] = ["Model", "Method"], value: s
     return tasks.select(*by, key, value).groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", ci_low double, ci_high double")
 
 
-def run_pair_coverage(prepared: DataFrame, comparisons=COMPARISONS) -> DataFrame:
+def run_pair_coverage(prepared: DataFrame, comparisons=COMPARISONS, label=comparison_label) -> DataFrame:
     """(Model, comparison, coverage): mean over shared questions that are no traps of common runs by the larger number of runs."""
     own = non_trap(prepared).groupBy("Model", "Method", "ID").agg(F.array_distinct(F.collect_list("Run_ID")).alias("runs"))
     spark = prepared.sparkSession
-    wanted = spark.createDataFrame([(x, y, f"{x} vs {y}") for x, y in comparisons], "ma string, mb string, comparison string")
+    wanted = spark.createDataFrame([(x, y, label(x, y)) for x, y in comparisons], "ma string, mb string, comparison string")
     a = own.join(F.broadcast(wanted), F.col("Method") == F.col("ma")).select("Model", "ID", "mb", "comparison", F.col("runs").alias("ra"))
     both = a.join(own.select("Model", "ID", F.col("Method").alias("mb"), F.col("runs").alias("rb")), ["Model", "ID", "mb"])
     most = F.greatest(F.size("ra"), F.size("rb"))
@@ -238,6 +283,9 @@ def model_method_stats(tasks: DataFrame, time_cost_factor: float = 0.002) -> Dat
         F.countDistinct("ID").alias("N"), F.avg("Task_Score").alias("Mean_Score"), F.stddev_samp("Task_Score").alias("Score_Std"), F.avg("Task_Run_Score_Std").alias("run_level_score_std"),
         F.avg("Task_Run_Coverage_Std").alias("run_level_coverage_std"), F.avg("Semantic_Consistency").alias("Consistency"), F.avg("Critical_Fail").alias("Critical_Fail_Rate"),
         F.avg("Avg_Cost").alias("Avg_Cost"), F.avg("Avg_Time").alias("Avg_Time"), F.avg("Task_Overconfidence_Score").alias("Overconfidence"),
+        *[F.avg(c).alias(c) for c in ["Atomic_Coverage_Score", "Support_Rate", "Atomic_Precision", "Hallucination_Rate", "Contradiction_Rate", "Not_In_Scope_Rate"]],
+        F.avg("Task_Run_Precision_Std").alias("run_level_precision_std"), F.avg("Task_Run_Hallucination_Std").alias("run_level_hallucination_std"),
+        F.avg("Task_Confidence_Mean").alias("confidence_mean"), F.stddev_samp("Task_Confidence_Mean").alias("confidence_std"), F.avg("Task_Confidence_Accuracy_Gap").alias("confidence_accuracy_gap"),
     )
     trap = traps(tasks).groupBy(*by).agg(F.avg("Trap_Pass_Rate").alias("Trap_Pass_Rate"), F.avg("Trap_Hallucination_Rate").alias("Trap_Hallucination_Rate"), F.countDistinct("ID").alias("n_trap"))
     all_ids = tasks.groupBy(*by).agg(F.countDistinct("ID").alias("n_all"))
@@ -246,26 +294,29 @@ def model_method_stats(tasks: DataFrame, time_cost_factor: float = 0.002) -> Dat
     return out.drop("n_trap", "n_all")
 
 
-def stats_table(tasks: DataFrame, prepared: DataFrame, baseline: str = "Zero-Shot", time_cost_factor: float = 0.002) -> DataFrame:
-    """``model_method_stats`` with each method held against the baseline of its model: paired_n, p, q, effect, its label,
-    coverage of runs, and the interval of the mean. The baseline itself has p = q = 1 and effect 0; q is over a model's other methods."""
+def stats_table(tasks: DataFrame, prepared: DataFrame, baseline: str = "Zero-Shot", time_cost_factor: float = 0.002, interval: bool = True) -> DataFrame:
+    """The statistics table of ``exports.STATS_COLUMNS``: each method of a model with its means, and held against the model's baseline.
+
+    The baseline itself has p = q = 1 and effect 0; q is over a model's other methods. Without ``interval`` the bounds are null.
+    """
     by = ["Model", "Method"]
-    own = model_method_stats(tasks, time_cost_factor).join(bootstrap_ci(non_trap(tasks)), by, "left")
+    own = model_method_stats(tasks, time_cost_factor)
+    if interval:
+        own = own.join(bootstrap_ci(non_trap(tasks)), by, "left")
+    else:
+        own = own.withColumns({c: F.lit(None).cast("double") for c in ("ci_low", "ci_high")})
     versus = [(baseline, m) for m in METHODS if m != baseline]
-    d = pairs(non_trap(tasks), comparisons=versus)
-    method = F.split_part("comparison", F.lit(" vs "), F.lit(2)).alias("Method")
-    counted = d.groupBy("Model", "comparison").agg(F.count("*").alias("paired_n"))
-    tested = counted.join(signed_ranks(d, ["Model", "comparison"]).select("Model", "comparison", "max_diff", "effect"), ["Model", "comparison"], "left")
-    tested = tested.join(p_values(d, ["Model", "comparison"]), ["Model", "comparison"], "left")
+    target = lambda a, b: b  # noqa: E731 - the comparison is named by its method
+    tested = signed_ranks(pairs(non_trap(tasks), comparisons=versus, label=target), ["Model", "comparison"])
     same = F.col("max_diff") <= 1e-8
-    enough = F.col("paired_n") >= 2
-    tested = tested.select("Model", method, "paired_n", F.when(enough & same, 1.0).when(enough, F.col("p")).alias("p"), F.when(enough & same, 0.0).otherwise(F.col("effect")).alias("effect"))
-    runs = run_pair_coverage(prepared, versus).select("Model", method, F.col("coverage").alias("run_level_pair_coverage"))
+    enough = F.col("n_pairs") >= 2
+    tested = tested.select("Model", F.col("comparison").alias("Method"), F.col("n_pairs").alias("paired_n"), F.when(enough & same, 1.0).otherwise(F.col("p")).alias("p"), F.when(enough & same, 0.0).otherwise(F.col("effect")).alias("effect"))
+    runs = run_pair_coverage(prepared, versus, target).select("Model", F.col("comparison").alias("Method"), F.col("coverage").alias("run_level_pair_coverage"))
     out = own.join(benjamini_hochberg(tested, ["Model"]), by, "left").join(runs, by, "left")
     first = F.col("Method") == baseline
     fixed = {"paired_n": F.col("N"), "p": F.lit(1.0), "q": F.lit(1.0), "effect": F.lit(0.0), "run_level_pair_coverage": F.lit(1.0)}
     out = out.withColumns({c: F.when(first, v).otherwise(F.coalesce(c, F.lit(0)) if c == "paired_n" else F.col(c)) for c, v in fixed.items()})
-    return out.withColumns({"test_name": F.when(first, "baseline_reference").otherwise("wilcoxon_signed_rank"), "effect_label": S.effect_label(F.col("effect"), "de")})
+    return out.withColumns({"test_name": F.when(first, "baseline_reference").otherwise("wilcoxon_signed_rank"), "baseline_method": F.lit(baseline), "effect_label": S.effect_label(F.col("effect"))})
 
 
 def trap_summary(tasks: DataFrame) -> DataFrame:

@@ -105,8 +105,8 @@ jc AS (SELECT a.Model, a.Method, a.ID, avg(len(list_intersect(a.w, b.w)) * 1.0::
 SQL_TASKS = SQL_EVAL + ", " + SQL_CONSISTENCY + """,
 tk AS (SELECT p.Model, p.Method, p.ID, avg(Is_Trap_Question) AS trap, avg(Support_Rate) AS score, stddev_samp(Support_Rate) AS score_std, stddev_samp(Atomic_Precision) AS prec_std, stddev_samp(Hallucination_Rate) AS hall_std,
  CASE WHEN round(avg(Support_Rate), 12) < 0.5 THEN 1 ELSE 0 END AS fail, avg(Cost_USD) AS cost, avg(Dauer_sek) AS secs, avg(Atomic_Precision) AS prec, avg(Hallucination_Rate) AS hall, avg(Contradiction_Rate) AS contra, avg(Not_In_Scope_Rate) AS scope,
- avg(Trap_Pass) AS tpass, avg(Confidence_Mean) AS confm, avg(oc) AS oc, avg(gap) AS gap, count(*) AS n_rows, coalesce(max(jc.j), 0.0) AS cons FROM pr p LEFT JOIN jc ON p.Model = jc.Model AND p.Method = jc.Method AND p.ID = jc.ID GROUP BY p.Model, p.Method, p.ID),
+ avg(Trap_Pass) AS tpass, avg(Trap_Pass) AS tpass_all, avg(Confidence_Mean) AS confm, avg(1.0::DOUBLE) AS conff, avg(oc) AS oc, avg(gap) AS gap, count(*) AS n_rows, coalesce(max(jc.j), 0.0) AS cons FROM pr p LEFT JOIN jc ON p.Model = jc.Model AND p.Method = jc.Method AND p.ID = jc.ID GROUP BY p.Model, p.Method, p.ID),
 nt AS (SELECT * FROM tk WHERE coalesce(trap, 0) < 0.5),
-cmp AS (SELECT * FROM (VALUES ('Zero-Shot', 'Advanced-Prompt'), ('Zero-Shot', 'RAG'), ('Advanced-Prompt', 'RAG')) AS t(ma, mb)),
-df AS (SELECT a.Model, ma || ' vs ' || mb AS comparison, a.ID, a.score AS a, b.score AS b, round(b.score - a.score, 12) AS diff FROM nt a JOIN cmp ON a.Method = ma JOIN nt b ON b.Method = mb AND b.Model = a.Model AND b.ID = a.ID),
+cmp AS (SELECT * FROM (VALUES ('Zero-Shot', 'Advanced-Prompt', 'Zero-Shot', 'Advanced Prompting'), ('Zero-Shot', 'RAG', 'Zero-Shot', 'RAG'), ('Advanced-Prompt', 'RAG', 'Advanced Prompting', 'RAG')) AS t(ma, mb, la, lb)),
+df AS (SELECT a.Model, la || ' vs ' || lb AS comparison, ma, la, lb, a.ID, a.score AS a, b.score AS b, round(b.score - a.score, 12) AS diff FROM nt a JOIN cmp ON a.Method = ma JOIN nt b ON b.Method = mb AND b.Model = a.Model AND b.ID = a.ID),
 mt AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS ID, CASE user_id % 4 WHEN 0 THEN 'Wissensbasiert' WHEN 1 THEN 'Analytisch / Reasoning' WHEN 2 THEN 'Rechen-/deterministisch' ELSE 'Unklar/sonstige' END AS task_type, 'K' || (user_id % 7) AS category, 'D' || (user_id % 3) AS difficulty FROM events WHERE user_id % 13 <> 0)"""

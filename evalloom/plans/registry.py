@@ -10,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import normal as N
 from ..functions import scoring as S
 from ..functions import text as T
-from ..operators import chunking, judging, ranking, reports, stats, tasks
+from ..operators import chunking, exports, judging, normality, ranking, reports, stats, tasks
 from . import frames as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -262,9 +263,10 @@ def _tasks(spark, d):
 
 
 @query(f"""WITH {R.SQL_TASKS} SELECT Model, Method, ID, round(trap, 6) AS Is_Trap_Question, round(score, 6) AS Task_Score, round(score_std, 6) AS Task_Run_Score_Std, round(cost, 12) AS Avg_Cost, round(secs, 6) AS Avg_Time, round(prec, 6) AS Atomic_Precision, round(hall, 6) AS Hallucination_Rate,
- round(tpass, 6) AS Trap_Pass_Rate, round(oc, 6) AS Task_Overconfidence_Score, round(gap, 6) AS Task_Confidence_Accuracy_Gap, fail AS Critical_Fail, n_rows FROM tk""")
+ round(tpass, 6) AS Trap_Pass_Rate, round(oc, 6) AS Task_Overconfidence_Score, round(prec_std, 6) AS Task_Run_Precision_Std, round(hall_std, 6) AS Task_Run_Hallucination_Std, round(score_std, 6) AS Task_Run_Coverage_Std, round(score, 6) AS Atomic_Coverage_Score, round(score, 6) AS Support_Rate, round(score, 6) AS Task_Binary_Score,
+ round(contra, 6) AS Contradiction_Rate, round(scope, 6) AS Not_In_Scope_Rate, round(1 - tpass, 6) AS Trap_Hallucination_Rate, round(trap, 6) AS Trap_Question_Share, round(confm, 6) AS Task_Confidence_Mean, round(conff, 6) AS Task_Confidence_Found_Rate, round(cons, 6) AS Semantic_Consistency, round(gap, 6) AS Task_Confidence_Accuracy_Gap, fail AS Critical_Fail, n_rows FROM tk""")
 def task_level(spark, d):
-    return rounded(_tasks(spark, d).select("Model", "Method", "ID", "Is_Trap_Question", "Task_Score", "Task_Run_Score_Std", "Avg_Cost", "Avg_Time", "Atomic_Precision", "Hallucination_Rate", "Trap_Pass_Rate", "Task_Overconfidence_Score", "Task_Confidence_Accuracy_Gap", "Critical_Fail", "n_rows"))
+    return rounded(_tasks(spark, d).select("Model", "Method", "ID", "Is_Trap_Question", "Task_Score", "Task_Run_Score_Std", "Avg_Cost", "Avg_Time", "Atomic_Precision", "Hallucination_Rate", "Trap_Pass_Rate", "Task_Overconfidence_Score", "Task_Run_Precision_Std", "Task_Run_Hallucination_Std", "Task_Run_Coverage_Std", "Atomic_Coverage_Score", "Support_Rate", "Task_Binary_Score", "Contradiction_Rate", "Not_In_Scope_Rate", "Trap_Hallucination_Rate", "Trap_Question_Share", "Task_Confidence_Mean", "Task_Confidence_Found_Rate", "Semantic_Consistency", "Task_Confidence_Accuracy_Gap", "Critical_Fail", "n_rows"))
 
 
 @query(f"WITH {R.SQL_TASKS} SELECT Model, Method, ID, round(cons, 6) AS Semantic_Consistency FROM tk")
@@ -272,9 +274,11 @@ def jaccard_consistency(spark, d):
     return rounded(stats.jaccard_consistency(stats.prepare(R.evaluated(spark, d)), ["Model", "Method", "ID"]))
 
 
-@query(f"""WITH {R.SQL_TASKS}, o AS (SELECT Model, Method, count(DISTINCT ID) AS N, avg(score) AS m, stddev_samp(score) AS s, avg(score_std) AS rs, avg(cons) AS cons, avg(fail) AS f, avg(cost) AS c, avg(secs) AS t, avg(oc) AS oc FROM nt GROUP BY ALL),
+@query(f"""WITH {R.SQL_TASKS}, o AS (SELECT Model, Method, count(DISTINCT ID) AS N, avg(score) AS m, stddev_samp(score) AS s, avg(score_std) AS rs, avg(cons) AS cons, avg(fail) AS f, avg(cost) AS c, avg(secs) AS t, avg(oc) AS oc, avg(score) AS cover, avg(prec) AS prec, avg(hall) AS hall, avg(contra) AS contra, avg(scope) AS scope, avg(prec_std) AS ps, avg(hall_std) AS hs, avg(confm) AS cm, stddev_samp(confm) AS cs, avg(gap) AS gap FROM nt GROUP BY ALL),
 tr AS (SELECT Model, Method, avg(tpass) AS tp, count(DISTINCT ID) AS n_trap FROM tk WHERE coalesce(trap, 0) >= 0.5 GROUP BY ALL), al AS (SELECT Model, Method, count(DISTINCT ID) AS n_all FROM tk GROUP BY ALL)
 SELECT Model, Method, N, round(m, 6) AS Mean_Score, round(s, 6) AS Score_Std, round(rs, 6) AS run_level_score_std, round(rs, 6) AS run_level_coverage_std, round(cons, 6) AS Consistency, round(f, 6) AS Critical_Fail_Rate, round(c, 12) AS Avg_Cost, round(t, 6) AS Avg_Time, round(oc, 6) AS Overconfidence,
+ round(cover, 6) AS Atomic_Coverage_Score, round(cover, 6) AS Support_Rate, round(prec, 6) AS Atomic_Precision, round(hall, 6) AS Hallucination_Rate, round(contra, 6) AS Contradiction_Rate, round(scope, 6) AS Not_In_Scope_Rate,
+ round(ps, 6) AS run_level_precision_std, round(hs, 6) AS run_level_hallucination_std, round(cm, 6) AS confidence_mean, round(cs, 6) AS confidence_std, round(gap, 6) AS confidence_accuracy_gap,
  round(tp, 6) AS Trap_Pass_Rate, round(1 - tp, 6) AS Trap_Hallucination_Rate, round(coalesce(n_trap * 1.0::DOUBLE / n_all, 0), 6) AS Trap_Question_Share, round(c + t * 0.002, 12) AS Total_Real_Cost FROM o LEFT JOIN tr USING (Model, Method) LEFT JOIN al USING (Model, Method)""")
 def model_method_stats(spark, d):
     return rounded(stats.model_method_stats(_tasks(spark, d)))
@@ -290,7 +294,7 @@ def overconfidence(spark, d):
     return rounded(stats.overconfidence(stats.prepare(R.evaluated(spark, d))))
 
 
-@query(f"""WITH {R.SQL_TASKS}, rn AS (SELECT Model, Method, ID, list_distinct(list(Run_ID)) AS r FROM pr WHERE Is_Trap_Question < 0.5 GROUP BY ALL) SELECT a.Model, ma || ' vs ' || mb AS comparison, round(avg(len(list_intersect(a.r, b.r)) * 1.0::DOUBLE / greatest(len(a.r), len(b.r))), 6) AS coverage FROM rn a JOIN cmp ON a.Method = ma JOIN rn b ON b.Method = mb AND a.Model = b.Model AND a.ID = b.ID GROUP BY ALL""")
+@query(f"""WITH {R.SQL_TASKS}, rn AS (SELECT Model, Method, ID, list_distinct(list(Run_ID)) AS r FROM pr WHERE Is_Trap_Question < 0.5 GROUP BY ALL) SELECT a.Model, la || ' vs ' || lb AS comparison, round(avg(len(list_intersect(a.r, b.r)) * 1.0::DOUBLE / greatest(len(a.r), len(b.r))), 6) AS coverage FROM rn a JOIN cmp ON a.Method = ma JOIN rn b ON b.Method = mb AND a.Model = b.Model AND a.ID = b.ID GROUP BY ALL""")
 def run_pair_coverage(spark, d):
     return rounded(stats.run_pair_coverage(stats.prepare(R.evaluated(spark, d))))
 
@@ -314,34 +318,87 @@ def bh_adjust(spark, d):
     return rounded(stats.benjamini_hochberg(p, ["g"]))
 
 
-_EFFECTS = f"""WITH {R.SQL_TASKS}, ml AS (SELECT Model, Method, ID, unnest([struct_pack(metric := 'Atomic_Coverage_Score', v := cover), struct_pack(metric := 'Atomic_Precision', v := prec), struct_pack(metric := 'Hallucination_Rate', v := -hall)], recursive := true) FROM (SELECT nt.*, score AS cover FROM nt)),
-md AS (SELECT a.metric, a.Model, ma || ' vs ' || mb AS comparison, ma, mb, round(b.v - a.v, 12) AS diff FROM ml a JOIN cmp ON a.Method = ma JOIN ml b ON b.Method = mb AND b.Model = a.Model AND b.ID = a.ID AND b.metric = a.metric WHERE a.v IS NOT NULL AND b.v IS NOT NULL),
+# The Shapiro-Wilk test in SQL: order statistics, Royston's weights and p.
+_SCORE = lambda i, n: N.quantile_sql(f"(({i}) - 0.375) / ({n} + 0.25)")
+_SHAPIRO = f"""so AS (SELECT *, row_number() OVER (PARTITION BY metric, Model, comparison ORDER BY diff) AS i, count(*) OVER (PARTITION BY metric, Model, comparison) AS n FROM md),
+sm AS (SELECT *, {_SCORE("i", "n")} AS m FROM so),
+sg AS (SELECT metric, Model, comparison, any_value(n) AS n, sum(m * diff) AS mx, sum(m * m) AS mm, var_pop(diff) * count(*) AS ss, max(diff) - min(diff) AS o, min(diff) AS first, max(diff) FILTER (i = n - 1) - max(diff) FILTER (i = 2) AS inn, max(m) AS m1, max(m) FILTER (i = n - 1) AS m2 FROM sm GROUP BY ALL),
+sa AS (SELECT *, {N.polynomial_sql(normality.LAST_WEIGHT, "1 / sqrt(n)")} + m1 / sqrt(mm) AS a1, {N.polynomial_sql(normality.NEXT_WEIGHT, "1 / sqrt(n)")} + m2 / sqrt(mm) AS a2 FROM sg WHERE n >= 3 AND o > 1e-8 + 1e-5 * abs(first)),
+sl AS (SELECT *, least(1.0, pow(CASE WHEN n = 3 THEN sqrt(0.5) * o WHEN n <= 5 THEN a1 * o + (mx - m1 * o) / sqrt((mm - 2 * m1 * m1) / (1 - 2 * a1 * a1)) ELSE a1 * o + a2 * inn + (mx - m1 * o - m2 * inn) / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) END, 2) / ss) AS w FROM sa),
+sw AS (SELECT *, ln(1 - w) AS y FROM sl), sz AS (SELECT *, CASE WHEN n > 11 THEN (y - {N.polynomial_sql(normality.LARGE_MEAN, "ln(n)")}) / exp({N.polynomial_sql(normality.LARGE_SPREAD, "ln(n)")}) WHEN y < 0.459 * n - 2.273 THEN (-ln(0.459 * n - 2.273 - y) - {N.polynomial_sql(normality.SMALL_MEAN, "n")}) / exp({N.polynomial_sql(normality.SMALL_SPREAD, "n")}) END AS sz FROM sw),
+sh AS (SELECT metric, Model, comparison, CASE WHEN n = 3 THEN greatest(0, 6 / pi() * (asin(sqrt(w)) - asin(sqrt(0.75)))) WHEN sz IS NULL THEN 0 ELSE {N.upper_tail_sql("sz")} END AS shapiro FROM sz)"""
+_ORDERED = "list_position(['{0}'], {1})"
+_EFFECTS = f"""WITH {R.SQL_TASKS}, ml AS (SELECT Model, Method, ID, unnest([struct_pack(metric := 'atomic_coverage_score', v := cover), struct_pack(metric := 'atomic_precision', v := prec), struct_pack(metric := 'hallucination_rate', v := -hall)], recursive := true) FROM (SELECT nt.*, score AS cover FROM nt)),
+md AS (SELECT a.metric, a.Model, la || ' vs ' || lb AS comparison, la, lb, round(b.v - a.v, 12) AS diff FROM ml a JOIN cmp ON a.Method = ma JOIN ml b ON b.Method = mb AND b.Model = a.Model AND b.ID = a.ID AND b.metric = a.metric WHERE a.v IS NOT NULL AND b.v IS NOT NULL),
 mr AS (SELECT *, rank() OVER (PARTITION BY metric, Model, comparison, diff <> 0 ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY metric, Model, comparison, diff <> 0, abs(diff)) - 1) / 2.0::DOUBLE AS rank FROM md),
-mg AS (SELECT metric, Model, comparison, any_value(ma) AS ma, any_value(mb) AS mb, count(*) AS n, count(*) FILTER (diff <> 0) AS nz, coalesce(sum(rank) FILTER (diff > 0), 0) AS wp, coalesce(sum(rank) FILTER (diff < 0), 0) AS wm, coalesce(sum(rank * rank) FILTER (diff <> 0), 0) AS sq, avg(diff) AS mean, max(abs(diff)) AS most FROM mr GROUP BY ALL),
-mz AS (SELECT *, CASE WHEN nz = 0 THEN 0.0 ELSE (wp - (wp + wm) / 2) / sqrt(sq / 4) END AS z FROM mg), me AS (SELECT *, CASE WHEN nz = 0 THEN 0.0 ELSE z / sqrt(nz) END AS r FROM mz)
-SELECT metric, Model, comparison, n AS n_pairs, CASE WHEN n >= 2 THEN nz ELSE 0 END AS n_nonzero, CASE WHEN n >= 2 THEN round(least(wp, wm), 6) END AS statistic, CASE WHEN n >= 2 THEN round(z, 6) END AS z, CASE WHEN n >= 2 THEN round(r, 6) END AS r,
- CASE WHEN n < 2 THEN 'unknown' WHEN abs(r) < 0.1 THEN 'negligible' WHEN abs(r) < 0.3 THEN 'small' WHEN abs(r) < 0.5 THEN 'medium' ELSE 'large' END AS label, CASE WHEN most <= 1e-8 THEN 'tie' WHEN mean > 0 THEN 'favours_' || mb ELSE 'favours_' || ma END AS direction FROM me"""
+mg AS (SELECT metric, Model, comparison, any_value(la) AS la, any_value(lb) AS lb, count(*) AS n, count(*) FILTER (diff <> 0) AS nz, coalesce(sum(rank) FILTER (diff > 0), 0) AS wp, coalesce(sum(rank) FILTER (diff < 0), 0) AS wm, coalesce(sum(rank * rank) FILTER (diff <> 0), 0) AS sq, avg(diff) AS mean, max(abs(diff)) AS most FROM mr GROUP BY ALL),
+mz AS (SELECT *, CASE WHEN nz = 0 THEN 0.0 ELSE (wp - (wp + wm) / 2) / sqrt(sq / 4) END AS z FROM mg), me AS (SELECT *, CASE WHEN n < 2 THEN NULL WHEN nz = 0 THEN 0.0 ELSE z / sqrt(nz) END AS r FROM mz), {_SHAPIRO}
+SELECT Model AS model, metric, comparison, n AS n_pairs, CASE WHEN n >= 2 THEN round_even(least(wp, wm), 4) END AS wilcoxon_statistic, round_even(r, 4) AS effect_size_r, CASE WHEN r IS NULL THEN 'unknown' WHEN abs(r) < 0.3 THEN 'klein' WHEN abs(r) < 0.5 THEN 'mittel' ELSE 'gross' END AS effect_size_label,
+ CASE WHEN most <= 1e-8 THEN 'tie' WHEN mean > 0 THEN 'favours_' || lb ELSE 'favours_' || la END AS direction, round_even(shapiro, 4) AS shapiro_p_value FROM me LEFT JOIN sh USING (metric, Model, comparison)"""
 
 
 @query(_EFFECTS)
 def main_test_effects(spark, d):
-    return rounded(stats.test_effects(_tasks(spark, d)))
+    return exports.main_tests(stats.test_effects(_tasks(spark, d)).drop("p"))
+
+
+_AGAINST = f"""bs AS (SELECT a.Model, b.Method, round(b.score - a.score, 12) AS diff FROM nt a JOIN nt b ON a.Method = 'Zero-Shot' AND b.Method <> 'Zero-Shot' AND a.Model = b.Model AND a.ID = b.ID),
+br AS (SELECT *, rank() OVER (PARTITION BY Model, Method, diff <> 0 ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY Model, Method, diff <> 0, abs(diff)) - 1) / 2.0::DOUBLE AS rank FROM bs),
+bg AS (SELECT Model, Method, count(*) AS paired, coalesce(sum(rank) FILTER (diff > 0), 0) AS wp, coalesce(sum(rank) FILTER (diff < 0), 0) AS wm FROM br GROUP BY ALL),
+be AS (SELECT Model, Method, paired, CASE WHEN wp + wm = 0 THEN 0.0 ELSE (wp - wm) / (wp + wm) END AS eff FROM bg),
+rn AS (SELECT Model, Method, ID, list_distinct(list(Run_ID)) AS r FROM pr WHERE Is_Trap_Question < 0.5 GROUP BY ALL), rc AS (SELECT a.Model, b.Method, avg(len(list_intersect(a.r, b.r)) * 1.0::DOUBLE / greatest(len(a.r), len(b.r))) AS coverage FROM rn a JOIN rn b ON a.Method = 'Zero-Shot' AND b.Method <> 'Zero-Shot' AND a.Model = b.Model AND a.ID = b.ID GROUP BY ALL)"""
+_STATS_NAMES = {"Std_Dev": "Score_Std", "Semantic_Consistency": "Consistency", "Critical_Fail": "Critical_Fail_Rate", "overconfidence_score": "Overconfidence", "comparison_method": "Method"}
+_STATS_OWN = {
+    "baseline_method": "'Zero-Shot'", "test_name": "CASE WHEN Method = 'Zero-Shot' THEN 'baseline_reference' ELSE 'wilcoxon_signed_rank' END", "paired_n": "CASE WHEN Method = 'Zero-Shot' THEN N ELSE coalesce(paired, 0) END",
+    "effect_size": "round(CASE WHEN Method = 'Zero-Shot' THEN 0 ELSE eff END, 6)", "run_level_pair_coverage": "round(CASE WHEN Method = 'Zero-Shot' THEN 1 ELSE coverage END, 6)",
+    "effect_size_interpretation": "CASE WHEN Method = 'Zero-Shot' OR abs(eff) < 0.1 THEN 'negligible' WHEN eff IS NULL THEN 'unknown' WHEN abs(eff) < 0.3 THEN 'small' WHEN abs(eff) < 0.5 THEN 'medium' ELSE 'large' END",
+}
+_TESTED = ("p_value", "q_value", "ci95_low", "ci95_high")
+
+
+def _stats_sql() -> str:
+    means = ORACLE_SQL["model_method_stats"].removeprefix("WITH ")
+    at = means.rindex("SELECT Model, Method, N,")
+    value = lambda c: f"'{exports.STATS_CONSTANTS[c]}'" if c in exports.STATS_CONSTANTS else _STATS_OWN.get(c, _STATS_NAMES.get(c, c))
+    columns = ", ".join(f"{value(c)} AS {c}" for c in exports.STATS_COLUMNS if c not in _TESTED)
+    return f"WITH {means[:at].rstrip()}, {_AGAINST}, ms AS ({means[at:]}) SELECT {columns} FROM ms LEFT JOIN be USING (Model, Method) LEFT JOIN rc USING (Model, Method)"
+
+
+def _stats(spark, d, interval=True):
+    prepared = stats.prepare(R.evaluated(spark, d))
+    return exports.stats_table(stats.stats_table(stats.task_level(prepared), prepared, interval=interval))
+
+
+@query(_stats_sql())
+def stats_table_effects(spark, d):
+    return rounded(_stats(spark, d, interval=False).drop(*_TESTED))
 
 
 @query()
 def stats_table(spark, d):
-    prepared = stats.prepare(R.evaluated(spark, d))
-    return rounded(stats.stats_table(stats.task_level(prepared), prepared))
+    return rounded(_stats(spark, d))
+
+
+_TT_DELTAS = "td AS (SELECT lb || ' - ' || la AS comparison, coalesce(task_type, 'Unklar/sonstige') AS task_type, Model, ID, diff FROM df LEFT JOIN mt USING (ID) WHERE ma = 'Zero-Shot')"
+
+
+@query(f"""WITH {R.SQL_TASKS}, {_TT_DELTAS},
+tr AS (SELECT *, rank() OVER (PARTITION BY comparison, task_type, diff <> 0 ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY comparison, task_type, diff <> 0, abs(diff)) - 1) / 2.0::DOUBLE AS rank FROM td),
+tg AS (SELECT comparison, task_type, count(*) AS n, median(diff) AS med, count(*) FILTER (diff <> 0) AS nz, coalesce(sum(rank) FILTER (diff > 0), 0) AS wp, coalesce(sum(rank) FILTER (diff < 0), 0) AS wm, coalesce(sum(rank * rank) FILTER (diff <> 0), 0) AS sq FROM tr GROUP BY ALL),
+tz AS (SELECT *, CASE WHEN n < 2 THEN NULL WHEN nz = 0 THEN 0 ELSE (wp - (wp + wm) / 2) / sqrt(sq / 4) / sqrt(nz) END AS r FROM tg)
+SELECT task_type, comparison, n AS n_pairs, round_even(med, 4) AS median_delta, CASE WHEN n >= 2 THEN round_even(least(wp, wm), 4) END AS wilcoxon_statistic, round_even(r, 4) AS effect_size_r, CASE WHEN r IS NULL THEN 'unknown' WHEN abs(r) < 0.3 THEN 'klein' WHEN abs(r) < 0.5 THEN 'mittel' ELSE 'gross' END AS effect_size_label FROM tz""")
+def tasktype_effects(spark, d):
+    return reports.tasktype_tests(_deltas(spark, d)).drop("p_value_raw")
 
 
 @query()
 def tasktype_tests(spark, d):
-    return rounded(reports.tasktype_tests(_deltas(spark, d)))
+    return reports.tasktype_tests(_deltas(spark, d))
 
 
 @query()
 def main_tests(spark, d):
-    return rounded(stats.main_tests(_tasks(spark, d)))
+    return exports.main_tests(stats.main_tests(_tasks(spark, d)))
 
 
 @query()
@@ -351,22 +408,42 @@ def bootstrap_ci(spark, d):
 
 @query()
 def robustness(spark, d):
-    return rounded(stats.robustness(stats.prepare(R.evaluated(spark, d))))
+    return exports.robustness(stats.robustness(stats.prepare(R.evaluated(spark, d))))
+
+
+_METHOD_LABEL = "CASE Method WHEN 'Advanced-Prompt' THEN 'Advanced Prompting' ELSE Method END"
+
+
+@query(f"WITH {R.SQL_TASKS} SELECT Model AS model, {_METHOD_LABEL} AS method, count(*) FILTER (trap >= 0.5) AS n_trap_questions, round_even(coalesce(avg(tpass) FILTER (trap >= 0.5), 0), 4) AS correct_refusal_rate, round_even(coalesce(avg(1 - tpass) FILTER (trap >= 0.5), 0), 4) AS hallucinated_answer_rate FROM tk GROUP BY Model, Method")
+def export_trap_summary(spark, d):
+    return exports.trap_summary(_tasks(spark, d))
+
+
+@query(f"WITH {R.SQL_EVAL} SELECT Model AS model, {_METHOD_LABEL} AS method, count(*) AS n_observations, round_even(avg(conf), 4) AS mean_confidence_score, round_even(avg(Atomic_Coverage_Score), 4) AS mean_atomic_coverage_score, round_even(CASE WHEN isnan(corr(conf, Atomic_Coverage_Score)) THEN NULL ELSE corr(conf, Atomic_Coverage_Score) END, 4) AS confidence_accuracy_correlation, round_even(avg(CASE WHEN conf >= 2 / 3.0::DOUBLE - 1e-12 AND Atomic_Coverage_Score < 0.5 THEN 1.0 ELSE 0.0 END), 4) AS overconfident_error_rate FROM pr WHERE Is_Trap_Question < 0.5 GROUP BY Model, Method")
+def export_overconfidence(spark, d):
+    return exports.overconfidence(stats.prepare(R.evaluated(spark, d)))
+
+
+_POOLED = _SHAPIRO.replace("metric, Model, comparison", "comparison").replace("FROM md", "FROM df")
+
+
+@query(f"WITH {R.SQL_TASKS}, {_POOLED} SELECT comparison, Model AS model, ID AS id, round(a, 6) AS value_a, round(b, 6) AS value_b, round(diff, 6) AS oriented_difference, round(shapiro, 6) AS shapiro_p_value FROM df LEFT JOIN sh USING (comparison)")
+def normality_frame(spark, d):
+    return rounded(reports.normality_frame(_tasks(spark, d)))
 
 
-_TT = "td AS (SELECT df.*, coalesce(task_type, 'Unklar/sonstige') AS task_type FROM df LEFT JOIN mt USING (ID))"
 
 
 def _deltas(spark, d):
     return reports.tasktype_deltas(_tasks(spark, d), R.meta(spark, d))
 
 
-@query(f"WITH {R.SQL_TASKS}, {_TT} SELECT comparison, task_type, count(*) AS n_pairs, round(median(diff), 6) AS median_delta FROM td GROUP BY ALL")
+@query(f"WITH {R.SQL_TASKS}, {_TT_DELTAS} SELECT comparison, task_type, count(*) AS n_pairs, round(median(diff), 6) AS median_delta FROM td GROUP BY ALL")
 def tasktype_delta_summary(spark, d):
     return rounded(reports.tasktype_summary(_deltas(spark, d)))
 
 
-@query(f"WITH {R.SQL_TASKS}, {_TT} SELECT comparison, " + ", ".join(f"round(median(diff) FILTER (task_type = '{t}'), 6) AS \"{t}\"" for t in reports.TASK_TYPES) + " FROM td GROUP BY comparison")
+@query(f"WITH {R.SQL_TASKS}, {_TT_DELTAS} SELECT comparison, " + ", ".join(f"round(median(diff) FILTER (task_type = '{t}'), 6) AS \"{t}\"" for t in reports.TASK_TYPES) + " FROM td GROUP BY comparison")
 def tasktype_heatmap(spark, d):
     return rounded(reports.tasktype_heatmap(_deltas(spark, d)))
 
@@ -444,9 +521,19 @@ def top_categories(spark, d):
     return rounded(reports.means_by(judging.top_groups(reports.with_meta(R.evaluated(spark, d), R.meta(spark, d)), "category"), ["category", "Method"], ["Atomic_Coverage_Score"]))
 
 
-@query(f"WITH {R.SQL_TASKS} SELECT comparison, CAST(row_number() OVER (PARTITION BY comparison ORDER BY diff) AS INTEGER) AS i, round((row_number() OVER (PARTITION BY comparison ORDER BY diff) - 0.5) / count(*) OVER (PARTITION BY comparison), 6) AS position, round(diff, 6) AS value FROM df")
+_MEDIANS = "CASE WHEN i = n THEN pow(0.5, 1.0 / n) WHEN i = 1 THEN 1 - pow(0.5, 1.0 / n) ELSE (i - 0.3175) / (n + 0.365) END"
+
+
+@query(f"""WITH {R.SQL_TASKS}, q AS (SELECT comparison, diff, row_number() OVER (PARTITION BY comparison ORDER BY diff) AS i, count(*) OVER (PARTITION BY comparison) AS n FROM df), qm AS (SELECT *, {_MEDIANS} AS med FROM q), qt AS (SELECT *, {N.quantile_sql("med")} AS t FROM qm)
+SELECT comparison, CAST(i AS INTEGER) AS i, round(t, 6) AS theoretical, round(diff, 6) AS value, round(regr_slope(diff, t) OVER (PARTITION BY comparison), 6) AS slope, round(regr_intercept(diff, t) OVER (PARTITION BY comparison), 6) AS intercept FROM qt""")
 def qq_points(spark, d):
-    return rounded(judging.qq_points(stats.pairs(stats.non_trap(_tasks(spark, d))), ["comparison"], "diff"))
+    return rounded(normality.qq_points(stats.pairs(stats.non_trap(_tasks(spark, d))), ["comparison"], "diff"))
+
+
+@query(f"""WITH {R.SQL_TASKS}, {_TT_DELTAS}, bq AS (SELECT comparison, task_type, count(*) AS n, quantile_cont(diff, 0.25) AS q1, quantile_cont(diff, 0.5) AS median, quantile_cont(diff, 0.75) AS q3 FROM td GROUP BY ALL)
+SELECT comparison, task_type, any_value(n) AS n, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3, round(min(diff) FILTER (diff >= q1 - 1.5 * (q3 - q1)), 6) AS low, round(max(diff) FILTER (diff <= q3 + 1.5 * (q3 - q1)), 6) AS high FROM td JOIN bq USING (comparison, task_type) GROUP BY comparison, task_type""")
+def tasktype_boxes(spark, d):
+    return rounded(normality.boxes(_deltas(spark, d), ["comparison", "task_type"], "diff"))
 
 
 @query("SELECT a.label, round(avg(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS consistency FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label")
