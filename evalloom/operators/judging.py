@@ -64,13 +64,6 @@ def judge(rows: DataFrame, client: Callable[[str], tuple[str, int, int]], prompt
     return rows.mapInPandas(run, f"{kinds}, {out} string, judge_input_tokens long, judge_output_tokens long, judge_issue string")
 
 
-def judge_prompt(question: Column, reference: Column, facts: Column, answer: Column, trap: Column) -> Column:
-    """Question, reference, facts and answer under headings, with an instruction for trap questions."""
-    listed = F.array_join(F.transform(facts, lambda x: F.concat(F.lit("- "), x)), "\n")
-    extra = F.when(trap, F.lit("This is a trap question: tell in trap_pass whether the answer rejects its false premise."))
-    return F.concat_ws("\n\n", F.concat(F.lit("Question:\n"), question), F.concat(F.lit("Reference:\n"), reference), F.concat(F.lit("Facts:\n"), listed), F.concat(F.lit("Answer:\n"), answer), extra, F.lit("Reply with one JSON object."))
-
-
 def usage(rows: DataFrame) -> DataFrame:
     """Totals and means of a judged run; missing precision does not count."""
     return rows.agg(

@@ -52,14 +52,14 @@ def shapiro_wilk(values: DataFrame, by: list[str], value: str = "diff") -> DataF
         F.max("x").alias("last"), F.min("x").alias("first"), at(F.col("n") - 1).alias("last2"), at(F.lit(2)).alias("first2"),
     )
     score_of = lambda k: N.quantile((n + 1 - k - 0.375) / (n + 0.25))
-    weight = lambda c, m: N.once(1.0 / F.sqrt(n), lambda r: N.polynomial(c, r)) + m / F.sqrt("mm")
+    weight = lambda c, m: N.once(1.0 / F.sqrt(n), lambda r: N.polynomial(c, r)) + F.try_divide(m, F.sqrt("mm"))
     g = g.withColumns({"m1": score_of(1), "m2": score_of(2)}).withColumns({"a1": weight(LAST_WEIGHT, F.col("m1")), "a2": weight(NEXT_WEIGHT, F.col("m2"))})
     m1, m2, a1, a2, mm = (F.col(c) for c in ("m1", "m2", "a1", "a2", "mm"))
     outer, inner = F.col("last") - F.col("first"), F.col("last2") - F.col("first2")
-    few = a1 * outer + (F.col("mx") - m1 * outer) / F.sqrt((mm - 2 * m1 * m1) / (1 - 2 * a1 * a1))
-    many = a1 * outer + a2 * inner + (F.col("mx") - m1 * outer - m2 * inner) / F.sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2))
+    few = a1 * outer + F.try_divide(F.col("mx") - m1 * outer, F.sqrt(F.try_divide(mm - 2 * m1 * m1, 1 - 2 * a1 * a1)))
+    many = a1 * outer + a2 * inner + F.try_divide(F.col("mx") - m1 * outer - m2 * inner, F.sqrt(F.try_divide(mm - 2 * m1 * m1 - 2 * m2 * m2, 1 - 2 * a1 * a1 - 2 * a2 * a2)))
     line = N.once(F.when(n == 3, math.sqrt(0.5) * outer).when(n <= 5, few).otherwise(many), lambda v: v * v)
-    fit = F.when((F.col("n") >= 3) & (outer > 1e-8 + 1e-5 * F.abs("first")), F.least(F.lit(1.0), line / F.col("ss")))
+    fit = F.when((F.col("n") >= 3) & (outer > 1e-8 + 1e-5 * F.abs("first")), F.least(F.lit(1.0), F.try_divide(line, "ss")))
     return g.withColumn("w", fit).select(*by, "n", "w", N.once(F.col("w"), lambda w: _royston_p(w, n)).alias("p"))
 
 

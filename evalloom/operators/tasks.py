@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import judging
+from .stats import no_nan
+
 KEY = ["model", "question_id", "method", "run_number"]
 
 
@@ -73,19 +76,73 @@ def failure_streaks(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     return marked.withColumn("streak", F.sum(1 - F.col("__ok")).over(w).cast("long")).drop("__ok", "__island")
 
 
+def reusable(cache: DataFrame, judge_model: str, prompt_version: str, prompt_hash: str | Column, reason: str = "Judge_Begruendung", score: str = "score") -> DataFrame:
+    """Cached judgements that may be used again: a score, no issue in the reason, the same judge, version and prompt.
+
+    A cache without a judge or version column is not held against it; one without the prompt's hash has nothing to use.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    out = no_nan(cache).where(F.col(score).isNotNull())
+    if reason in cache.columns:
+        out = out.where(~judging.has_issue(F.col(reason)))
+    for column, wanted in (("judge_model", judge_model), ("judge_prompt_version", prompt_version)):
+        if column in cache.columns:
+            out = out.where(text(column) == F.lit(str(wanted).strip()))
+    wanted = F.lit(prompt_hash) if isinstance(prompt_hash, str) else prompt_hash
+    return out.where(text("judge_prompt_hash") == F.trim(wanted)) if "judge_prompt_hash" in cache.columns else out.limit(0)
+
+
 def cached(rows: DataFrame, cache: DataFrame, key: list[str], same: list[str]) -> DataFrame:
-    """Adds ``hit``: whether the cache holds the key with equal text in all of ``same`` and a usable score."""
+    """Adds ``hit``: whether the cache holds the key with equal text in all of ``same`` and a score; ``reusable`` narrows the cache first."""
     text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    same = [c for c in same if c in cache.columns]
     usable = cache.where("score is not null").select(*[text(c).alias(f"__{c}") for c in key + same]).distinct()
     on = [text(c) == F.col(f"__{c}") for c in key + same]
     out = rows.join(usable, on, "left")
     return out.withColumn("hit", F.col(f"__{key[0]}").isNotNull()).drop(*[f"__{c}" for c in key + same])
 
 
-def upsert(base: DataFrame, patch: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of ``base``, those with a patch replaced whole."""
-    new = patch.withColumns({"__hit": F.lit(True)})
+def upsert(base: DataFrame, patch: DataFrame, key: list[str], ids: set[str] | None = None, id_column: str = "ID") -> DataFrame:
+    """Rows of ``base``, those with a patch replaced whole; with ``ids`` only rows of these ids. Keys are compared as trimmed text.
+
+    Of patches that share a key any one counts; columns that the patch lacks become null in the rows it replaces.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
     cols = [c for c in base.columns if c not in key]
-    renamed = new.select(*key, *[F.col(c).alias(f"__p_{c}") for c in cols], "__hit")
-    out = base.join(renamed, key, "left")
-    return out.select(*key, *[F.when(F.col("__hit"), F.col(f"__p_{c}")).otherwise(F.col(c)).alias(c) for c in cols])
+    own = patch if ids is None else patch.where(text(id_column).isin(sorted(ids)))
+    value = lambda c: (F.col(c) if c in patch.columns else F.lit(None)).cast(base.schema[c].dataType)
+    renamed = own.groupBy(*[text(c).alias(f"__k_{c}") for c in key]).agg(F.first(F.struct(F.lit(True).alias("hit"), *[value(c).alias(c) for c in cols])).alias("__p"))
+    out = base.join(renamed, [text(c) == F.col(f"__k_{c}") for c in key], "left")
+    hit = F.col("__p.hit").isNotNull() if ids is None else F.col("__p.hit").isNotNull() & text(id_column).isin(sorted(ids))
+    return out.select(*key, *[F.when(hit, F.col(f"__p.`{c}`")).otherwise(F.col(c)).alias(c) for c in cols])
+
+
+def missing_ids(ids: set[str], patch: DataFrame, id_column: str = "ID") -> list[str]:
+    """Asked ids that the patch lacks: numbers by value, then the others by name."""
+    asked = patch.sparkSession.createDataFrame([(i,) for i in sorted(ids)], "id string")
+    lost = asked.join(patch.select(F.trim(F.col(id_column).cast("string")).alias("id")).distinct(), "id", "left_anti")
+    return [r.id for r in lost.orderBy(F.col("id").try_cast("long").isNull(), F.col("id").try_cast("long"), "id").collect()]  # at most the asked ids
+
+
+# Names of raw result columns in the evaluated schema.
+COMPATIBLE = {
+    "run_number": "Run_ID",
+    "model": "Model",
+    "method": "Method",
+    "question_id": "ID",
+    "question": "Frage",
+    "answer_type": "Antworttyp",
+    "expected_trap_behavior": "Expected_Trap_Behavior",
+    "llm_answer": "KI_Antwort",
+    "reference_answer": "Referenzantwort",
+    "atomic_facts": "Atomic_Facts",
+    "document_name": "Dokument_Name",
+    "input_tokens": "Input_Tokens",
+    "cost_usd": "Cost_USD",
+    "duration_sec": "Dauer_sek",
+}
+
+
+def compatible(raw: DataFrame) -> DataFrame:
+    """Raw results under the names of the evaluated schema; other columns stay."""
+    return raw.withColumnsRenamed(COMPATIBLE)

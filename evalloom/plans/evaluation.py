@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import stats, tasks
-from ..sources import io
+from ..operators import exports, stats, tasks
+from ..sources import io, vector_index
+from .prompting import build_prompt  # noqa: F401 - part of the run
 
 RESULT = "model string, question_id string, method string, run_number int, prompt string, llm_answer string, input_tokens long, output_tokens long, duration_sec double, error string, ord long"
 
@@ -21,15 +22,6 @@ class ChatClient(Protocol):
         """Answer, input tokens, output tokens."""
 
 
-def build_prompt(question, answer_type, max_words, context, max_chars: int = 14_000):
-    """The question with its context, an instruction by answer type and a word limit; cut at ``max_chars``."""
-    kind = F.lower(F.coalesce(answer_type, F.lit("")))
-    hint = F.when(kind.rlike("wahr|falsch"), "Antworte nur mit wahr oder falsch.").otherwise("Antworte knapp und vollständig.")
-    limit = F.when(F.trim(F.coalesce(max_words, F.lit(""))) != "", F.concat(F.lit("Höchstens "), F.trim(max_words), F.lit(" Wörter.")))
-    text = F.concat_ws("\n\n", F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit("Kontext:\n"), context)), F.concat(F.lit("Frage: "), question), hint, limit)
-    return F.when(F.length(text) > max_chars, F.concat(F.substring(text, 1, max_chars), F.lit("\n[gekürzt]"))).otherwise(text)
-
-
 def answer(pending: DataFrame, client: ChatClient, retries: int = 2, throttle: float = 0.0) -> DataFrame:
     """Calls the client once a task (model, question_id, method, run_number, prompt), with linear back-off between tries."""
 
@@ -55,16 +47,20 @@ def answer(pending: DataFrame, client: ChatClient, retries: int = 2, throttle: f
 def run_benchmark(spark: SparkSession, planned: DataFrame, client: ChatClient, checkpoint: str, batch: int = 1000, max_failures: int | None = None) -> DataFrame:
     """Answers what the checkpoint lacks, one commit a batch, and returns the latest row of each planned task.
 
-    Raises after a batch (which is kept) in which more than ``max_failures`` tasks failed.
+    The checkpoint is read and the plan made once; what is to do is written down by batch, and each batch reads its own part. Raises
+    after a batch (which is kept) once more than ``max_failures`` tasks of this run have failed.
     """
-    todo = tasks.pending(planned, io.read_jsonl(spark, checkpoint, RESULT))
+    todo = tasks.pending(planned, io.read_jsonl(spark, checkpoint, RESULT)).select(*tasks.KEY, "prompt")
     n = -(-todo.count() // batch)
-    todo = todo.withColumn("__batch", F.pmod(F.xxhash64(*tasks.KEY), F.lit(max(1, n))))
-    for i in range(n):
-        io.append_jsonl(answer(todo.where(F.col("__batch") == i), client), checkpoint)
-        if max_failures is not None:
-            failed = tasks.latest(io.read_jsonl(spark, checkpoint, RESULT)).where("error <> ''").count()
-            if failed > max_failures:
+    if n:
+        listed = vector_index.scratch(spark)
+        todo.withColumn("batch", F.pmod(F.xxhash64(*tasks.KEY), F.lit(n)).cast("int")).repartition("batch").write.partitionBy("batch").parquet(listed)
+        plan, failed = spark.read.parquet(listed), 0
+        for i in range(n):
+            seen = Observation()
+            io.append_jsonl(answer(plan.where(F.col("batch") == i), client).observe(seen, F.count_if(F.col("error") != "").alias("failed")), checkpoint)
+            failed += seen.get["failed"] or 0
+            if max_failures is not None and failed > max_failures:
                 raise RuntimeError(f"Stopped benchmark: {failed} tasks failed")
     return tasks.restricted(io.read_jsonl(spark, checkpoint, RESULT), planned)
 
@@ -80,8 +76,14 @@ def resume(run: Callable[[], DataFrame], attempts: int = 5) -> DataFrame:
     raise ValueError("attempts must be positive")
 
 
-def analyse(evaluated: DataFrame) -> dict[str, DataFrame]:
-    """The analysis frames of evaluated results."""
+def analyse(evaluated: DataFrame, baseline: str = "Zero-Shot", time_cost_factor: float = 0.002) -> dict[str, DataFrame]:
+    """The export tables of evaluated results."""
     prepared = stats.prepare(evaluated)
     per_task = stats.task_level(prepared)
-    return {"stats": stats.model_method_stats(per_task), "main_tests": stats.main_tests(per_task), "traps": stats.trap_summary(per_task), "overconfidence": stats.overconfidence(prepared), "robustness": stats.robustness(prepared), "ci": stats.bootstrap_ci(stats.non_trap(per_task))}
+    return {
+        "stats": exports.stats_table(stats.stats_table(per_task, prepared, baseline, time_cost_factor)),
+        "main_tests": exports.main_tests(stats.main_tests(per_task)),
+        "trap_questions": exports.trap_summary(per_task),
+        "overconfidence": exports.overconfidence(prepared),
+        "robustness": exports.robustness(stats.robustness(prepared)),
+    }

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import normal as N
 from ..functions import scoring as S
 from ..functions import text as T
-from ..operators import chunking, exports, judging, normality, ranking, reports, stats, tasks
+from ..operators import chunking, exports, judging, normality, ranking, reports, retrieval, stats, tasks
+from ..sources import vector_index
 from . import frames as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,28 +143,66 @@ def rrf_hybrid(spark, d):
     return rounded(ranking.fuse(lex, vec).where("rank <= 10"))
 
 
-@query()
+# Greedy choice, pick by pick: the rest of a query's candidates in a list, the sources used so far in another.
+_PICKS = """g0 AS (SELECT query_id, 0 AS n, list(struct_pack(c := chunk_id, s := source, v := value) ORDER BY rank) AS rest, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS STRUCT(f DOUBLE, i BIGINT, c VARCHAR, s VARCHAR)) AS ch FROM val GROUP BY query_id),
+gr AS (SELECT * FROM g0 UNION ALL SELECT query_id, n + 1, list_filter(rest, lambda x: x.c <> pick.c), list_append(used, pick.s), pick FROM (
+ SELECT *, CASE WHEN list_contains(used, so[1].s) THEN coalesce(list_filter(so[2:6], lambda y: NOT list_contains(used, y.s) AND so[1].f - y.f <= 0.04)[1], so[1]) ELSE so[1] END AS pick FROM (
+ SELECT *, list_reverse_sort(list_transform(rest, lambda x, i: struct_pack(f := x.v - 0.03::DOUBLE * len(list_filter(used, lambda u: u = x.s)), i := -CAST(i AS BIGINT), c := x.c, s := x.s))) AS so FROM gr WHERE n < {k} AND len(rest) > 0)))"""
+_KIND = "CASE WHEN regexp_matches({0}, '_t\\.txt|gesetz|verordnung|richtlinie|directive|csrd|sfdr|epbd|epra|eu-tax|geg|geig|bafa') THEN 0.18 WHEN regexp_matches({0}, 'din|iso|vdi|norm') THEN 0.08 WHEN regexp_matches({0}, 'wikipedia|baunetz|wissen|blog|magazin') THEN -0.08 ELSE 0.0 END::DOUBLE"
+_SHARED = "CASE doc_id % 4 WHEN 0 THEN 'gesetz_' WHEN 1 THEN 'din_' WHEN 2 THEN 'blog_' ELSE 'handbuch_' END || source"
+_CHOICE = f"""ns AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, {_SHARED} AS source FROM documents), ls AS (SELECT query_id, CAST(doc_id AS VARCHAR) AS chunk_id, score FROM sc),
+sd AS (SELECT query_id, count(lex) > 0 AS l, count(vec) > 0 AS v FROM fu GROUP BY query_id),
+rl AS (SELECT fr.query_id, fr.chunk_id, fr.rank, coalesce(ns.source, '') AS source, CASE WHEN l AND v THEN fusion WHEN l THEN ls.score ELSE 1 / (1 + greatest(dist, 0)) END AS rel, l FROM fr JOIN sd USING (query_id) LEFT JOIN ns USING (chunk_id) LEFT JOIN ls ON ls.query_id = fr.query_id AND ls.chunk_id = fr.chunk_id LEFT JOIN vr ON vr.query_id = fr.query_id AND CAST(vr.vec_id AS VARCHAR) = fr.chunk_id),
+val AS (SELECT query_id, chunk_id, rank, source, CASE WHEN l THEN rel / max(rel) OVER (PARTITION BY query_id) ELSE rel END + {_KIND.format("lower(source)")} AS value FROM rl)"""
+
+
+def _retriever(spark, d, k):
+    """Both sides over the documents, whose sources are shared; the vector of a document asks for it."""
+    chunks = R.whole_documents(spark, d).withColumn("source", F.regexp_replace("source", "_[0-9]+$", ""))
+
+    def vector(queries, k, source):
+        found = ranking.vector_search(R.table(spark, d, "embeddings"), queries.select("query_id", F.col("vector").alias("query")), k)
+        named = found.select("query_id", "rank", F.col("vec_id").cast("string").alias("chunk_id"), F.col("dist").alias("score"))
+        own = chunks.select("chunk_id", "source", "chunk")
+        return named.join(own, "chunk_id", "left").withColumn("source", F.coalesce("source", F.lit(""))).select(*retrieval.LIST)  # vectors without a document stay
+
+    lexical = retrieval.lexical(ranking.Bm25Index(chunks), chunks, fallback=False)
+    return lambda mode: retrieval.Retriever(lexical, vector, mode, k=k)
+
+
+def _asked(spark, d):
+    v = R.table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return R.table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")).join(v, "query_id", "full")
+
+
+@query(f"WITH RECURSIVE {_FUSE}, {_CHOICE}, {_PICKS.format(k=5)} SELECT query_id, CAST(n AS INTEGER) AS rank, ch.c AS chunk_id, ch.s AS source, round(ch.f, 6) AS score FROM gr WHERE n > 0")
 def rerank_topk(spark, d):
-    lex, vec = _hybrid_lists(spark, d)
-    docs = R.whole_documents(spark, d).select("chunk_id", "source")
-    return ranking.rerank(ranking.fuse(lex, vec).join(docs, "chunk_id").withColumnRenamed("fusion", "score"))
+    """The retriever in hybrid mode: queries without a vector, or without words, are ranked by their other side."""
+    return rounded(_retriever(spark, d, 5)("hybrid").retrieve(_asked(spark, d)).select("query_id", "rank", "chunk_id", "source", "score"))
 
 
-_HIT = f"""WITH {_FUSE}, rel AS (SELECT q.vec_id AS query_id, CAST(v.vec_id AS VARCHAR) AS chunk_id FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
-m AS (SELECT 'lexical_only' AS mode, query_id, chunk_id, rank FROM lr WHERE rank <= 50 UNION ALL SELECT 'vector_only', query_id, CAST(vec_id AS VARCHAR), rank FROM vr WHERE rank <= 50 UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM fr),
+_HIT = f"""WITH RECURSIVE {_FUSE}, {_CHOICE}, {_PICKS.format(k=10)}, rel AS (SELECT q.vec_id AS query_id, CAST(v.vec_id AS VARCHAR) AS chunk_id FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+m AS (SELECT 'lexical_only' AS mode, query_id, chunk_id, rank FROM lr WHERE rank <= 50 UNION ALL SELECT 'vector_only', query_id, CAST(vec_id AS VARCHAR), rank FROM vr WHERE rank <= 50 UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM fr UNION ALL SELECT 'hybrid_rerank', query_id, ch.c, n FROM gr WHERE n > 0),
 f AS (SELECT mode, query_id, min(rank) AS first FROM m JOIN rel USING (query_id, chunk_id) WHERE rank <= 10 GROUP BY ALL), a AS (SELECT mode, query_id FROM (SELECT DISTINCT mode FROM m), (SELECT DISTINCT query_id FROM rel))
 SELECT mode, count(*) AS n_queries, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_5, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr_at_10 FROM a LEFT JOIN f USING (mode, query_id) GROUP BY mode"""
 
 
 @query(_HIT)
 def retrieval_hit_mrr(spark, d):
-    lex, vec = _hybrid_lists(spark, d)
     v = R.table(spark, d, "embeddings").select("vec_id", "label")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
     relevant = v.join(q, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").cast("string").alias("item"))
-    cols = lambda df, mode: df.select(F.lit(mode).alias("mode"), "query_id", F.col("rank").cast("int").alias("rank"), F.col("chunk_id").alias("item"))
-    ranked = cols(lex, "lexical_only").unionByName(cols(vec, "vector_only")).unionByName(cols(ranking.fuse(lex, vec), "hybrid"))
-    return ranking.hit_and_mrr(ranked, relevant)
+    return retrieval.evaluate(_retriever(spark, d, 10), _asked(spark, d), relevant, "chunk_id")
+
+
+@query(ORACLE_SQL["vector_topk"])
+def indexed_topk(spark, d):
+    """The same from a stored index, all cells visited."""
+    path = vector_index.scratch(spark)
+    vector_index.write_index(R.table(spark, d, "embeddings"), path, cells=16)
+    v = R.table(spark, d, "embeddings")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return rounded(vector_index.open_index(spark, path).search(asked, 10))
 
 
 @query(f"WITH {R.SQL_CLAIMS} SELECT event_id, round(sr, 6) AS Support_Rate, round(cor, 6) AS Contradiction_Rate, round(nir, 6) AS Not_In_Scope_Rate FROM cr")

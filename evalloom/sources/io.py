@@ -1,14 +1,19 @@
-"""Sources and sinks: JSON, JSON lines, CSV and Parquet tables, text folders, documents, run artifacts."""
+"""Sources and sinks: JSON, JSON lines, CSV, Parquet and workbook tables, text folders, documents, run artifacts."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from . import office
+
+#: Fixed value: the fingerprint of a corpus that is not there.
+NO_CORPUS = "missing-rag-kb-dir"
 START, END = "=== DOKUMENT START: {} ===", "=== DOKUMENT ENDE ==="
 
 
@@ -39,15 +44,26 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """One indented JSON list in one file, for reports: the rows of a report are few, and go through the driver."""
+    from .vector_index import _Folder
+
+    folder, name = path.rsplit("/", 1)
+    rows = [json.loads(r.row) for r in df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("row")).collect()]
+    _Folder(df.sparkSession, folder).swap(name, json.dumps(rows, indent=2, ensure_ascii=False))
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     """One commit a batch."""
     df.write.mode("append").json(path)
 
 
-def read_table(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
-    """CSV with a header, or Parquet; raises if a required column is missing. Spreadsheets are not read."""
-    if path.lower().endswith((".xlsx", ".xls")):
-        raise ValueError("spreadsheets have no reader here: convert to CSV or Parquet")
+def read_table(spark: SparkSession, path: str, required: tuple[str, ...] = (), sheets: tuple[str, ...] = ()) -> DataFrame:
+    """A workbook (the first of ``sheets`` that it has, else its first sheet), CSV with a header, or Parquet; raises if a required column is missing."""
+    if path.lower().endswith(".xls"):
+        raise ValueError("old binary workbooks have no reader here: save as .xlsx")
+    if path.lower().endswith(".xlsx"):
+        return office.read_workbook(spark, path, sheets, required)
     df = spark.read.option("header", True).option("inferSchema", True).csv(path) if path.lower().endswith(".csv") else spark.read.parquet(path)
     lost = [c for c in required if c not in df.columns]
     if lost:
@@ -72,11 +88,11 @@ def _plain(content: bytes) -> str:
 
 
 #: Readers by extension; others can be registered.
-READERS: dict[str, Callable[[bytes], str]] = {"txt": _plain, "md": _plain}
+READERS: dict[str, Callable[[bytes], str]] = {"txt": _plain, "md": _plain, "xlsx": office.workbook_text, "docx": office.document_text, "pptx": office.slides_text}
 
 
-def read_documents(files: DataFrame, readers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """(source, text, status) of files (path, content): read by extension and put between document markers.
+def read_documents(files: DataFrame, readers: dict[str, Callable[[bytes], str]] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(source, text, status, and ``keep``) of files (path, content): read by extension and put between document markers.
 
     ``status`` is ok, empty, unsupported or error; text is null unless ok, so errors never enter a corpus.
     """
@@ -97,9 +113,10 @@ def read_documents(files: DataFrame, readers: dict[str, Callable[[bytes], str]]
                     out.append((name, None, "error"))
                     continue
                 out.append((name, f"{START.format(name)}\n{text}\n{END}", "ok") if text.strip() else (name, None, "empty"))
-            yield pd.DataFrame(out, columns=["source", "text", "status"])
+            yield pd.DataFrame(out, columns=["source", "text", "status"]).assign(**{c: pdf[c].to_numpy() for c in keep})
 
-    return files.select("path", "content").mapInPandas(run, "source string, text string, status string")
+    kinds = "".join(f", {c} {files.schema[c].dataType.simpleString()}" for c in keep)
+    return files.select(*dict.fromkeys(("path", "content", *keep))).mapInPandas(run, "source string, text string, status string" + kinds)
 
 
 def changed(files: DataFrame, done: DataFrame) -> DataFrame:
@@ -108,14 +125,54 @@ def changed(files: DataFrame, done: DataFrame) -> DataFrame:
     return files.join(d, "path", "left").where("__done is null or modificationTime > __done").drop("__done")
 
 
+#: Counters of a preprocessing run.
+COUNTERS = ("processed", "skipped", "empty", "errors")
+
+
+def preprocess(spark: SparkSession, source: str, out: str, readers: dict[str, Callable[[bytes], str]] | None = None, force: bool = False) -> dict[str, int]:
+    """Read the files of a folder that are new or newer than what was read of them into the corpus under ``out``; returns COUNTERS.
+
+    A corpus is a Parquet folder of (source, text, status, modified); ``corpus`` shows the last reading of each file. Files of
+    other formats, and those that are up to date, are skipped. The counts are taken during the one write.
+    """
+    own = READERS | (readers or {})
+    listed = spark.read.format("binaryFile").load(source).select("path", "modificationTime")
+    kind = F.lower(F.element_at(F.split("path", r"\."), -1))
+    known = listed.where(kind.isin(*own))
+    try:
+        done = spark.read.parquet(out).groupBy("path").agg(F.max("modified").alias("modificationTime"))
+        todo = known if force else changed(known, done)
+    except AnalysisException as error:
+        if not _missing(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            raise
+        todo = known
+    paths = [r.path for r in todo.select("path").collect()]  # names, as the listing of the folder that the driver holds
+    total = listed.count()
+    if not paths:
+        return dict.fromkeys(COUNTERS, 0) | {"skipped": total}
+    files = spark.read.format("binaryFile").load([p.replace("%", "%25") if p.startswith("file:") and "%" in p else p for p in paths])
+    read = read_documents(files, own, keep=("path", "modificationTime")).withColumnRenamed("modificationTime", "modified")
+    seen = Observation("preprocess")
+    told = {"processed": "ok", "empty": "empty", "errors": "error"}
+    read.observe(seen, *[F.count_if(F.col("status") == v).alias(k) for k, v in told.items()]).write.mode("append").parquet(out)
+    return {**seen.get, "skipped": total - len(paths)}
+
+
+def corpus(spark: SparkSession, out: str) -> DataFrame:
+    """(source, text): the last reading of each file that could be read."""
+    w = Window.partitionBy("path").orderBy(F.desc("modified"))
+    return spark.read.parquet(out).withColumn("r", F.row_number().over(w)).where("r = 1 and status = 'ok'").select("source", "text")
+
+
 def fingerprint(files: DataFrame, with_times: bool = False) -> DataFrame:
-    """One row: a hash over the sorted (name, size, sha256) of files (path, content, length[, modificationTime]).
+    """One row: a hash over the sorted (name, size, sha256) of files (path, content, length[, modificationTime]); ``NO_CORPUS`` without files.
 
     The entries of a corpus are short; a folder of files is one list on one task.
     """
     name = F.element_at(F.split("path", "/"), -1)
     entry = F.struct(name.alias("name"), F.col("length").alias("size"), *([F.unix_micros("modificationTime").alias("mtime")] if with_times else []), F.sha2("content", 256).alias("sha256"))
-    return files.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(entry))), 256).alias("fingerprint"))
+    listed = F.sha2(F.to_json(F.array_sort(F.collect_list(entry))), 256)
+    return files.agg(F.when(F.count("*") == 0, NO_CORPUS).otherwise(listed).alias("fingerprint"))
 
 
 def needs_rebuild(enabled: bool, manifest: dict | None, found: str, settings: dict) -> str:

@@ -234,12 +234,3 @@ def test_statistics_table(spark):
     assert one and all((x.statistic, x.z, x.r, x.p, x.n_nonzero, x.label) == (None, None, None, None, 0, "unknown") for x in one)
 
 
-def test_vector_search_in_blocks(spark, monkeypatch):
-    rng = np.random.default_rng(4)
-    x = rng.integers(-3, 4, (300, 3)).astype(float)  # many ties
-    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)] + [(900, None), (901, [1.0])], "vec_id long, embedding array<float>").repartition(3)
-    q = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    want = {(i, k + 1): j for i in range(20) for k, j in enumerate(sorted(range(300), key=lambda j: (((x[j] - x[i]) ** 2).sum(), j))[:5])}
-    for parts in (1, 4):
-        monkeypatch.setattr(ranking, "_query_parts", lambda total, n=parts: n)
-        assert {(r.query_id, r["rank"]): r.vec_id for r in ranking.vector_search(v, q, 5).collect()} == want
