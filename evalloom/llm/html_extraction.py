@@ -1,21 +1,26 @@
 """Main-text extraction by line-block distribution.
 
-Markup is stripped into blocks (one "line" each), the text lengths of a sliding window of lines are
-summed, and the text between a surge of that sum and the next dive is kept. Furniture (menus, forms, scripts,
-and elements whose names say so) gives no lines. An article or main element weighs in the sums: a line in it counts
-as a surge by itself, one outside it for an eighth of its length, and only if that alone is a surge.
-
-Defined results: null or empty html gives an empty text; html without any surge gives its longest
-region of plain text, or the empty text if nothing is left after stripping; very long pages are read whole; repeated rows give repeated
-results; extra columns of the input pass through unless they clash with ``text`` or ``n_chars``,
-which are replaced.
+Markup is stripped into blocks (one "line" each), the weights of a sliding window of lines are summed, and the text
+between a surge of that sum and the next dive is kept. A line weighs its text outside links, and nothing if it is mostly
+links. Text that stands bare in a container, rather than in a paragraph, heading, list or table, weighs an eighth; so does
+text in an element whose class, id or role names page furniture, and, if the page marks its article (article or main), text
+outside it. A line that is weighed down counts only if it is a surge even so. In a marked article a line counts as a surge at
+least; there an element with a furniture name only loses that. Elements that are furniture by their tag (menus, forms,
+scripts) or hidden give no lines.
+
+Defined results: null or empty html gives an empty text; of pages without any surge of structured text, bare text weighs
+in full; of pages without any surge at all, all lines that have weight stay; the empty text if nothing is left after stripping.
+End tags may be omitted where HTML allows it. Very long and very deep pages are read whole in linear time; repeated rows
+give repeated results; extra columns of the input pass through unless they clash with ``text`` or ``n_chars``, which are replaced.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -41,18 +46,38 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$
 ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
-#: Elements that the end of their parent, or a sibling, closes.
-P_CLOSERS = BLOCK_TAGS
+#: An element that opens ends open ones of these kinds, up to the nearest of those boundaries.
+_CELLS = frozenset(("td", "th"))
+IMPLIED = {
+    "li": (frozenset(("li",)), frozenset(("ul", "ol"))),
+    "dt": (frozenset(("dt", "dd")), frozenset(("dl",))),
+    "dd": (frozenset(("dt", "dd")), frozenset(("dl",))),
+    "td": (_CELLS, frozenset(("tr", "table"))),
+    "th": (_CELLS, frozenset(("tr", "table"))),
+    "tr": (_CELLS | {"tr"}, frozenset(("table",))),
+    "tbody": (_CELLS | {"tr", "thead", "tbody"}, frozenset(("table",))),
+}
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Blocks whose own text is content rather than left over in a container.
+STRUCTURED = HEADINGS | frozenset("p pre blockquote li dt dd td th figcaption caption summary".split())
+
+
+class Line(NamedTuple):
+    """A block: its text, the characters inside links, and where it stands."""
+
+    text: str
+    linked: int
+    within: bool = False
+    named: bool = False
+    bare: bool = False
 
 
-def _is_furniture(tag: str, attrs: str) -> bool:
-    if tag in SKIP_TAGS:
-        return True
-    if not attrs or tag in KEEP_FURNITURE_TAGS:
-        return False
-    if HIDDEN.search(attrs):
-        return True
-    return any(FURNITURE.search(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(attrs))
+def _skipped(tag: str, attrs: str) -> bool:
+    return tag in SKIP_TAGS or bool(attrs and tag not in KEEP_FURNITURE_TAGS and HIDDEN.search(attrs))
+
+
+def _named(tag: str, attrs: str) -> bool:
+    return bool(attrs) and tag not in KEEP_FURNITURE_TAGS and any(FURNITURE.search(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(attrs))
 
 
 def _opens(tag: str, skipped: str, in_article: bool) -> bool:
@@ -62,28 +87,73 @@ def _opens(tag: str, skipped: str, in_article: bool) -> bool:
     return in_article and tag == "h1" and skipped not in ("nav", "footer", "aside")
 
 
-def html_lines(source: str) -> list[tuple[str, int, bool]]:
-    """Blocks of the page in order: (text, characters inside links, within an article or main element).
+class _Open:
+    """The open elements, with what is asked of them at hand: where each tag is open, and which block is the innermost."""
 
-    Furniture subtrees are left out; unclosed elements end with their ancestor.
-    """
-    lines: list[tuple[str, int, bool]] = []
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.named: list[bool] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.n_named = 0
+
+    def push(self, tag: str, named: bool) -> None:
+        if tag in BLOCK_TAGS:
+            self.blocks.append(len(self.tags))
+        self.at[tag].append(len(self.tags))
+        self.tags.append(tag)
+        self.named.append(named)
+        self.n_named += named
+
+    def cut(self, depth: int) -> None:
+        """End all elements from ``depth`` on."""
+        while len(self.tags) > depth:
+            tag = self.tags.pop()
+            self.at[tag].pop()
+            self.n_named -= self.named.pop()
+            if tag in BLOCK_TAGS:
+                self.blocks.pop()
+
+    def last(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def count(self, tag: str) -> int:
+        return len(self.at.get(tag, ()))
+
+    def implied(self, tag: str) -> int | None:
+        """From where on elements end because ``tag`` opens."""
+        if tag in IMPLIED:
+            kinds, within = IMPLIED[tag]
+            bound = self.last(within)
+            ends = [i for k in kinds for i in self.at.get(k, ())[-1:] if i > bound]
+            return min(ends) if ends else None
+        if tag in BLOCK_TAGS and self.count("p") and self.blocks[-1] == self.at["p"][-1]:
+            return self.at["p"][-1]  # a block ends an open paragraph and what is open in it
+        return None
+
+
+def html_blocks(source: str) -> list[Line]:
+    """Blocks of the page in order. Furniture by tag and hidden subtrees are left out; unclosed elements end with their ancestor."""
+    lines: list[Line] = []
     buf: list[str] = []
     link_buf: list[str] = []  # of it, the text inside links
-    stack: list[str] = []  # open elements
-    skip_at: int | None = None  # depth of the furniture subtree that is being skipped
-    link = 0
-    inside = 0
+    open_ = _Open()
+    skip_at: int | None = None  # depth of the subtree that is being skipped
     at = 0
     raw_end = None
 
     def plain(parts: list[str]) -> str:
         return SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
 
+    def inside() -> bool:
+        return open_.count("article") + open_.count("main") > 0
+
     def flush() -> None:
         text = plain(buf)
         if text:
-            lines.append((text, len(plain(link_buf)), inside > 0))
+            block = open_.tags[open_.blocks[-1]] if open_.blocks else ""
+            named = open_.n_named > 0 and not (block == "h1" and inside())  # the title of an article, whatever it stands in
+            lines.append(Line(text, len(plain(link_buf)), inside(), named, block not in STRUCTURED))
         buf.clear()
         link_buf.clear()
 
@@ -92,9 +162,9 @@ def html_lines(source: str) -> list[tuple[str, int, bool]]:
         if raw_end:
             m = re.compile(rf"</{raw_end}\s*[^>]*>", re.I).search(source, at)
             at = m.end() if m else n
-            if stack and stack[-1] == raw_end:
-                stack.pop()
-                if skip_at is not None and len(stack) < skip_at:
+            if open_.tags and open_.tags[-1] == raw_end:
+                open_.cut(len(open_.tags) - 1)
+                if skip_at is not None and len(open_.tags) < skip_at:
                     skip_at = None
             raw_end = None
             continue
@@ -102,7 +172,7 @@ def html_lines(source: str) -> list[tuple[str, int, bool]]:
         text = source[at : m.start()] if m else source[at:]
         if text and skip_at is None:
             buf.append(text)
-            if link:
+            if open_.count("a"):
                 link_buf.append(text)
         if not m:
             break
@@ -114,40 +184,28 @@ def html_lines(source: str) -> list[tuple[str, int, bool]]:
             if skip_at is None:
                 buf.append(" " if tag == "br" else "")
             continue
-        if tag in BLOCK_TAGS or tag in SKIP_TAGS:
-            if skip_at is None:
-                flush()
+        if (tag in BLOCK_TAGS or tag in SKIP_TAGS) and skip_at is None:
+            flush()
         if closing:
-            if tag in stack:
-                while stack:
-                    top = stack.pop()
-                    if top == "a":
-                        link = max(0, link - 1)
-                    if top in ("article", "main"):
-                        inside -= 1
-                    if top == tag:
-                        break
-                if skip_at is not None and len(stack) < skip_at:
+            if open_.count(tag):
+                open_.cut(open_.at[tag][-1])
+                if skip_at is not None and len(open_.tags) < skip_at:
                     skip_at = None
             continue
         if tag in VOID_TAGS:
             continue
-        if tag in P_CLOSERS and "p" in stack and skip_at is None:  # a block ends an open paragraph and what is open in it
-            k = len(stack) - 1 - stack[::-1].index("p")
-            if not any(t in BLOCK_TAGS for t in stack[k + 1 :]):
-                link -= min(link, stack[k:].count("a"))
-                del stack[k:]
+        ends = open_.implied(tag)
+        if ends is not None and (skip_at is None or ends >= skip_at - 1):
+            open_.cut(ends)
+            if skip_at is not None and len(open_.tags) < skip_at:
+                skip_at = None
         if attrs.endswith("/") and tag in ("svg", "iframe"):
             continue
-        stack.append(tag)
-        if skip_at is not None and len(stack) > skip_at and _opens(tag, stack[skip_at - 1], inside > 0):
+        open_.push(tag, _named(tag, attrs))
+        if skip_at is not None and len(open_.tags) > skip_at and _opens(tag, open_.tags[skip_at - 1], inside()):
             skip_at = None  # a form around the page, a header in the article: what comes from here on is not furniture
-        if tag == "a":
-            link += 1
-        if tag in ("article", "main"):
-            inside += 1
-        if skip_at is None and _is_furniture(tag, attrs):
-            skip_at = len(stack)
+        if skip_at is None and _skipped(tag, attrs):
+            skip_at = len(open_.tags)
         if tag in RAW_TAGS:
             raw_end = tag
     if skip_at is None:
@@ -155,37 +213,63 @@ def html_lines(source: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
-def main_lines(lines: list[tuple[str, int, bool]], window: int = 3, surge: int = 80, link_share: float = 0.5, outside: float = 0.125) -> list[str]:
-    """The lines between surge and dive points of the windowed text lengths.
+def html_lines(source: str) -> list[tuple[str, int, bool]]:
+    """(text, characters inside links, within an article or main element) of each block."""
+    return [tuple(x[:3]) for x in html_blocks(source)]
+
+
+#: Share that a line weighs where it stands bare, under a furniture name, or outside the marked article.
+DOWN = 0.125
+
 
-    A line weighs its text outside links, and nothing if it is mostly links. If the page marks its article (article
-    or main element), a line in it weighs all its text, links too, and a surge at least; a line outside weighs the share
-    ``outside`` of its own, and nothing below a surge. A region opens where the sum over ``window`` lines reaches
-    ``surge`` and closes where it falls to zero; of pages without a surge, all lines stay that have weight.
+def line_weights(lines: list[Line], surge: int = 80, link_share: float = 0.5, bare: float = DOWN) -> list[float]:
+    marked = any(x.within for x in lines)
+    out: list[float] = []
+    for x in lines:
+        own = 0 if x.linked > link_share * len(x.text) else len(x.text) - x.linked
+        if x.within and not x.named:
+            out.append(max(len(x.text), surge))
+            continue
+        if x.within:
+            out.append(own if own >= surge else 0)
+            continue
+        share = (DOWN if marked else 1.0) * (DOWN if x.named else 1.0) * (bare if x.bare else 1.0)
+        out.append(own * share if share == 1.0 or own * share >= surge else 0)
+    return out
+
+
+def regions(own: list[float], window: int = 3, surge: int = 80, back: int = 0) -> list[bool]:
+    """Whether each line lies between a surge and the next dive: the sum over ``window`` lines reaches ``surge``, and falls to zero.
+
+    A region begins up to ``back`` lines earlier, as far as the lines before its surge have weight: short ones before the first long one.
     """
-    marked = any(x[2] for x in lines)
-    own: list[float] = []
-    for t, linked, within in lines:
-        weight: float = 0 if linked > link_share * len(t) else len(t) - linked
-        if marked:
-            weight = max(len(t), surge) if within else weight * outside
-            weight = weight if weight >= surge else 0
-        own.append(weight)
-    keep: list[str] = []
-    is_open = False
-    for i, (t, _, _) in enumerate(lines):
+    keep, is_open = [], False
+    for i, w in enumerate(own):
         total = sum(own[i : i + window])
-        if not is_open and total >= surge and own[i]:
+        if not is_open and total >= surge and w:
             is_open = True
+            for j in range(i - 1, max(-1, i - 1 - back), -1):
+                if not own[j]:
+                    break
+                keep[j] = True
         elif is_open and total == 0:
             is_open = False
-        if is_open and own[i]:
-            keep.append(t)
-    return keep or [t for (t, _, _), k in zip(lines, own, strict=True) if k]
+        keep.append(is_open and w > 0)
+    return keep
+
+
+def main_lines(lines: list[Line], window: int = 3, surge: int = 80) -> list[str]:
+    """The lines between surge and dive points of the windowed weights."""
+    own = line_weights(lines, surge)
+    kept = regions(own, window, surge, back=window - 1)
+    if not any(kept):  # no structure on this page: text counts as it stands
+        own = line_weights(lines, surge, bare=1.0)
+        kept = regions(own, window, surge)
+    return [x.text for x, k in zip(lines, kept if any(kept) else own, strict=True) if k]
 
 
 def extract_main_text(source: str | None) -> str:
-    return "\n\n".join(main_lines(html_lines(source))) if source else ""
+    return "\n\n".join(main_lines(html_blocks(source))) if source else ""
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
