@@ -66,8 +66,9 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", i
     d = winnow(d, k, w)
     # Position -1 stands for the document itself, so that one pass gives both its size and its hits.
     d = d.select("key", "th", "words", "hashes", F.explode_outer(F.concat(F.array(F.lit(-1)), "picked")).alias("pos"))
-    # The print itself joins; null (position -1) joins nothing.
-    d = d.select("key", "th", "words", "pos", F.when(F.col("pos") >= 0, F.get("hashes", F.col("pos"))).alias("print"))
+    # The print itself joins. A document's own row (position -1) needs no partner: it gets a key of its own, as rows of one key, or of null, would meet in one task.
+    lone = F.monotonically_increasing_id()
+    d = d.select("key", "th", "words", "pos", F.when(F.col("pos") >= 0, F.get("hashes", F.col("pos"))).otherwise(F.xxhash64("th", lone)).alias("print"))
     d = d.join(small(prints), "print", "left").where("hit or pos < 0")
     n = F.size("words")
 
@@ -80,8 +81,8 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", i
     none = F.array(F.struct(F.lit(-1).alias("start"), F.lit(0).alias("len")))
     d = d.withColumn("at", F.when(F.col("pos") < 0, none).otherwise(F.concat(*starts)) if starts else none)
     d = d.select("key", "th", F.when(F.col("pos") < 0, n).alias("n_words"), "words", F.explode_outer("at").alias("at"))
-    d = d.select("key", "th", "n_words", "at", F.when(F.col("at.len") > 0, F.concat_ws(" ", F.slice("words", F.col("at.start") + 1, F.col("at.len")))).alias("window"))
-    d = d.join(small(windows), "window", "left").where("items is not null or at.len = 0")
+    d = d.select("key", "th", "n_words", "at", F.when(F.col("at.len") > 0, F.concat_ws(" ", F.slice("words", F.col("at.start") + 1, F.col("at.len")))).otherwise(F.concat(F.lit(" "), lone.cast("string"))).alias("window"))
+    d = d.join(small(windows), "window", "left").where("items is not null or at.len = 0")  # no window begins with a blank
     hit = F.col("at.len") > 0
     out = d.groupBy("key", "th").agg(
         F.max("n_words").alias("n_words"),
