@@ -109,6 +109,22 @@ def bm25_topk_filtered(spark, d):
     return rounded(ranking.Bm25Index(chunks).search(R.benchmark_queries(spark, d), 5, source=first, fallback=False))
 
 
+_ASKED = "SELECT n_nationkey AS query_id, CASE WHEN n_nationkey % 2 = 0 THEN 'xq9zw' || lower(n_name) || 'xq9zw' ELSE text END AS text FROM nation JOIN documents ON doc_id = n_nationkey"
+_FALLBACK = _BM.format(w="").replace("SELECT item_id AS query_id, token", "SELECT query_id, token").replace(f"SELECT item_id, unnest({_TOK.format(c='text')}) AS token FROM benchmark", f"SELECT query_id, unnest({_TOK.format(c='text')}) AS token FROM ({_ASKED})")
+
+
+@query(f"""WITH {_FALLBACK}, al AS (SELECT query_id FROM ({_ASKED})), fd AS (SELECT doc_id, {_SRC} AS source, row_number() OVER (ORDER BY doc_id) AS rank FROM documents),
+r AS (SELECT query_id, doc_id, source, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, CAST(doc_id AS VARCHAR) AS chunk_id, source, round(score, 6) AS score FROM r WHERE rank <= 5
+UNION ALL SELECT query_id, CAST(rank AS INTEGER), CAST(doc_id AS VARCHAR), source, 0.0 FROM al, fd WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM r)""")
+def bm25_topk_fallback(spark, d):
+    """Queries that nothing matches get the first chunks with score 0."""
+    name = F.concat(F.lit("xq9zw"), F.lower("n_name"), F.lit("xq9zw"))
+    asked = R.table(spark, d, "nation").join(R.table(spark, d, "documents").select("doc_id", "text"), F.col("doc_id") == F.col("n_nationkey"))
+    queries = asked.select(F.col("n_nationkey").alias("query_id"), F.when(F.col("n_nationkey") % 2 == 0, name).otherwise(F.col("text")).alias("query"))
+    return rounded(ranking.Bm25Index(R.whole_documents(spark, d)).search(queries, 5))
+
+
 def _vector(spark, d, k):
     v = R.table(spark, d, "embeddings")
     return ranking.vector_search(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), k)
@@ -273,20 +289,33 @@ def cost_by_model(spark, d):
     return rounded(rows.groupBy("model").agg(F.sum(tasks.cost(F.col("tin"), F.col("tout"), F.col("input"), F.col("output"))).alias("cost")))
 
 
-_FETCHED = [(0, "meta-llama/llama-4-scout:free", 1e-7, 2e-7), (1, "openai/gpt-4o", 2.5e-6, 1e-5), (2, "x-ai/grok", 3e-6, 4e-6)]
-_DEFAULT = [(0, "openai/gpt-4o-mini", 1.5e-7, 6e-7), (1, "openai/gpt-4o", 9.0, 9.0)]
-_ASKED = ["llama-4-scout", "meta-llama/llama-4-scout", "openai/gpt-4o:beta", "GPT-4o-mini", "azure/gpt-4o", "nobody/nothing", "x-ai/grok"]
+# Price lists and asked models from suppliers and customers: ids with providers and suffixes, some of them shared or unknown.
+_FETCHED_SQL = "SELECT s_suppkey AS ord, 'prov' || (s_suppkey % 7) || '/Model-' || (s_suppkey % 40) || CASE WHEN s_suppkey % 3 = 0 THEN ':free' ELSE '' END AS id, s_suppkey * 1e-7 AS input, s_suppkey * 2e-7 AS output FROM supplier WHERE s_suppkey % 2 = 0"
+_DEFAULT_SQL = "SELECT s_suppkey AS ord, 'prov' || (s_suppkey % 5) || '/model-' || (s_suppkey % 60) AS id, s_suppkey * 3e-7 AS input, s_suppkey * 4e-7 AS output FROM supplier WHERE s_suppkey % 2 = 1"
+_MODELS_SQL = "SELECT DISTINCT CASE c_custkey % 4 WHEN 0 THEN 'prov' || (c_custkey % 7) || '/model-' || (c_custkey % 40) || ':free' WHEN 1 THEN 'MODEL-' || (c_custkey % 70) WHEN 2 THEN 'prov' || (c_custkey % 9) || '/Model-' || (c_custkey % 80) ELSE 'other/model-' || (c_custkey % 90) || ':beta' END AS model FROM customer"
+_FORMS = "unnest([lower({0}), split_part(lower({0}), ':', 1), regexp_replace(split_part(lower({0}), ':', 1), '^[^/]*/', '')])"
 
 
-@query("""WITH f AS (SELECT * FROM (VALUES (0, 'meta-llama/llama-4-scout:free', 1e-7, 2e-7), (1, 'openai/gpt-4o', 2.5e-6, 1e-5), (2, 'x-ai/grok', 3e-6, 4e-6)) AS t(ord, id, input, output)), g AS (SELECT * FROM (VALUES (0, 'openai/gpt-4o-mini', 1.5e-7, 6e-7), (1, 'openai/gpt-4o', 9.0, 9.0)) AS t(ord, id, input, output)),
-a AS (SELECT unnest(['llama-4-scout', 'meta-llama/llama-4-scout', 'openai/gpt-4o:beta', 'GPT-4o-mini', 'azure/gpt-4o', 'nobody/nothing', 'x-ai/grok']) AS model),
-p AS (SELECT 0 AS base, ord, input, output, unnest([lower(id), split_part(lower(id), ':', 1), regexp_replace(split_part(lower(id), ':', 1), '^[^/]*/', '')]) AS alias FROM f UNION ALL SELECT 3, ord, input, output, unnest([lower(id), split_part(lower(id), ':', 1), regexp_replace(split_part(lower(id), ':', 1), '^[^/]*/', '')]) FROM g),
-m AS (SELECT model, unnest([0, 1, 2]) AS form, unnest([lower(model), split_part(lower(model), ':', 1), regexp_replace(split_part(lower(model), ':', 1), '^[^/]*/', '')]) AS alias FROM a),
-c AS (SELECT model, input, output, base + form AS choice, row_number() OVER (PARTITION BY model ORDER BY base + form, ord) AS r FROM m JOIN p USING (alias))
-SELECT model, CAST(coalesce(input, 0) AS DOUBLE) AS input, CAST(coalesce(output, 0) AS DOUBLE) AS output, CASE choice WHEN 0 THEN 'fetched' WHEN 1 THEN 'fetched_base' WHEN 2 THEN 'fetched_providerless' WHEN 3 THEN 'default' WHEN 4 THEN 'default_base' WHEN 5 THEN 'default_providerless' ELSE 'missing' END AS matched FROM a LEFT JOIN (SELECT * FROM c WHERE r = 1) USING (model)""")
+@query(f"""WITH f AS ({_FETCHED_SQL}), g AS ({_DEFAULT_SQL}), a AS ({_MODELS_SQL}),
+p AS (SELECT 0 AS base, ord, input, output, unnest([0, 1, 2]) AS pf, {_FORMS.format("id")} AS alias FROM f UNION ALL SELECT 3, ord, input, output, unnest([0, 1, 2]), {_FORMS.format("id")} FROM g),
+u AS (SELECT base, input, output, alias, row_number() OVER (PARTITION BY base, alias ORDER BY ord, pf) AS r FROM p), m AS (SELECT model, unnest([0, 1, 2]) AS form, {_FORMS.format("model")} AS alias FROM a),
+c AS (SELECT model, input, output, base + form AS choice, row_number() OVER (PARTITION BY model ORDER BY base + form) AS k FROM m JOIN (SELECT * FROM u WHERE r = 1) USING (alias))
+SELECT model, CAST(coalesce(input, 0) AS DOUBLE) AS input, CAST(coalesce(output, 0) AS DOUBLE) AS output, CASE choice WHEN 0 THEN 'fetched' WHEN 1 THEN 'fetched_base' WHEN 2 THEN 'fetched_providerless' WHEN 3 THEN 'default' WHEN 4 THEN 'default_base' WHEN 5 THEN 'default_providerless' ELSE 'missing' END AS matched FROM a LEFT JOIN (SELECT * FROM c WHERE k = 1) USING (model)""")
 def pricing_resolve(spark, d):
-    kind = "ord int, id string, input double, output double"
-    return tasks.resolve_prices(spark.createDataFrame([(m,) for m in _ASKED], "model string"), spark.createDataFrame(_FETCHED, kind), spark.createDataFrame(_DEFAULT, kind))
+    s, key = R.table(spark, d, "supplier"), F.col("s_suppkey")
+    text = lambda n: n.cast("string")
+    price = lambda a, b: [(key * a).cast("double").alias("input"), (key * b).cast("double").alias("output")]
+    fetched = s.where("s_suppkey % 2 = 0").select(key.alias("ord"), F.concat(F.lit("prov"), text(key % 7), F.lit("/Model-"), text(key % 40), F.when(key % 3 == 0, ":free").otherwise("")).alias("id"), *price(1e-7, 2e-7))
+    default = s.where("s_suppkey % 2 = 1").select(key.alias("ord"), F.concat(F.lit("prov"), text(key % 5), F.lit("/model-"), text(key % 60)).alias("id"), *price(3e-7, 4e-7))
+    c = F.col("c_custkey")
+    model = (
+        F.when(c % 4 == 0, F.concat(F.lit("prov"), text(c % 7), F.lit("/model-"), text(c % 40), F.lit(":free")))
+        .when(c % 4 == 1, F.concat(F.lit("MODEL-"), text(c % 70)))
+        .when(c % 4 == 2, F.concat(F.lit("prov"), text(c % 9), F.lit("/Model-"), text(c % 80)))
+        .otherwise(F.concat(F.lit("other/model-"), text(c % 90), F.lit(":beta")))
+    )
+    found = tasks.resolve_prices(R.table(spark, d, "customer").select(model.alias("model")).distinct(), fetched, default)
+    return found
 
 
 @query(f"""WITH {R.SQL_EVAL}, n AS (SELECT event_id, Model, Method, ID, Run_ID, KI_Antwort FROM ev), c AS (SELECT DISTINCT Model, Method, ID, Run_ID, CASE WHEN event_id % 3 = 0 THEN 'other' ELSE KI_Antwort END AS KI_Antwort FROM ev WHERE Likert_Score IS NOT NULL AND event_id % 2 = 0)
