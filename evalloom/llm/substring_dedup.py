@@ -100,7 +100,8 @@ def _batches(docs: DataFrame, key: str, text: str, batch_rows: int) -> DataFrame
 def _send_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
     b = _Batch(pdf)
     h, n = np.unique(b.anchors()[1], return_counts=True)
-    return pd.DataFrame({"batch": np.full(len(h), pdf["batch"].iloc[0], dtype=np.int32), "h": h.view(np.int64), "twice": n > 1})
+    batch = np.full(len(h), pdf["batch"].iloc[0], dtype=np.int32)
+    return pd.DataFrame({"batch": np.where(n > 1, -1 - batch, batch), "h": h.view(np.int64)})  # below 0: twice in the batch
 
 
 def _windows(b: _Batch, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,9 +149,9 @@ def _remove(pdf: pd.DataFrame, later: pd.DataFrame) -> pd.DataFrame:
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed and ``kept`` (the words that stay, joined by one space)."""
     rows = _batches(docs, key, text, batch_rows)
-    anchors = rows.groupBy("batch").applyInPandas(_send_anchors, "batch int, h long, twice boolean")
+    anchors = rows.groupBy("batch").applyInPandas(_send_anchors, "batch int, h long")
     w = Window.partitionBy("h")
-    repeated = anchors.withColumn("n", F.count("batch").over(w)).where("n > 1 or twice").select("batch", "h")
+    repeated = anchors.withColumn("n", F.count("batch").over(w)).where("n > 1 or batch < 0").select(F.greatest("batch", -1 - F.col("batch")).alias("batch"), "h")
     windows = rows.groupBy("batch").cogroup(repeated.groupBy("batch")).applyInPandas(_send_windows, "batch int, h long, c int, doc_id long")
     w = Window.partitionBy("h", "c").orderBy("doc_id", "batch")
     later = windows.withColumn("r", F.row_number().over(w)).where("r > 1").select("batch", "h")
