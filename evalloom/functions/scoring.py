@@ -129,11 +129,6 @@ def effect_label(value: Column, lang: str = "en") -> Column:
     return F.when(a.isNull(), "unknown").when(a < 0.1, "negligible").when(a < 0.3, "small").when(a < 0.5, "medium").otherwise("large")
 
 
-def to_bool(text: Column, default: bool = False) -> Column:
-    t = F.lower(F.trim(text))
-    return F.when(t.isin("1", "true", "yes", "y", "ja"), True).when(t.isin("0", "false", "no", "n", "nein"), False).otherwise(default)
-
-
 def number_text(text: Column) -> Column:
     """Numbers with German or English separators as double: the later of both separators is the decimal one; a
     lone kind of separator before groups of three digits parts thousands."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from . import normality, stats
+from . import judging, normality, stats
 
 TASK_TYPES = ["Wissensbasiert", "Analytisch / Reasoning", "Rechen-/deterministisch", "Unklar/sonstige"]
 TASKTYPE_COMPARISONS = [("Zero-Shot", "Advanced-Prompt"), ("Zero-Shot", "RAG")]
@@ -77,8 +77,22 @@ def histogram(values: DataFrame, by: list[str], value: str = "diff", bins: int =
     return out.where(F.col(value).isNotNull()).groupBy(*by, "bin").agg(F.count("*").alias("n"))
 
 
-def data_quality(evaluated: DataFrame, expected: int) -> DataFrame:
-    """Expected, actual, missing, failed and unscored rows, and a status."""
-    out = evaluated.agg(F.count("*").alias("actual"), F.count_if(F.trim(F.coalesce("error", F.lit(""))) != "").alias("error_rows"), F.count_if(F.col("Likert_Score").isNull()).alias("unscored_rows"))
+def data_quality(evaluated: DataFrame, expected: int, reason: str = "Judge_Begruendung") -> DataFrame:
+    """Expected, actual, missing, failed and unscored rows, rows with a judge issue where there are reasons, and a status."""
+    failed, unscored = F.trim(F.coalesce("error", F.lit(""))) != "", F.col("Likert_Score").isNull()
+    counts = {"error_rows": failed, "unscored_rows": unscored}
+    if reason in evaluated.columns:
+        counts["judge_issue_rows"] = judging.has_issue(F.col(reason))
+    out = evaluated.agg(F.count("*").alias("actual"), *[F.count_if(v).alias(k) for k, v in counts.items()])
     out = out.withColumn("expected", F.lit(expected).cast("long")).withColumn("missing", F.greatest(F.col("expected") - F.col("actual"), F.lit(0).cast("long")))
-    return out.withColumn("status", F.when((F.col("missing") == 0) & (F.col("error_rows") == 0) & (F.col("unscored_rows") == 0), "ok").otherwise("issues"))
+    fine = F.col("missing") == 0
+    for c in counts:
+        fine = fine & (F.col(c) == 0)
+    return out.withColumn("status", F.when(fine, "ok").otherwise("issues"))
+
+
+def issue_rows(evaluated: DataFrame, key: list[str], reason: str = "Judge_Begruendung") -> DataFrame:
+    """The distinct tasks that are to be judged again: without a score, failed, or with a judge issue; sorted."""
+    bad = F.col("Likert_Score").isNull() | (F.trim(F.coalesce("error", F.lit(""))) != "")
+    bad = bad | judging.has_issue(F.col(reason)) if reason in evaluated.columns else bad
+    return evaluated.where(bad).select(*key).distinct().orderBy(*key)

@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from evalloom.operators import tasks
+from evalloom.operators import reports, tasks
 from evalloom.plans import evaluation
 from evalloom.plans import prompting as P
 from evalloom.streaming import scoring as streaming
@@ -91,6 +91,17 @@ def test_patches_replace_the_asked_ids_only(spark):
     assert tasks.missing_ids({"1", "40", "9", "100", "x", "b"}, patch) == ["40", "100", "b", "x"]
 
 
+def test_judge_issues_count_as_issues(spark):
+    kind = "ID string, Likert_Score double, error string, Judge_Begruendung string"
+    rows = [("b", 1.0, "", "fine"), ("a", 2.0, None, "Judge JSON parse failed: x"), ("a", 2.0, None, "api error"), ("c", None, "", ""), ("d", 3.0, " down ", "")]
+    df = spark.createDataFrame(rows, kind)
+    r = reports.data_quality(df, 5).first()
+    assert (r.actual, r.error_rows, r.unscored_rows, r.judge_issue_rows, r.missing, r.status) == (5, 1, 1, 2, 0, "issues")
+    assert [x.ID for x in reports.issue_rows(df, ["ID"]).collect()] == ["a", "c", "d"]
+    assert reports.data_quality(df.where("ID = 'b'"), 1).first().status == "ok"
+    assert "judge_issue_rows" not in reports.data_quality(df.drop("Judge_Begruendung"), 5).columns
+
+
 def test_raw_results_take_the_evaluated_names(spark):
     raw = spark.createDataFrame([(1, "m", "q", 3)], "run_number int, model string, llm_answer string, other int")
     assert tasks.compatible(raw).columns == ["Run_ID", "Model", "KI_Antwort", "other"]
