@@ -74,3 +74,20 @@ def test_a_block_passes_on_the_best_only(monkeypatch, heavy, queries, chunks, ad
         scored = sorted((-round(sum(v * part(j) for w, v in zip(q[i], weights[i], strict=True) if w in d[j]), 9), 39 - j, f"c{j}") for j in range(40))
         want += [(i, c, pytest.approx(-s, abs=2e-9)) for s, _, c in scored[:3] if s < 0]
     assert [(r["query_id"], r["chunk_id"], r["score"]) for r in got] == want
+
+
+def test_candidates_of_the_queries_carry_no_texts(spark):
+    """The texts of all candidates went through fusion and rerank before."""
+    from evalloom.plans import registry
+
+    found = registry._retriever(spark, DATA, 5)("hybrid").sides(registry._asked(spark, DATA))
+    assert {e: "chunk" in rows.columns for e, rows in found.items()} == {"lexical": False, "vector": False}
+
+
+def test_texts_are_there_where_they_are_asked_for(spark):
+    chunks = spark.createDataFrame([("a", "s", 0, "rot apfel"), ("b", "gesetz", 1, "apfel")], "chunk_id string, source string, ord long, chunk string")
+    queries = spark.createDataFrame([(1, "apfel")], "query_id int, query string")
+    index = ranking.Bm25Index(chunks)
+    with_texts, without = (retrieval.Retriever(retrieval.lexical(index, chunks, texts=t), mode="lexical_only").retrieve(queries).orderBy("rank").collect() for t in (True, False))
+    assert [r.chunk for r in with_texts] == ["apfel", "rot apfel"]
+    assert [(r.chunk_id, r.source, r.score, r.engine) for r in with_texts] == [(r.chunk_id, r.source, r.score, r.engine) for r in without]
