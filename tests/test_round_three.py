@@ -91,3 +91,15 @@ def test_texts_are_there_where_they_are_asked_for(spark):
     with_texts, without = (retrieval.Retriever(retrieval.lexical(index, chunks, texts=t), mode="lexical_only").retrieve(queries).orderBy("rank").collect() for t in (True, False))
     assert [r.chunk for r in with_texts] == ["apfel", "rot apfel"]
     assert [(r.chunk_id, r.source, r.score, r.engine) for r in with_texts] == [(r.chunk_id, r.source, r.score, r.engine) for r in without]
+
+
+def test_each_side_is_searched_once_for_all_modes(spark):
+    calls = []
+    kind = "query_id int, rank int, chunk_id string, source string, score double"
+
+    def side(name):
+        return lambda queries, k, source: (calls.append(name), spark.createDataFrame([(1, 1, "a", "s", 1.0)], kind))[1]
+
+    got = retrieval.evaluate(lambda mode: retrieval.Retriever(side("l"), side("v"), mode), spark.createDataFrame([(1,)], "query_id int"), spark.createDataFrame([(1, "a"), (1, "A")], "query_id int, item string"), "chunk_id").collect()
+    assert sorted(calls) == ["l", "v"]
+    assert {(r.mode, r.n_queries, r.hit_at_5, r.mrr_at_10) for r in got} == {(m, 1, 1.0, 1.0) for m, _, _ in retrieval.EVALUATED}
