@@ -23,9 +23,9 @@ def tasktype_comparison(baseline: str, target: str) -> str:
     return f"{stats.method_label(target)} - {stats.method_label(baseline)}"
 
 
-def tasktype_deltas(tasks: DataFrame, meta: DataFrame, metric: str = "Atomic_Coverage_Score") -> DataFrame:
+def tasktype_deltas(tasks: DataFrame, meta: DataFrame, metric: str = "Atomic_Coverage_Score", comparisons=TASKTYPE_COMPARISONS) -> DataFrame:
     """(Model, comparison, task_type, ID, diff) over non-trap questions: each method less the baseline, whatever is better."""
-    found = stats.pairs(stats.non_trap(tasks), metric, TASKTYPE_COMPARISONS, label=tasktype_comparison)
+    found = stats.pairs(stats.non_trap(tasks), metric, comparisons, label=tasktype_comparison)
     return found.join(meta.select("ID", "task_type"), "ID", "left").withColumn("task_type", F.coalesce("task_type", F.lit(UNKNOWN_TYPE)))
 
 

@@ -449,6 +449,7 @@ def stats_table(spark, d):
 
 
 _TT_DELTAS = "td AS (SELECT lb || ' - ' || la AS comparison, coalesce(task_type, 'Unklar/sonstige') AS task_type, Model, ID, diff FROM df LEFT JOIN mt USING (ID) WHERE ma = 'Zero-Shot')"
+_TT_ALL = _TT_DELTAS.replace(" WHERE ma = 'Zero-Shot'", "")
 
 
 @query(f"""WITH {R.SQL_TASKS}, {_TT_DELTAS},
@@ -501,15 +502,14 @@ def normality_frame(spark, d):
     return rounded(reports.normality_frame(_tasks(spark, d)))
 
 
+def _deltas(spark, d, comparisons=reports.TASKTYPE_COMPARISONS):
+    return reports.tasktype_deltas(_tasks(spark, d), R.meta(spark, d), comparisons=comparisons)
 
 
-def _deltas(spark, d):
-    return reports.tasktype_deltas(_tasks(spark, d), R.meta(spark, d))
-
-
-@query(f"WITH {R.SQL_TASKS}, {_TT_DELTAS} SELECT comparison, task_type, count(*) AS n_pairs, round(median(diff), 6) AS median_delta FROM td GROUP BY ALL")
+@query(f"WITH {R.SQL_TASKS}, {_TT_ALL} SELECT comparison, task_type, count(*) AS n_pairs, round(median(diff), 6) AS median_delta FROM td GROUP BY ALL")
 def tasktype_delta_summary(spark, d):
-    return rounded(reports.tasktype_summary(_deltas(spark, d)))
+    """All pairs of methods."""
+    return rounded(reports.tasktype_summary(_deltas(spark, d, stats.COMPARISONS)))
 
 
 @query(f"WITH {R.SQL_TASKS}, {_TT_DELTAS} SELECT comparison, " + ", ".join(f"round(median(diff) FILTER (task_type = '{t}'), 6) AS \"{t}\"" for t in reports.TASK_TYPES) + " FROM td GROUP BY comparison")
