@@ -512,9 +512,10 @@ def tasktype_delta_summary(spark, d):
     return rounded(reports.tasktype_summary(_deltas(spark, d, stats.COMPARISONS)))
 
 
-@query(f"WITH {R.SQL_TASKS}, {_TT_DELTAS} SELECT comparison, " + ", ".join(f"round(median(diff) FILTER (task_type = '{t}'), 6) AS \"{t}\"" for t in reports.TASK_TYPES) + " FROM td GROUP BY comparison")
+@query(f"WITH {R.SQL_TASKS}, {_TT_ALL} SELECT comparison, " + ", ".join(f"round(median(diff) FILTER (task_type = '{t}'), 6) AS \"{t}\"" for t in reports.TASK_TYPES) + " FROM td GROUP BY comparison")
 def tasktype_heatmap(spark, d):
-    return rounded(reports.tasktype_heatmap(_deltas(spark, d)))
+    """All pairs of methods."""
+    return rounded(reports.tasktype_heatmap(_deltas(spark, d, stats.COMPARISONS)))
 
 
 @query(f"WITH {R.SQL_TASKS}, e AS (SELECT comparison, least(-1.0, min(diff) - 0.05) AS lo, greatest(1.0, max(diff) + 0.05) AS hi FROM df GROUP BY ALL) SELECT comparison, CAST(least(8, floor((diff - lo) / (hi - lo) * 8) + 1) AS INTEGER) AS bin, count(*) AS n FROM df JOIN e USING (comparison) GROUP BY ALL")

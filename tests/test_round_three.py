@@ -105,7 +105,7 @@ def test_each_side_is_searched_once_for_all_modes(spark):
     assert {(r.mode, r.n_queries, r.hit_at_5, r.mrr_at_10) for r in got} == {(m, 1, 1.0, 1.0) for m, _, _ in retrieval.EVALUATED}
 
 
-@pytest.mark.parametrize("name", ["tasktype_delta_summary"])
+@pytest.mark.parametrize("name", ["tasktype_delta_summary", "tasktype_heatmap"])
 def test_task_types_hold_all_pairs_of_methods(spark, name):
     rows = entry.queries()[name](spark, DATA).select("comparison").distinct().collect()
     assert {r.comparison for r in rows} == {"Advanced Prompting - Zero-Shot", "RAG - Zero-Shot", "RAG - Advanced Prompting"}
