@@ -23,6 +23,8 @@ COMPARISONS = [("Zero-Shot", "Advanced-Prompt"), ("Zero-Shot", "RAG"), ("Advance
 METRICS = {"Atomic_Coverage_Score": 1, "Atomic_Precision": 1, "Hallucination_Rate": -1}
 #: Up to so many pairs that differ, p is exact.
 EXACT_PAIRS = 1000
+#: Draws of a resampling that are made at once.
+DRAWS = 1 << 16
 DEFAULTS = {
     "Model": ("string", "unknown"), "Method": ("string", "unknown"), "ID": ("string", "unknown"), "Run_ID": ("long", None), "KI_Antwort": ("string", ""),
     **{c: ("double", None) for c in ["Cost_USD", "Dauer_sek", "Atomic_Coverage_Score", "Support_Rate", "Atomic_Precision", "Hallucination_Rate", "Contradiction_Rate", "Not_In_Scope_Rate", "Trap_Pass", "Trap_Hallucination", "Trap_Fallibility", "Is_Trap_Question", "Confidence_Mean"]},
@@ -247,17 +249,34 @@ def half_even(value: Column, digits: int = 4) -> Column:
     return F.rint(value * scale) / scale
 
 
+def resampled_means(values: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """Means of resamples with replacement: the draws of ``random.Random(seed).randrange``, ``DRAWS`` at a time."""
+    n = len(values)
+    *key, place = random.Random(seed).getstate()[1]
+    bits = np.random.MT19937()
+    bits.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, dtype=np.uint32), "pos": place}}
+    shift = np.uint64(32 - n.bit_length())
+    sums, at = np.zeros(resamples), 0
+    while at < n * resamples:
+        drawn = bits.random_raw(DRAWS) >> shift
+        picked = values[drawn[drawn < n][: n * resamples - at]]
+        if len(picked):
+            own = at // n
+            starts = np.append(0, np.arange((own + 1) * n - at, len(picked), n))
+            sums[own : own + len(starts)] += np.add.reduceat(picked, starts)
+            at += len(picked)
+    return sums / n
+
+
 def bootstrap_ci(tasks: DataFrame, by: list[str] = ["Model", "Method"], value: str = "Task_Score", key: str = "ID", resamples: int = 1000, seed: int = 42) -> DataFrame:  # noqa: B006
     """(by, ci_low, ci_high): percentile interval of the mean, from a seeded resampling of the values in the order of their ids."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values(key)[value].dropna().tolist()
+        values = pdf.sort_values(key)[value].dropna().to_numpy(dtype=np.float64)
         out = pdf[by].head(1).copy()
         out["ci_low"] = out["ci_high"] = float("nan")
         if len(values) >= 2:
-            rng = random.Random(seed)
-            n = len(values)
-            means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(resamples))
+            means = np.sort(resampled_means(values, resamples, seed))
             out["ci_low"], out["ci_high"] = means[int(resamples * 0.025)], means[int(resamples * 0.975) - 1]
         return out
 

@@ -105,6 +105,15 @@ def test_each_side_is_searched_once_for_all_modes(spark):
     assert {(r.mode, r.n_queries, r.hit_at_5, r.mrr_at_10) for r in got} == {(m, 1, 1.0, 1.0) for m, _, _ in retrieval.EVALUATED}
 
 
+@pytest.mark.parametrize("n", [2, 3, 4, 64, 1000, 70_001])
+def test_resampling_draws_as_random_does(n):
+    values = [random.Random(i).random() for i in range(n)]
+    times = max(2, min(50, 200_000 // n))
+    rng = random.Random(42)
+    want = [sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(times)]
+    assert stats.resampled_means(np.array(values), times, 42) == pytest.approx(want, rel=1e-12)
+
+
 @pytest.mark.parametrize("name", ["tasktype_delta_summary", "tasktype_heatmap"])
 def test_task_types_hold_all_pairs_of_methods(spark, name):
     rows = entry.queries()[name](spark, DATA).select("comparison").distinct().collect()
