@@ -63,8 +63,8 @@ STEPS = 8
 BATCH_MB = 16
 #: Bytes that are held in arrays at once.
 CHUNK = 1 << 20
-#: Bytes of words, or rows of logits, that are worked on at once.
-SLICE = 1 << 17
+#: Bytes of words, or rows of logits, that are worked on at once, and bytes whose contexts are looked up at once.
+SLICE, STRETCH = 1 << 17, 1 << 16
 #: Text of a task that counts, text of which it holds the words before it passes them on, and words of a task that counts their beginnings.
 TASK_MB, HELD_BYTES, TASK_WORDS = 128, 8 << 20, 400_000
 #: Answers that a task packs at once.
@@ -73,13 +73,7 @@ HELD_ROWS = 1 << 19
 ARROW_BYTES = 4 << 20
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 32, END]] = True
-#: The nodes on the way to each half byte, and the signs of its bits.
-_NODE = np.array([[(1 << j) | (v >> (4 - j)) for j in range(4)] for v in range(16)])
-_SIGN = np.array([[2 * (v >> (3 - j) & 1) - 1 for j in range(4)] for v in range(16)], dtype=np.int8)
-#: The signs of a byte's bits, by half.
-_SIGNS = _SIGN[np.stack([np.arange(256) >> 4, np.arange(256) & 15], axis=1)]
-#: By bit and half byte, where the bit's node is among eight nodes.
-_SHIFT = (8 * (_NODE.T & 7)).astype(np.uint64)
+_U = np.arange(16, dtype=np.uint64)
 _LEAD = np.array([8 - x.bit_length() for x in range(256)], dtype=np.int64)
 _POWER = np.multiply.accumulate(np.full(DEPTH + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
@@ -110,6 +104,12 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.array([len(t) + 1 for t in texts], dtype=np.int64)
 
 
+def _padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``_joined``, but each text has as many end bytes as fill its last block; the length counts one."""
+    data = np.frombuffer(b"".join(t + b"\xff" * (BLOCK - len(t) % BLOCK) for t in texts), dtype=np.uint8)
+    return data, np.array([len(t) + 1 for t in texts], dtype=np.int64)
+
+
 def _chunks(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
     own, size = [], 0
     for t in texts:
@@ -141,6 +141,16 @@ def byte_slots(data: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np
             yield (own >> shift).astype(np.int32), ((own ^ half) * np.uint32(0x9E3779B1) >> shift).astype(np.int32)
 
 
+def stretches(data: np.ndarray, n: np.ndarray) -> Iterator[tuple[slice, list[tuple[np.ndarray, np.ndarray]]]]:
+    """``byte_slots`` of all orders, for as many bytes at once as a core's cache holds."""
+    begins = np.cumsum(n) - n
+    for at in range(0, len(data), STRETCH):
+        lo, hi = max(0, at - max(ORDERS)), min(len(data), at + STRETCH)  # contexts reach back
+        inside = begins[np.searchsorted(begins, lo, side="right") : np.searchsorted(begins, hi)]
+        slots = byte_slots(data[lo:hi], np.diff(np.concatenate([[lo], inside, [hi]])))
+        yield slice(at, hi), [(first[at - lo :], second[at - lo :]) for first, second in slots]
+
+
 def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind, part, counts) of a task's texts: by order and part of 4,096 slots, how often each half byte followed; kind -1 has the bytes."""
     counts = [np.zeros(16 << SLOT_BITS, dtype=np.int32) for _ in ORDERS]
@@ -150,9 +160,11 @@ def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _chunks(_lowered(batch.column(0))):
             data, n = _joined(own)
             alone += np.bincount(data, minlength=256)
-            for c, (first, second) in zip(counts, byte_slots(data, n), strict=True):
-                np.add.at(c, first * 16 + (data >> 4), one)
-                np.add.at(c, second * 16 + (data & 15), one)
+            for some, slots in stretches(data, n):
+                high, low = data[some] >> 4, data[some] & 15
+                for c, (first, second) in zip(counts, slots, strict=True):
+                    np.add.at(c, first * 16 + high, one)
+                    np.add.at(c, second * 16 + low, one)
     squeeze = zstandard.ZstdCompressor(level=1).compress
     yield _packed([-1], [0], [squeeze(alone.tobytes())])
     for kind, c in enumerate(counts):
@@ -202,25 +214,26 @@ class ByteTables:
     def __init__(self, nodes: list[np.ndarray], ends_as: np.ndarray):
         self.nodes, self.ends_as = nodes, ends_as
 
-    def logits(self, data: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
-        """By order, the logits (bytes, 8) towards the bits of each byte of texts of ``n`` bytes.
+    def logits(self, data: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        """By order, the logits (8, bytes) towards the bits of each byte of texts of ``n`` bytes.
 
-        The 16 nodes of a slot are read as two numbers of eight bytes, of which each bit's node is shifted out.
+        The 16 nodes of a slot are read at once, as two numbers of eight bytes, of which each bit's node is shifted out.
         """
-        for nodes, slots in zip(self.nodes, byte_slots(data, n), strict=True):
-            eights = nodes.view(np.uint64)
-            out = np.empty((len(data), 2, 4), dtype=np.int8)
-            for at in range(0, len(data), 1 << 14):  # as much as a core's cache holds
-                some, own = data[at : at + (1 << 14)], out[at : at + (1 << 14)]
-                for h, v in enumerate((some >> 4, some & 15)):
-                    slot = slots[h][at : at + (1 << 14)] << 1
-                    low = eights.take(slot)
-                    own[:, h, 0] = low >> _SHIFT[0, 0]
-                    own[:, h, 1] = low >> _SHIFT[1].take(v)
-                    own[:, h, 2] = low >> _SHIFT[2].take(v)
-                    own[:, h, 3] = eights.take(slot | 1) >> _SHIFT[3].take(v)
-                own *= _SIGNS.take(some, axis=0)
-            yield out.reshape(len(data), 8)
+        out = [np.empty((8, len(data)), dtype=np.int8) for _ in self.nodes]
+        for some, slots in stretches(data, n):
+            byte = data[some].astype(np.uint64)
+            zero = [((data[some] >> np.uint8(7 - j)) & np.uint8(1)).view(np.int8) - np.int8(1) for j in range(8)]  # -1 where the bit is 0
+            for h, v in enumerate((byte >> _U[4], byte & _U[15])):
+                # The nodes are 1, then 2 and 3, 4 to 7, and 8 to 15, which are 0 to 7 of the second number.
+                shifts = [(v >> _U[3] | _U[2]) << _U[3], (v >> _U[2] | _U[4]) << _U[3], v >> _U[1] << _U[3]]
+                for nodes, slot, planes in zip(self.nodes, slots, out, strict=True):
+                    both = nodes.view(np.complex128).take(slot[h]).view(np.uint64)
+                    low = both[::2].copy()
+                    for j, x in enumerate((low >> _U[8], low >> shifts[0], low >> shifts[1], both[1::2] >> shifts[2]), 4 * h):
+                        logit = x.astype(np.int8)
+                        logit ^= zero[j]
+                        np.subtract(logit, zero[j], out=planes[j, some])
+        return out
 
 
 def byte_tables(texts: DataFrame) -> ByteTables:
@@ -274,9 +287,11 @@ def _long_hash(word: bytes) -> int:
 class Words:
     """Bytes and beginnings of a list of words."""
 
-    def __init__(self, words: list[bytes]):
-        self.data = np.frombuffer(b"".join(words), dtype=np.uint8)
-        self.n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    def __init__(self, words: list[bytes] | pa.Array):
+        words = pa.array(words, type=pa.large_binary()) if isinstance(words, list) else words.cast(pa.large_binary())
+        offsets = np.frombuffer(words.buffers()[1] or bytes(8), dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+        self.data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+        self.n = np.diff(offsets)
         self.start = np.cumsum(self.n) - self.n
         self.at = np.arange(len(self.data), dtype=np.int32)  # the place of each byte in its word
         self.at -= np.repeat(self.start.astype(np.int32), self.n)
@@ -297,13 +312,13 @@ class Words:
         return _mix(self.sums[self.start[w] + self.n[w]] - self.sums[self.start[w]] + self.n[w].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def word_keys(words: list[bytes], own: Words) -> np.ndarray:
+def word_keys(words: list[bytes] | pa.Array, own: Words) -> np.ndarray:
     """The key of each word: its hash as a beginning, or one of the whole word if it is longer than DEPTH."""
     keys = np.zeros(len(words), dtype=np.uint64)
     short = own.n <= DEPTH
     keys[short] = own.whole(np.flatnonzero(short))
     for i in np.flatnonzero(~short):
-        keys[i] = _long_hash(words[i])
+        keys[i] = _long_hash(words[i] if isinstance(words, list) else words[i].as_py())
     return keys
 
 
@@ -312,7 +327,7 @@ def _code(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.rint(STEPS * np.log2(n)), 255).astype(np.uint8)
 
 
-def _beginnings(words: list[bytes], n: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def _beginnings(words: list[bytes] | pa.Array, n: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """For each depth: (key, ends, first, symbol, count) of different sorted ``words``, counted ``n`` times.
 
     key and ends (how often a word ends there) by beginning, first where its followers start in symbol and count.
@@ -349,15 +364,12 @@ def _beginning_rows(edges: bool):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[bytes] = []
-        n: list[np.ndarray] = []
-        for batch in batches:
-            words += batch.column(0).to_pylist()
-            n.append(batch.column(1).to_numpy())
-        if not words:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        counts = np.concatenate(n)
-        ends_of = Words([words[0][: DEPTH + 1], words[-1][: DEPTH + 1]])
+        words = pa.concat_arrays([b.column(0).cast(pa.large_binary()) for b in held])
+        counts = np.concatenate([b.column(1).to_numpy() for b in held])
+        ends_of = Words([words[i].as_py()[: DEPTH + 1] for i in (0, len(words) - 1)])
         open_keys = np.concatenate([ends_of.before(np.flatnonzero(ends_of.at <= DEPTH)), ends_of.whole(np.flatnonzero(ends_of.n <= DEPTH))])
         for key, ends, first, symbol, count in _beginnings(words, counts):
             open_ = np.isin(key, open_keys)
@@ -375,8 +387,8 @@ def _beginning_rows(edges: bool):
                 packed = pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(pairs.tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(key[pick].view(np.int64)), pa.array(ends[pick].astype(np.int64)), packed], names=["h", "ends", "next"])
         if not edges:
-            long = [i for i, w in enumerate(words) if len(w) > DEPTH]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([_long_hash(words[i]) for i in long], dtype=np.uint64).view(np.int64)), pa.array(counts[long].astype(np.int64)), pa.array([b""] * len(long), type=pa.binary())], names=["h", "ends", "next"])
+            long = np.flatnonzero(pc.binary_length(words).to_numpy() > DEPTH)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([_long_hash(words[i].as_py()) for i in long], dtype=np.uint64).view(np.int64)), pa.array(counts[long].astype(np.int64)), pa.array([b""] * len(long), type=pa.binary())], names=["h", "ends", "next"])
 
     return run
 
@@ -486,8 +498,9 @@ def edge_logits(known: Known, row: np.ndarray, byte: np.ndarray, ends_as: np.nda
     at = np.repeat(known.first[row] - 2 * (np.cumsum(size) - size), size) + 2 * np.arange(len(i))
     weight = np.exp2(known.pairs[at + 1] / STEPS)
     shared = np.bincount(i * 9 + _LEAD[known.pairs[at] ^ byte[i]], weight, 9 * len(row)).reshape(-1, 9)
+    ends, begin = known.ends[row], 9 * np.arange(len(row))
     for symbol in np.flatnonzero(ends_as):
-        np.add.at(shared, (np.arange(len(row)), _LEAD[byte ^ np.uint8(symbol)]), known.ends[row] * ends_as[symbol])
+        shared.reshape(-1)[begin + _LEAD[byte ^ np.uint8(symbol)]] += ends * ends_as[symbol]
     agree = np.cumsum(shared[:, ::-1], axis=1)[:, ::-1]  # counts that share at least so many first bits
     return _rounded(_logit(agree[:, 1:], agree[:, :-1] - agree[:, 1:])), agree[:, 0]
 
@@ -496,61 +509,68 @@ def edge_logits(known: Known, row: np.ndarray, byte: np.ndarray, ends_as: np.nda
 
 
 def mix_bits(x: list[np.ndarray], gate: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Bits of texts, longest first; ``x``: of each predictor, the 8-bit logits (bytes, 8) towards the bits that came."""
-    lanes, start = len(n), np.cumsum(n) - n
-    rows = [np.ascontiguousarray(v).view(np.uint64).reshape(-1) for v in x]
-    w = np.broadcast_to(START_WEIGHTS[:, None, None], (len(x), lanes, 8)).astype(np.float32)
-    scale = np.ones((lanes, 8), dtype=np.float32)
+    """Bits of texts of ``n`` bytes, longest first; ``x``: of each predictor, the 8-bit logits (8, bytes) towards the bits that came.
+
+    The bytes are those of ``_padded``.
+    """
+    first = np.cumsum(-(-n // BLOCK)) - -(-n // BLOCK)
+    x = [v.reshape(8, -1, BLOCK) for v in x]
+    gate = gate.reshape(-1, BLOCK)
+    lanes = len(n)
+    w = np.broadcast_to(START_WEIGHTS[:, None, None], (len(x), 8, lanes)).astype(np.float32)
+    scale = np.ones((8, lanes), dtype=np.float32)
     cost = np.zeros(lanes)
     open_ = np.ascontiguousarray(GATE.T / np.float32(LEVELS))
     one, most = np.float32(1), np.float32(10)
-    at, total = 0, int(start[-1] + n[-1])
+    at = 0
     while at < n[0]:
         size = BLOCK if at < 32 * BLOCK else 4 * BLOCK if at < 128 * BLOCK else 16 * BLOCK
         on = int(np.searchsorted(-n, -at, side="left"))
-        place = np.minimum((start[:on] + at)[:, None] + np.arange(size), total - 1)
-        live = (np.arange(at, at + size) < n[:on, None]).astype(np.float32)[:, None]
-        g = gate.take(place)
-        own = []  # by text, bit and byte
-        for c, r in enumerate(rows):
-            v = r.take(place).view(np.int8).reshape(on, size, 8).transpose(0, 2, 1).astype(np.float32, order="C")
-            v *= open_[c].take(g)[:, None]
-            own.append(v)
-        y = own[0] * w[0, :on, :, None]
+        # Where a text ends in its block, what is beyond is of any bytes.
+        place = np.minimum((first[:on] + at // BLOCK)[:, None] + np.arange(size // BLOCK), len(gate) - 1).reshape(-1)
+        own = []  # by bit, text and byte
+        g = gate.take(place, axis=0).astype(np.intp)
+        for c, v in enumerate(x):
+            own.append(np.multiply(v.take(place, axis=1), open_[c].take(g)).reshape(8, on, size))
+        y = np.empty_like(own[0])
         part = np.empty_like(y)
+        np.multiply(own[0], w[0, :, :on, None], out=y)
         for c in range(1, len(x)):
-            np.multiply(own[c], w[c, :on, :, None], out=part)
+            np.multiply(own[c], w[c, :, :on, None], out=part)
             y += part
-        q = np.multiply(y, -scale[:on, :, None], out=part)
-        np.minimum(q, most, out=q)
-        np.maximum(q, -most, out=q)
+        q = np.multiply(y, -scale[:, :on, None], out=part)
+        np.clip(q, -most, most, out=q)
         np.exp(q, out=q)
         d = q + one
-        cost[:on] += np.einsum("lb,lb->l", np.log(np.multiply.reduce(d, axis=1)), live[:, 0], dtype=np.float64)
+        left = n[:on] - at
+        live = (np.arange(size) < left[:, None]).astype(np.float32)
+        cost[:on] += np.einsum("lb,lb->l", np.log(np.multiply.reduce(d, axis=0)), live, dtype=np.float64)
         q /= d  # the probability of the other bit
-        q *= live
+        ending = int(np.searchsorted(-left, -size, side="right"))
+        q[:, ending:] *= live[ending:]
         slower = np.float32((BLOCK / size) ** 0.5)
-        scale[:on] += np.float32(SCALE_RATE) * slower * np.einsum("ljb,ljb->lj", q, y)
+        scale[:, :on] += np.float32(SCALE_RATE) * slower * np.einsum("jlb,jlb->jl", q, y)
         np.clip(scale, 0.5, 2.0, out=scale)
-        for c in range(len(x)):
-            w[c, :on] += np.float32(RATE) * slower * np.einsum("ljb,ljb->lj", q, own[c])
+        for c, v in enumerate(own):
+            w[c, :, :on] += np.float32(RATE) * slower * np.einsum("jlb,jlb->jl", q, v)
         at += size
     return cost / np.log(2.0)
 
 
-def _different(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _different(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The different words, sorted, so that those that begin alike are in one slice; the place there of each word of the texts; words by text."""
     words, n = _words_of(texts)
     coded = words.dictionary_encode()
     order = pc.array_sort_indices(coded.dictionary)
     place = np.empty(len(order), dtype=np.int32)
     place[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
-    return coded.dictionary.take(order).to_pylist(), place[coded.indices.to_numpy()], n
+    return coded.dictionary.take(order), place[coded.indices.to_numpy()], n
 
 
 def asked(texts: list[bytes]) -> np.ndarray:
     """The keys of all words and beginnings of the texts, the empty one too."""
-    listed, _, _ = _different(texts)
+    listed = _words_of(texts)[0].unique()
+    listed = listed.take(pc.array_sort_indices(listed))
     own = Words(listed)
     keys = [_EMPTY, word_keys(listed, own)]
     for lo in range(0, len(own.data), SLICE):
@@ -577,14 +597,14 @@ def score_batch(texts: list[bytes], tables: ByteTables, known: Known) -> tuple[n
         i = np.flatnonzero(row >= 0)
         if not len(i):
             return
-        edge, back = np.unique(row[i].astype(np.int64) * 256 + byte[i], return_inverse=True)
+        back, edge = pd.factorize(row[i].astype(np.int64) * 256 + byte[i])
         made, times = edge_logits(known, edge >> 8, (edge & 255).astype(np.uint8), tables.ends_as)
         logits[place[i]] = (made * (times > 1.5)[:, None])[back]
         gate[place[i]] = np.where(times < 1.5, 0, np.where(times < COMMON, 1, 2))[back]
 
     for lo in range(0, len(own.data), SLICE):
         place = lo + np.flatnonzero(own.at[lo : lo + SLICE] <= DEPTH)
-        different, back = np.unique(own.before(place), return_inverse=True)
+        back, different = pd.factorize(own.before(place))
         fill(place, known.find(different)[back], own.data[place])
     step = SLICE // len(enders)
     for lo in range(0, n_words + 1, step):
@@ -629,10 +649,10 @@ def score_batch(texts: list[bytes], tables: ByteTables, known: Known) -> tuple[n
     packed = logits.view(np.uint64).reshape(-1)
     bits = np.zeros(len(texts))
     for some in parts:
-        data, n = _joined([texts[i] for i in some])
+        data, n = _padded([texts[i] for i in some])
         place = places(some, data)
-        x = [*tables.logits(data, n), packed.take(place).view(np.int8).reshape(-1, 8)]
-        bits[some] = mix_bits(x, gate.take(place), n)
+        word = np.ascontiguousarray(packed.take(place).view(np.int8).reshape(-1, 8).T)
+        bits[some] = mix_bits([*tables.logits(data, -(-n // BLOCK) * BLOCK), word], gate.take(place), n)
     return bits, seen, tokens
 
 

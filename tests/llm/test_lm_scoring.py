@@ -184,3 +184,39 @@ def test_answers_are_unpacked_as_they_were(monkeypatch, held):
     assert got == sorted(zip(batch.tolist(), h.tolist(), ends.tolist(), nexts, strict=True))
     assert lm._unpack([]).num_rows == 0
     assert not list(lm._pack(iter([])))
+
+
+def test_contexts_of_stretches_are_those_of_the_whole(monkeypatch):
+    """Contexts reach back over the border of a stretch, but not over the begin of a text."""
+    rnd = random.Random(5)
+    texts = [bytes(rnd.choice(b"abc ") for _ in range(size)) for size in (0, 1, 40, 3, 0, 90, 7, 6)]
+    data, n = lm._joined(texts)
+    whole = list(lm.byte_slots(data, n))
+    for size in (1, 5, 7, 64):
+        monkeypatch.setattr(lm, "STRETCH", size)
+        some, slots = zip(*lm.stretches(data, n), strict=True)
+        assert [(s.start, s.stop) for s in some] == [(at, min(at + size, len(data))) for at in range(0, len(data), size)]
+        for order, halves in enumerate(whole):
+            for half, want in enumerate(halves):
+                assert np.concatenate([s[order][half] for s in slots]).tolist() == want.tolist()
+
+
+def test_mixing_of_long_and_short_texts_together(monkeypatch):
+    """Texts of all sizes of blocks, in padded blocks and small stretches, give the bits that each gives alone."""
+    tables, known, _ = local_model(training())
+    rnd = random.Random(6)
+    sizes = (0, 1, 62, 63, 64, 65, 127, 2047, 2048, 2500, 9000, 20000)
+    new = [bytes(rnd.choice(b"the cat sat\n") for _ in range(size)) for size in sizes]
+    got, _, _ = lm.score_batch(new, tables, known)
+    alone = [lm.score_batch([t], tables, known)[0][0] for t in new]
+    assert got == pytest.approx(alone, rel=1e-5)
+    monkeypatch.setattr(lm, "STRETCH", 50)
+    assert lm.score_batch(new, tables, known)[0] == pytest.approx(got, rel=1e-12)
+
+
+def test_words_are_taken_from_a_slice_of_a_column():
+    words = [b"", b"there", b"x" * 30, b"cat", b"satin"]
+    own, want = lm.Words(pa.array(words, type=pa.binary())[1:4]), lm.Words(words[1:4])
+    assert own.n.tolist() == want.n.tolist() and own.data.tobytes() == want.data.tobytes()
+    assert lm.word_keys(pa.array(words, type=pa.binary())[1:4], own).tolist() == lm.word_keys(words[1:4], want).tolist()
+    assert lm.Words([]).n.tolist() == lm.Words(pa.array([], type=pa.large_binary())).n.tolist() == []
