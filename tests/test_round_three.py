@@ -118,3 +118,11 @@ def test_resampling_draws_as_random_does(n):
 def test_task_types_hold_all_pairs_of_methods(spark, name):
     rows = entry.queries()[name](spark, DATA).select("comparison").distinct().collect()
     assert {r.comparison for r in rows} == {"Advanced Prompting - Zero-Shot", "RAG - Zero-Shot", "RAG - Advanced Prompting"}
+
+
+@pytest.mark.parametrize("copies", [1, 10])
+def test_blocks_of_bm25_do_not_grow_with_the_chunks(spark, copies):
+    """Ten times the text gives ten times the blocks, so that no task holds more of it; rows are all dealt."""
+    most, sizes = 1000, [40] * 250 * copies
+    n = ranking.parts(spark.createDataFrame([(x,) for x in sizes], "size int"), most, 4)
+    assert sum(sizes) / n <= most and n <= sum(sizes) / most + 1
